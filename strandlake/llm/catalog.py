@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import overlap
-from strandlake.tables import good_reads, members, once, sample_name, table
+from strandlake.llm import distinct, frequent, letters, overlap
+from strandlake.runtime import join_small, materialize
+from strandlake.tables import good_reads, members, sample_name, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +60,116 @@ def p1_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of samples that share k-mers, with sizes, shares and classes."""
     df = _p1(spark, sf_dir)
     return df.withColumns({c: F.round(c, 9) for c in ("jaccard", "containment")})
+
+
+P3_ROWS = """
+WITH c AS (SELECT sample, min(color) AS color FROM classes WHERE color IS NOT NULL GROUP BY sample),
+k AS (SELECT DISTINCT sample, kmer, freq, run_at FROM kmer_counts WHERE kmer IS NOT NULL AND freq >= 1),
+r AS (SELECT DISTINCT read_no, sample, read_id, seq, run_at FROM seq_reads
+      WHERE seq IS NOT NULL AND sample IS NOT NULL AND upper(seq) NOT LIKE '%N%'),
+x AS (SELECT 'kmer_counts' AS origin, strftime(run_at, '%Y-%m-%d') AS run_day, color, CAST(kmer AS VARCHAR) AS id
+      FROM k JOIN c ON k.sample = c.sample
+      UNION ALL
+      SELECT 'seq_reads', strftime(run_at, '%Y-%m-%d'), color, upper(seq)
+      FROM r JOIN c ON regexp_replace(r.sample, '_[rR][12]$', '') = c.sample),
+g AS (SELECT * FROM (VALUES ('0', 0), ('1', 1), ('2', 2), ('0+1', 0), ('0+1', 1), ('0+2', 0), ('0+2', 2), ('1+2', 1),
+      ('1+2', 2), ('0+1+2', 0), ('0+1+2', 1), ('0+1+2', 2)) v(colors, color)),
+n AS (SELECT colors, count(*) AS parts FROM g GROUP BY colors),
+t AS (SELECT origin, run_day, x_colors AS colors, count(DISTINCT id) AS n_ids, count(*) AS n_rows, count(DISTINCT x_color) AS parts
+      FROM (SELECT origin, run_day, id, x.color AS x_color, g.colors AS x_colors FROM x JOIN g ON x.color = g.color) y
+      GROUP BY origin, run_day, x_colors),
+d AS (SELECT t.* FROM t JOIN n ON t.colors = n.colors AND t.parts = n.parts)
+"""
+
+
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    known = classes.where("color IS NOT NULL").groupBy("sample").agg(F.min("color").alias("color"))
+    return join_small(rows, known, "sample")
+
+
+def _p3(spark: SparkSession, sf_dir: str, kept: int = 1 << distinct.BITS) -> DataFrame:
+    classes = table(spark, sf_dir, "classes")
+    day = F.date_format("run_at", "yyyy-MM-dd").alias("day")
+    kmers = members(table(spark, sf_dir, "kmer_counts").where("sample IS NOT NULL"), "sample", "kmer", "freq", "run_at")
+    kmers = _with_class(kmers, classes).select(day, "color", "kmer")
+    reads = table(spark, sf_dir, "seq_reads").where(F.col("sample").isNotNull() & ~F.upper("seq").contains("N"))
+    # A read is told from others by its number and two hashes, a sequence by 128 bits of hash.
+    reads = reads.select(
+        sample_name("sample").alias("sample"),
+        "run_at",
+        "read_no",
+        F.xxhash64("sample", "read_id", "seq").alias("rest"),
+        F.xxhash64(F.upper("seq")).alias("h1"),
+        F.xxhash64(F.lit("strandlake"), F.upper("seq")).alias("h2"),
+    )
+    reads = _with_class(reads.distinct(), classes).select(day, "color", "h1", "h2")
+    out = [
+        distinct.counts(distinct.state(kmers, "day", "color", ["kmer"], kept), kept).withColumn("origin", F.lit("kmer_counts")),
+        distinct.counts(distinct.state(reads, "day", "color", ["h1", "h2"], kept), kept).withColumn("origin", F.lit("seq_reads")),
+    ]
+    return out[0].unionByName(out[1]).withColumnRenamed("day", "run_day")
+
+
+@query(P3_ROWS + "SELECT origin, run_day, colors FROM d WHERE n_ids <= 0.6 * n_rows")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days and combinations of classes whose distinct identifiers are at most 0.6 of their rows."""
+    return _p3(spark, sf_dir).where("10 * n_ids <= 6 * n_rows").select("origin", "run_day", "colors")
+
+
+@query(P3_ROWS + "SELECT origin, run_day, colors, n_ids, n_rows, CAST(0 AS DOUBLE) AS error_bound FROM d")
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct identifiers and rows per origin, day and combination of classes; exact."""
+    return _p3(spark, sf_dir).select("origin", "run_day", "colors", "n_ids", "n_rows", "error_bound")
+
+
+@query()
+def p3_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p3_counts from a state of a quarter of all hash ranges, with the error bound that this gives."""
+    return _p3(spark, sf_dir, 256).select("origin", "run_day", "colors", "n_ids", "n_rows", "error_bound")
+
+
+P6_ROWS = """
+WITH r AS (SELECT DISTINCT read_no, sample, read_id, seq, run_at FROM seq_reads
+           WHERE seq IS NOT NULL AND upper(seq) NOT LIKE '%N%'),
+w AS (SELECT substr(upper(seq), i, 21) AS km FROM r, unnest(range(1, length(seq) - 19)) t(i)),
+s AS (SELECT least(km, reverse(translate(km, 'ACGT', 'TGCA'))) AS km, count(*) AS n FROM w GROUP BY 1),
+st AS (SELECT sum(n) AS total FROM s),
+sf AS (SELECT km, n FROM s, st WHERE n >= 0.0001 * total),
+sc AS (SELECT km, n, sum((strpos('ACGT', substr(km, i, 1)) - 1) * CAST(power(4, 21 - i) AS BIGINT)) AS kmer
+       FROM sf, unnest(range(1, 22)) t(i) GROUP BY km, n),
+k AS (SELECT DISTINCT sample, kmer, freq, run_at FROM kmer_counts WHERE kmer IS NOT NULL AND freq >= 1),
+kt AS (SELECT sum(freq) AS total FROM k),
+kc AS (SELECT kmer, sum(freq) AS n FROM k GROUP BY kmer),
+f AS (SELECT 'seq_reads' AS origin, CAST(kmer AS BIGINT) AS kmer, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM sc, st
+      UNION ALL SELECT 'kmer_counts', kmer, CAST(n AS BIGINT), CAST(total AS BIGINT) FROM kc, kt WHERE n >= 0.002 * total)
+"""
+
+
+def _windows(batch):
+    return letters.canonical_kmers(*letters.flat(batch.column(0)), 21), None
+
+
+def _frequencies(batch):
+    return tuple(c.to_numpy(zero_copy_only=False).astype("int64") for c in batch.columns)
+
+
+def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = good_reads(table(spark, sf_dir, "seq_reads")).select("seq")
+    kmers = members(table(spark, sf_dir, "kmer_counts"), "sample", "kmer", "freq", "run_at").select("kmer", "freq")
+    out = [
+        frequent.frequent(materialize(reads), _windows, 0.0001).withColumn("origin", F.lit("seq_reads")),
+        frequent.frequent(materialize(kmers), _frequencies, 0.002).withColumn("origin", F.lit("kmer_counts")),
+    ]
+    return out[0].unionByName(out[1]).withColumnRenamed("item", "kmer")
+
+
+@query(P6_ROWS + "SELECT origin, kmer FROM f")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-mers that make up the stated shares of all windows of the reads and of all frequencies."""
+    return _p6(spark, sf_dir).select("origin", "kmer")
+
+
+@query(P6_ROWS + "SELECT origin, kmer, n, total FROM f")
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with their exact counts and the totals."""
+    return _p6(spark, sf_dir).select("origin", "kmer", F.col("count").alias("n"), "total")

@@ -1,0 +1,55 @@
+"""Whole batches of sequences and texts as flat numpy arrays."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+
+#: A=0 C=1 G=2 T=3 in either case, 4: anything else.
+CODE = np.full(256, 4, np.uint8)
+for _i, _c in enumerate("ACGT"):
+    CODE[ord(_c)] = CODE[ord(_c.lower())] = _i
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string column and the offsets of its values; a null is an empty value."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def canonical_kmers(raw: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """Canonical 2-bit codes (the smaller of both strands) of all windows of k letters inside a value, ACGT only."""
+    n = len(raw) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    code = CODE[raw]
+    start = np.zeros(len(raw) + 1, np.int32)
+    ends = np.maximum(offsets[1:] - k + 1, offsets[:-1])
+    np.add.at(start, offsets[:-1], 1)
+    np.add.at(start, ends, -1)
+    ok = np.cumsum(start[:n]) > 0
+    bad = np.concatenate([[0], np.cumsum(code == 4, dtype=np.int32)])
+    ok &= bad[k:] == bad[:-k]
+    fw = code.astype(np.int64) & 3
+    rc = 3 - fw
+    # Windows of 1, 2, 4, ... letters, put together by the binary digits of k.
+    width, out_fw, out_rc, done = 1, None, None, 0
+    while True:
+        if k & width:
+            if out_fw is None:
+                out_fw, out_rc = fw, rc
+            else:
+                m = len(fw) - done
+                out_fw = (out_fw[:m] << (2 * width)) | fw[done:]
+                out_rc = out_rc[:m] | (rc[done:] << (2 * done))
+            done += width
+        if width * 2 > k:
+            break
+        fw, rc = (fw[:-width] << (2 * width)) | fw[width:], rc[:-width] | (rc[width:] << (2 * width))
+        width *= 2
+    return np.minimum(out_fw, out_rc)[:n][ok]
