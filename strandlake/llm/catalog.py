@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import distinct, frequent, letters, overlap
+from strandlake.llm import distinct, frequent, letters, overlap, repetition
 from strandlake.runtime import join_small, materialize
 from strandlake.tables import good_reads, members, sample_name, table
 
@@ -173,3 +173,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with their exact counts and the totals."""
     return _p6(spark, sf_dir).select("origin", "kmer", F.col("count").alias("n"), "total")
+
+
+#: Documents of which the posterior says less are not looked at by the exact check of p9_found.
+P9_LEAST = 0.01
+
+
+@query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of at least 50 tokens of which at least 0.3 lie in repeated runs of 10.
+
+    Those that the rules' posterior leaves possible, then checked exactly.
+    """
+    df = repetition.scored(table(spark, sf_dir, "documents"))
+    return df.where(f"p_repetitive >= {P9_LEAST} AND n_tokens >= 50 AND 10 * repeated >= 3 * n_tokens").select("doc_id")
+
+
+@query()
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the share of its tokens that repeats earlier ones and the posterior of being repetitive."""
+    df = repetition.scored(table(spark, sf_dir, "documents"))
+    share = F.when(F.col("n_tokens") > 0, F.col("repeated") / F.col("n_tokens"))
+    return df.select("doc_id", "n_tokens", share.alias("repeated_share"), F.round("p_repetitive", 6).alias("p_repetitive"))
