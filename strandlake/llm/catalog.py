@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import distinct, frequent, letters, overlap, repetition
+from strandlake.llm import distinct, frequent, letters, overlap, repetition, spans
 from strandlake.runtime import join_small, materialize
 from strandlake.tables import good_reads, members, sample_name, table
 
@@ -195,3 +195,36 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = repetition.scored(table(spark, sf_dir, "documents"))
     share = F.when(F.col("n_tokens") > 0, F.col("repeated") / F.col("n_tokens"))
     return df.select("doc_id", "n_tokens", share.alias("repeated_share"), F.round("p_repetitive", 6).alias("p_repetitive"))
+
+
+P5_READS = """
+WITH r AS (SELECT DISTINCT read_no, upper(seq) AS s FROM seq_reads
+           WHERE seq IS NOT NULL AND upper(seq) NOT LIKE '%N%' AND length(seq) >= 50),
+w AS (SELECT DISTINCT read_no, substr(s, i, 50) AS k FROM r, unnest(range(1, length(s) - 48)) t(i)),
+c AS (SELECT comp_no, pos, min(kmer) AS kmer FROM component_kmers WHERE kmer IS NOT NULL GROUP BY comp_no, pos),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY comp_no ORDER BY pos) AS run FROM c),
+l AS (SELECT comp_no, run, list(kmer ORDER BY pos) AS v FROM g GROUP BY comp_no, run HAVING count(*) >= 20),
+cw AS (SELECT DISTINCT comp_no, v[i : i + 19] AS k FROM l, unnest(range(1, len(v) - 18)) t(i))
+"""
+
+
+def _p5_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = table(spark, sf_dir, "seq_reads").where(F.col("seq").isNotNull() & ~F.upper("seq").contains("N"))
+    return spans.text_units(reads.select("read_no", F.upper("seq").alias("seq")), "read_no", "seq", 50)
+
+
+def _p5_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(spans.list_units(table(spark, sf_dir, "component_kmers"), "comp_no", "pos", "kmer", 20))
+
+
+@query(
+    P5_READS
+    + """SELECT DISTINCT 'read' AS record_kind, a.read_no AS key_a, b.read_no AS key_b FROM w a JOIN w b ON a.k = b.k AND a.read_no < b.read_no
+UNION ALL SELECT DISTINCT 'component', CAST(a.comp_no AS BIGINT), CAST(b.comp_no AS BIGINT)
+FROM cw a JOIN cw b ON a.k = b.k AND a.comp_no < b.comp_no"""
+)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads that share at least 50 letters and components that share a run of at least 20 k-mers."""
+    reads = spans.shared_pairs(_p5_reads(spark, sf_dir), 50).withColumn("record_kind", F.lit("read"))
+    comps = spans.shared_pairs(_p5_components(spark, sf_dir), 20).withColumn("record_kind", F.lit("component"))
+    return reads.unionByName(comps).select("record_kind", "key_a", "key_b")
