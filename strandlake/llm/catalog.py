@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import distinct, frequent, letters, overlap, repetition, spans
+from strandlake.llm import distinct, frequent, letters, neighbours, overlap, repetition, spans
 from strandlake.runtime import join_small, materialize
 from strandlake.tables import good_reads, members, sample_name, table
 
@@ -228,3 +228,30 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = spans.shared_pairs(_p5_reads(spark, sf_dir), 50).withColumn("record_kind", F.lit("read"))
     comps = spans.shared_pairs(_p5_components(spark, sf_dir), 20).withColumn("record_kind", F.lit("component"))
     return reads.unionByName(comps).select("record_kind", "key_a", "key_b")
+
+
+P2_ROWS = """
+WITH f AS (SELECT sample, comp_no, max(value) AS v FROM features WHERE value > 0 AND sample IS NOT NULL GROUP BY sample, comp_no),
+s AS (SELECT sample, sum(v) AS total FROM f GROUP BY sample),
+m AS (SELECT a.sample AS a, b.sample AS b, sum(least(a.v, b.v)) AS common FROM f a JOIN f b
+      ON a.comp_no = b.comp_no AND a.sample <> b.sample GROUP BY a.sample, b.sample),
+d AS (SELECT x.sample AS sample, y.sample AS other,
+      CAST(x.total + y.total - 2 * coalesce(common, 0) AS DOUBLE) / CAST(x.total + y.total AS DOUBLE) AS d
+      FROM s x JOIN s y ON x.sample <> y.sample LEFT JOIN m ON m.a = x.sample AND m.b = y.sample),
+n AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY d, other) AS rank FROM d),
+k AS (SELECT * FROM n WHERE rank <= 5)
+"""
+
+
+@query(P2_ROWS + "SELECT DISTINCT least(sample, other) AS sample_a, greatest(sample, other) AS sample_b FROM k WHERE d <= 0.35")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples at a distance of at most 0.35 of which one is among the five nearest of the other."""
+    near = neighbours.nearest(table(spark, sf_dir, "features"), 5, complete=False)
+    pair = F.least("sample", "other").alias("sample_a"), F.greatest("sample", "other").alias("sample_b")
+    return near.where("d <= 0.35").select(*pair).distinct()
+
+
+@query(P2_ROWS + "SELECT sample, other, round(d, 9) AS d, rank FROM k")
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest samples of every sample."""
+    return neighbours.nearest(table(spark, sf_dir, "features"), 5).withColumn("d", F.round("d", 9))
