@@ -33,6 +33,11 @@ class SpaceSaving:
         """Add another summary, or exact counts of distinct items (without errors and floor)."""
         if errors is None:
             self.total += int(counts.sum())
+            if len(items) > self.capacity:
+                # Exact counts of many items become a summary first, so that what is merged stays small.
+                order = np.argpartition(counts, len(items) - self.capacity)
+                drop, keep = order[: -self.capacity], order[-self.capacity :]
+                floor, items, counts = int(counts[drop].max()), items[keep], counts[keep]
         errors = np.zeros(len(items), np.int64) if errors is None else errors
         every = np.union1d(self.items, items)
         out = []
