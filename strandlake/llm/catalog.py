@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import distinct, frequent, letters, neighbours, overlap, repetition, spans
+from strandlake.llm import clusters, distinct, frequent, letters, neighbours, overlap, repetition, spans
 from strandlake.runtime import join_small, materialize
 from strandlake.tables import good_reads, members, sample_name, table
 
@@ -255,3 +255,38 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest samples of every sample."""
     return neighbours.nearest(table(spark, sf_dir, "features"), 5).withColumn("d", F.round("d", 9))
+
+
+P4_ROWS = """
+WITH RECURSIVE f AS (SELECT sample, comp_no, max(value) AS v FROM features WHERE value > 0 AND sample IS NOT NULL GROUP BY sample, comp_no),
+s AS (SELECT sample, sum(v) AS total FROM f GROUP BY sample),
+k AS (SELECT DISTINCT sample FROM features WHERE sample IS NOT NULL),
+m AS (SELECT a.sample AS a, b.sample AS b, sum(least(a.v, b.v)) AS common FROM f a JOIN f b
+      ON a.comp_no = b.comp_no AND a.sample < b.sample GROUP BY a.sample, b.sample),
+e AS (SELECT a, b FROM m JOIN s x ON x.sample = a JOIN s y ON y.sample = b
+      WHERE CAST(x.total + y.total - 2 * common AS DOUBLE) / CAST(x.total + y.total AS DOUBLE) <= 0.35
+      UNION
+      SELECT least(sample_i, sample_j), greatest(sample_i, sample_j) FROM distances
+      WHERE dist <= 0.35 AND sample_i <> sample_j AND NOT (sample_i IN (SELECT sample FROM k) AND sample_j IN (SELECT sample FROM k))),
+bo AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+c(sample, label) AS (SELECT a, min(b) FROM bo GROUP BY a
+      UNION SELECT bo.a, c.label FROM c JOIN bo ON bo.b = c.sample),
+l AS (SELECT sample, min(label) AS cluster_key FROM c GROUP BY sample),
+z AS (SELECT cluster_key, count(*) AS size FROM l GROUP BY cluster_key HAVING count(*) >= 3)
+"""
+
+
+def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.density_peaks(table(spark, sf_dir, "features"), table(spark, sf_dir, "distances"))
+
+
+@query(P4_ROWS + "SELECT cluster_key, sample FROM l WHERE cluster_key IN (SELECT cluster_key FROM z)")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples in clusters of at least three mutually near samples."""
+    return clusters.clusters(_p4(spark, sf_dir)).select("cluster_key", "sample")
+
+
+@query()
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters with their sizes and most typical samples."""
+    return clusters.described(_p4(spark, sf_dir))
