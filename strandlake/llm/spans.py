@@ -26,7 +26,7 @@ from strandlake.runtime import join_small, materialize
 #: Tokens of a record that are parsed as one piece; neighbours overlap by the least span, so no span falls between.
 PIECE, PIECE_BITS = 1 << 16, 20
 #: Records that may share an anchor before their windows decide instead of the anchor.
-GROUP = 64
+GROUP = 16
 #: Share of the rows from which hot anchors are learned, and how often one must be seen there to count as hot.
 HOT_SAMPLE, HOT_SEEN = 0.01, 100
 ROUND = np.uint64(0xA24BAED4963EE407)
@@ -223,8 +223,15 @@ def _hot_windows(shape: Shape):
                 np.add.at(cover, np.maximum(0, hit + 2 * shape.side - shape.least), 1)
                 np.add.at(cover, hit + 1, -1)
                 held = np.cumsum(cover)[place] > 0
+                n = int(held.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(window[held].astype(np.int64)), pa.array(units[first + row[place[held]]])], ["key", "unit"]
+                    [
+                        pa.array(window[held].astype(np.int64)),
+                        pa.array(units[first + row[place[held]]]),
+                        pa.array(np.zeros(n, np.int32)),
+                        pa.array(np.zeros(n, bool)),
+                    ],
+                    ["key", "unit", "salt", "hot"],
                 )
 
     return work
@@ -327,15 +334,18 @@ def shared_spans(units: DataFrame, least: int) -> DataFrame:
     hot = hot_anchors(units, shape)
     rows = units.mapInArrow(_keys(shape, hot), ANCHOR).repartition("key", "salt").sortWithinPartitions("key", "unit")
     found = materialize(rows.mapInArrow(_groups, "key long, a long, b long"))
-    pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
+    pairs = found.where("b IS NOT NULL").select("a", "b")
     many = found.where("b IS NULL").select(F.col("a").alias("unit"), "key").distinct()
     if not many.isEmpty():
         # Anchors that many share: only units with the same whole window go together, so every pair is a true one.
         held = join_small(units, many, "unit").select("unit", "tokens", "key")
-        held = materialize(held.mapInArrow(_hot_windows(shape), "key long, unit long").distinct())
-        left, right = held.withColumnRenamed("unit", "a"), held.withColumnRenamed("unit", "b")
-        pairs = pairs.unionByName(left.join(right, "key").where("a < b").select("a", "b")).distinct()
-    pairs = materialize(pairs)
+        held = held.mapInArrow(_hot_windows(shape), ANCHOR).repartition("key").sortWithinPartitions("key", "unit")
+        held = materialize(held.mapInArrow(_groups, "key long, a long, b long"))
+        pairs = pairs.unionByName(held.where("b IS NOT NULL").select("a", "b"))
+        alike = held.where("b IS NULL").select("key", "a")
+        if not alike.isEmpty():
+            pairs = pairs.unionByName(alike.join(alike.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b"))
+    pairs = materialize(pairs.distinct())
     named = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
     texts = materialize(join_small(units, named, "unit"))
     both = join_small(texts.select(F.col("unit").alias("a"), F.col("tokens").alias("tokens_a")), pairs, "a")
