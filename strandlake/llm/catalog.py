@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import clusters, distinct, frequent, letters, neighbours, overlap, repetition, spans
+from strandlake.llm import (
+    clusters,
+    distinct,
+    frequent,
+    letters,
+    mixing,
+    neighbours,
+    overlap,
+    packing,
+    repetition,
+    spans,
+    tokens,
+)
 from strandlake.runtime import join_small, materialize
 from strandlake.tables import good_reads, members, sample_name, table
 
@@ -290,3 +302,33 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same clusters with their sizes and most typical samples."""
     return clusters.described(_p4(spark, sf_dir))
+
+
+@query()
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in containers of 2048 tokens: which piece of which document lies in which container."""
+    return packing.packed(tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+@query()
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers are filled."""
+    return packing.fill(p7_pack(spark, sf_dir))
+
+
+def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "source")
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.mixed(documents, targets), targets
+
+
+@query()
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn, in the order of the schedule's slots."""
+    return _p8(spark, sf_dir)[0]
+
+
+@query()
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.shares(*_p8(spark, sf_dir))
