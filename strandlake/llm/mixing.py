@@ -99,8 +99,9 @@ def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, se
     most = min(s.tokens * s.repeats / s.share for s in sources)
     total = most if total is None else total
     wanted = [min(total * s.share, s.tokens * s.repeats) for s in sources]
-    # One slot more for every source than its tokens fill on average, so that the last blocks of none are missing.
-    count = max(int(-(-w // BLOCK) / s.share) + 1 for s, w in zip(sources, wanted)) + 4 * len(sources)
+    # The points' discrepancy is logarithmic: so many slots more give every source a slot for each of its blocks.
+    blocks = [int(-(-w // BLOCK)) for w in wanted]
+    count = max(int((b + 8 + 2 * sum(blocks).bit_length()) / s.share) + 1 for s, b in zip(sources, blocks))
     docs = stream(documents, sources, wanted, seed)
     plan = slots(spark, sources, count)
     return docs.join(plan, ["index", "block"]).select("slot", "source", "doc_id", "round", "n_tokens")
