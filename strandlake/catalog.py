@@ -5,6 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from strandlake.functions import dna
+from strandlake.operators import counts as C
+from strandlake.tables import good_reads, members, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,3 +26,279 @@ def query(sql: str | None = None):
         return f
 
     return put
+
+
+# Parts of the checking SQL that several queries share. A frequency table counts a delivered row once, sums the runs of
+# a sample and saturates at 16 bits; `m` is the threshold that rows must exceed before they are summed.
+
+
+def _sql_counts(m: int) -> str:
+    return f"""kc AS (SELECT sample, kmer, CAST(least(sum(freq), 32767) AS INT) AS freq
+  FROM (SELECT DISTINCT sample, kmer, freq, run_at FROM kmer_counts
+        WHERE kmer IS NOT NULL AND sample IS NOT NULL AND freq > {m}) GROUP BY sample, kmer),
+cl AS (SELECT sample, min(color) AS color FROM classes WHERE color IS NOT NULL GROUP BY sample),
+kcc AS (SELECT kc.*, color FROM kc JOIN cl ON kc.sample = cl.sample)"""
+
+
+SQL_READS = """r AS (SELECT DISTINCT read_no, regexp_replace(sample, '_[rR][12]$', '') AS sample, read_id, upper(seq) AS seq, run_at
+  FROM seq_reads WHERE seq IS NOT NULL AND upper(seq) NOT LIKE '%N%')"""
+
+
+def _sql_windows(k: int, where: str = "sample IS NOT NULL") -> str:
+    return f"""{SQL_READS},
+w AS (SELECT read_no, sample, substr(seq, i, {k}) AS km, i FROM r, unnest(range(1, length(seq) - {k} + 2)) t(i) WHERE {where}),
+k AS (SELECT read_no, sample, i, least(km, reverse(translate(km, 'ACGT', 'TGCA'))) AS kmer FROM w)"""
+
+
+def _decoded(k: int, column: str = "kmer") -> str:
+    """SQL for the letters of a LONG code."""
+    return "concat(" + ", ".join(f"substr('ACGT', CAST(({column} >> {2 * (k - 1 - i)}) & 3 AS INT) + 1, 1)" for i in range(k)) + ")"
+
+
+def _counts(spark: SparkSession, d: str, m: int = 0) -> DataFrame:
+    rows = members(table(spark, d, "kmer_counts"), "sample", "kmer", "freq", "run_at")
+    return C.table_counts(rows, m)
+
+
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "classes")
+
+
+def _of_class(spark: SparkSession, d: str, color: int, m: int = 0) -> DataFrame:
+    return C.with_class(_counts(spark, d, m), _classes(spark, d)).where(F.col("color") == color).drop("color")
+
+
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    return good_reads(table(spark, d, "seq_reads")).where("sample IS NOT NULL")
+
+
+K = 21
+
+
+@query(f"WITH {_sql_windows(K)} SELECT sample, kmer, count(*) AS freq FROM k GROUP BY sample, kmer HAVING count(*) > 1")
+def kmer_count(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical 21-mers of each sample's reads that occur more than once; mates of a sample are counted together."""
+    return C.kmer_counts(_reads(spark, d), K, 1).select("sample", dna.decode("kmer", K).alias("kmer"), F.col("freq").cast("long"))
+
+
+@query(f"WITH {_sql_windows(K, 'true')} SELECT kmer, count(*) AS freq FROM k GROUP BY kmer HAVING count(*) > 1")
+def kmer_count_pooled(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all reads as one sample, known or not."""
+    reads = good_reads(table(spark, d, "seq_reads"))
+    return C.kmer_counts(reads, K, 1, ()).select(dna.decode("kmer", K).alias("kmer"), F.col("freq").cast("long"))
+
+
+@query(
+    f"""WITH {_sql_windows(K)}, cl AS (SELECT sample, min(color) AS color FROM classes WHERE color IS NOT NULL GROUP BY sample)
+SELECT color, k.sample, kmer, count(*) AS freq FROM k JOIN cl ON k.sample = cl.sample WHERE color IN (0, 1)
+GROUP BY color, k.sample, kmer HAVING count(*) > 1"""
+)
+def kmer_count_by_class(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the samples of the positive and the negative class in one job."""
+    reads = C.with_class(_reads(spark, d), _classes(spark, d)).where("color IN (0, 1)")
+    out = C.kmer_counts(reads, K, 1, ("color", "sample"))
+    return out.select("color", "sample", dna.decode("kmer", K).alias("kmer"), F.col("freq").cast("long"))
+
+
+@query(
+    f"""WITH {_sql_windows(K)}, c AS (SELECT sample, kmer, count(*) AS freq FROM k GROUP BY sample, kmer)
+SELECT sample, freq, count(*) AS n_kmers FROM c GROUP BY sample, freq"""
+)
+def kmer_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Per sample the number of k-mers of each frequency, those below the threshold included."""
+    return C.histogram(C.kmer_counts(_reads(spark, d), K, 0), "sample").select("sample", F.col("freq").cast("long"), "n_kmers")
+
+
+@query(
+    f"WITH {_sql_counts(0)} SELECT sample, least(freq, 1023) AS freq, count(*) AS n_kmers FROM kc GROUP BY sample, least(freq, 1023)"
+)
+def frequency_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """The distribution clamped at 1023."""
+    return C.clamped_histogram(_counts(spark, d), 1023, "sample")
+
+
+@query(
+    f"""WITH {_sql_counts(0)}, h AS (SELECT sample, least(freq, 1023) AS v, count(*) AS n FROM kc GROUP BY 1, 2),
+g AS (SELECT sample, v, sum(v * n) OVER (PARTITION BY sample ORDER BY v) AS upto,
+      sum(v * n) OVER (PARTITION BY sample) * 20 // 100 AS goal FROM h)
+SELECT sample, CAST(min(CASE WHEN goal <= 0 THEN 0 WHEN upto >= goal THEN v + 1 END) AS BIGINT) AS threshold FROM g GROUP BY sample"""
+)
+def threshold_bottom_cut(spark: SparkSession, d: str) -> DataFrame:
+    """The frequency threshold per sample that cuts the lowest 20 % of its frequency mass."""
+    return C.bottom_cut(_counts(spark, d), 20, "sample").withColumn("threshold", F.col("threshold").cast("long"))
+
+
+@query(
+    f"""WITH {SQL_READS} SELECT read_no, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc,
+least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS canonical FROM r"""
+)
+def revcomp_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Reverse complement and canonical form of every read."""
+    reads = good_reads(table(spark, d, "seq_reads"))
+    return reads.select("read_no", dna.revcomp("seq").alias("rc"), dna.canonical("seq").alias("canonical"))
+
+
+@query(f"SELECT DISTINCT kmer AS code, {_decoded(31)} AS kmer, kmer AS again FROM component_kmers WHERE kmer IS NOT NULL")
+def kmer_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Letters of each k-mer code, and the code made from them again."""
+    df = table(spark, d, "component_kmers").where("kmer IS NOT NULL").select("kmer").distinct()
+    letters = dna.decode("kmer", 31)
+    return df.select(F.col("kmer").alias("code"), letters.alias("kmer"), dna.encode(letters).alias("again"))
+
+
+def _sql_neighbours() -> str:
+    sides = []
+    for n in "ACGT":
+        for x in (f"concat(substr(kmer, 2), '{n}')", f"concat('{n}', substr(kmer, 1, 30))"):
+            sides.append(f"SELECT code, kmer, least({x}, reverse(translate({x}, 'ACGT', 'TGCA'))) AS neighbour FROM s")
+    return f"""WITH s AS (SELECT DISTINCT kmer AS code, {_decoded(31)} AS kmer FROM component_kmers WHERE kmer IS NOT NULL),
+n AS ({" UNION ".join(sides)})"""
+
+
+@query(_sql_neighbours() + " SELECT code, neighbour FROM n WHERE neighbour <> kmer")
+def kmer_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct canonical neighbours of every component k-mer."""
+    df = table(spark, d, "component_kmers").where("kmer IS NOT NULL").select("kmer").distinct()
+    df = df.select(F.col("kmer").alias("code"), dna.decode("kmer", 31).alias("kmer"))
+    return df.select("code", F.explode(F.array_distinct(dna.neighbours("kmer"))).alias("neighbour"))
+
+
+@query(f"WITH {_sql_counts(1)} SELECT kmer, count(DISTINCT sample) AS n_samples FROM kc GROUP BY kmer")
+def samples_per_kmer(spark: SparkSession, d: str) -> DataFrame:
+    """In how many samples each k-mer occurs more than once."""
+    return C.samples_per_kmer(_counts(spark, d, 1))
+
+
+@query(
+    f"""WITH {_sql_counts(1)}, s AS (SELECT DISTINCT kmer FROM component_kmers WHERE kmer IS NOT NULL)
+SELECT s.kmer, count(*) FILTER (WHERE color = 0) AS n_0, count(*) FILTER (WHERE color = 1) AS n_1,
+count(*) FILTER (WHERE color = 2) AS n_2 FROM s LEFT JOIN kcc ON s.kmer = kcc.kmer GROUP BY s.kmer"""
+)
+def grouped_samples(spark: SparkSession, d: str) -> DataFrame:
+    """For the k-mers of the components: samples of each class that have them."""
+    wanted = table(spark, d, "component_kmers").where("kmer IS NOT NULL")
+    return C.grouped_samples(wanted, _counts(spark, d, 1), _classes(spark, d))
+
+
+@query(
+    f"""WITH {_sql_counts(0)}, n AS (SELECT count(DISTINCT sample) AS n FROM kc), s AS (SELECT DISTINCT sample FROM kc),
+c AS (SELECT kmer FROM kc, n GROUP BY kmer, n HAVING count(*) >= n * 20 // 100)
+SELECT c.kmer, s.sample, coalesce(freq, 0) AS freq FROM c CROSS JOIN s LEFT JOIN kc ON kc.kmer = c.kmer AND kc.sample = s.sample"""
+)
+def kmers_per_sample_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Dense counts of the k-mers that at least a fifth of the samples have."""
+    return C.kmers_per_sample(_counts(spark, d))
+
+
+@query(
+    f"""WITH {_sql_counts(1)}, n AS (SELECT count(DISTINCT sample) AS n FROM kcc WHERE color = 1),
+f AS (SELECT kmer FROM kcc, n WHERE color = 1 GROUP BY kmer, n HAVING least(sum(freq), 32767) > 0 * n)
+SELECT kmer, sample, freq FROM kcc WHERE color = 0 AND kmer IN (SELECT kmer FROM f)"""
+)
+def kmers_filter(spark: SparkSession, d: str) -> DataFrame:
+    """K-mers of the samples of class 0 that samples of class 1 have as well."""
+    return C.kmers_filter(_of_class(spark, d, 0, 1), _of_class(spark, d, 1, 1)).select("kmer", "sample", "freq")
+
+
+SQL_SETS = f"""WITH {_sql_counts(1)},
+f AS (SELECT kmer, count(*) FILTER (WHERE color = 0) AS f_0, count(*) FILTER (WHERE color = 1) AS f_1,
+      count(*) FILTER (WHERE color = 2) AS f_2 FROM kcc GROUP BY kmer),
+t AS (SELECT kc.*, coalesce(f_0, 0) AS f_0, coalesce(f_1, 0) AS f_1, coalesce(f_2, 0) AS f_2 FROM kc LEFT JOIN f ON kc.kmer = f.kmer)
+"""
+
+
+def _filtered(spark: SparkSession, d: str) -> DataFrame:
+    sets = [C.samples_per_kmer(_of_class(spark, d, g, 1)) for g in range(3)]
+    return C.multiple_filters(_counts(spark, d, 1), sets)
+
+
+@query(SQL_SETS + "SELECT sample, kmer, freq FROM t WHERE f_0 + f_1 + f_2 > 0")
+def multi_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose k-mer is in the k-mer set of any class."""
+    return C.in_any(_filtered(spark, d)).select("sample", "kmer", "freq")
+
+
+@query(SQL_SETS + "SELECT f_0, f_1, f_2, count(*) AS n FROM t GROUP BY f_0, f_1, f_2")
+def multi_filter_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by their k-mer's support in the three sets, those in none included."""
+    return _filtered(spark, d).groupBy("f_0", "f_1", "f_2").agg(F.count("*").alias("n"))
+
+
+SQL_UNIQUE = f"""WITH {_sql_counts(1)},
+u AS (SELECT kmer, CAST(least(sum(freq), 32767) AS INT) AS freq, count(*) AS n_samples FROM kcc WHERE color = 0
+      AND kmer NOT IN (SELECT kmer FROM kcc WHERE color = 1) GROUP BY kmer) """
+
+
+def _unique(spark: SparkSession, d: str) -> DataFrame:
+    return C.unique_kmers(_of_class(spark, d, 0, 1), _of_class(spark, d, 1, 1))
+
+
+@query(SQL_UNIQUE + "SELECT kmer, freq FROM u")
+def unique_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """K-mers of class 0 that no sample of class 1 has."""
+    return _unique(spark, d).select("kmer", "freq")
+
+
+@query(SQL_UNIQUE + "SELECT level, kmer, freq FROM u, (SELECT unnest([1, 2, 3]) AS level) l WHERE n_samples >= level")
+def unique_kmers_multi(spark: SparkSession, d: str) -> DataFrame:
+    """The same, nested by the number of samples of class 0 that have the k-mer: at least 1, 2, 3."""
+    return C.unique_levels(_unique(spark, d), 1, 3)
+
+
+SQL_COLORED = f"""WITH {_sql_counts(1)},
+c AS (SELECT kmer, least(count(*) FILTER (WHERE color = 0), 1048575) AS c0, least(count(*) FILTER (WHERE color = 1), 1048575) AS c1,
+      least(count(*) FILTER (WHERE color = 2), 1048575) AS c2 FROM kcc GROUP BY kmer) """
+
+
+@query(SQL_COLORED + "SELECT kmer, c0, c1, c2, c0 + (c1 << 20) + (c2 << 40) AS packed FROM c")
+def kmers_color(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of each class that have a k-mer, as three counters and packed into one LONG."""
+    df = C.colored(_counts(spark, d, 1), _classes(spark, d))
+    return df.withColumn("packed", dna.color_pack("c0", "c1", "c2"))
+
+
+@query(
+    f"""WITH {_sql_counts(1)} SELECT kmer, least(sum(CASE WHEN color = 0 THEN freq ELSE 0 END), 1048575)::BIGINT AS c0,
+least(sum(CASE WHEN color = 1 THEN freq ELSE 0 END), 1048575)::BIGINT AS c1,
+least(sum(CASE WHEN color = 2 THEN freq ELSE 0 END), 1048575)::BIGINT AS c2 FROM kcc GROUP BY kmer"""
+)
+def kmers_color_values(spark: SparkSession, d: str) -> DataFrame:
+    """The same with frequencies instead of samples."""
+    return C.colored(_counts(spark, d, 1), _classes(spark, d), values=True)
+
+
+@query(
+    SQL_COLORED
+    + """SELECT kmer, CASE WHEN c0 + c1 + c2 = 0 THEN -1 WHEN c0 >= 0.9 * (c0 + c1 + c2) THEN 0 WHEN c1 >= 0.9 * (c0 + c1 + c2) THEN 1
+WHEN c2 >= 0.9 * (c0 + c1 + c2) THEN 2 ELSE -1 END AS color FROM c"""
+)
+def dominant_color(spark: SparkSession, d: str) -> DataFrame:
+    """The class that has at least nine tenths of a k-mer's samples, or -1."""
+    df = C.colored(_counts(spark, d, 1), _classes(spark, d))
+    return df.select("kmer", dna.dominant_color("c0", "c1", "c2").alias("color"))
+
+
+@query(
+    f"""WITH {_sql_counts(0)}, a AS (SELECT kmer, CAST(least(sum(freq), 32767) AS INT) AS freq FROM kcc WHERE color = 0 GROUP BY kmer),
+b AS (SELECT kmer, CAST(least(sum(freq), 32767) AS INT) AS freq FROM kcc WHERE color = 1 GROUP BY kmer)
+SELECT a.kmer, a.freq AS left_count, coalesce(b.freq, 0) AS right_count FROM a LEFT JOIN b ON a.kmer = b.kmer"""
+)
+def double_view(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled counts of class 0 beside those of class 1."""
+    return C.double_view(C.pooled(_of_class(spark, d, 0)), C.pooled(_of_class(spark, d, 1)))
+
+
+@query(
+    f"""WITH {_sql_counts(0)}, i AS (SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS idx FROM (SELECT DISTINCT sample FROM kc))
+SELECT kmer, count(*) AS n_bits, count(*) FILTER (WHERE idx >= 10 AND idx < 70) AS n_inside FROM kc JOIN i ON kc.sample = i.sample GROUP BY kmer"""
+)
+def presence_bitmap_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    """Presence bitmaps over all samples: set bits in all and among samples 10 to 69."""
+    counts = _counts(spark, d)
+    samples = counts.select("sample").distinct()
+    # One row a sample: numbering them in one window is bounded by the number of samples.
+    samples = samples.withColumn("idx", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("sample")) - 1)
+    maps = C.presence_bitmap(counts, samples)
+    return maps.select(
+        "kmer", C.cardinality("words", 0, 1 << 20).cast("long").alias("n_bits"), C.cardinality("words", 10, 70).cast("long").alias("n_inside")
+    )

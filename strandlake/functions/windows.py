@@ -105,9 +105,9 @@ def _count(k: int, keys: list[str]):
             return
         head = np.flatnonzero(np.r_[True, (kmer[1:] != kmer[:-1]) | (own[1:] != own[:-1])])
         count = np.diff(np.r_[head, len(kmer)])
-        out = table.select(keys).take(pa.array(row[head]))
-        out = out.append_column("kmer", pa.array(kmer[head])).append_column("freq", pa.array(count))
-        yield from out.combine_chunks().to_batches()
+        at = pa.array(row[head])
+        columns = [table[c].combine_chunks().take(at) for c in keys]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(kmer[head]), pa.array(count)], [*keys, "kmer", "freq"])
 
     return work
 
