@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 
 from strandlake.functions import dna
 from strandlake.operators import counts as C
+from strandlake.operators import stats as S
 from strandlake.tables import good_reads, members, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,3 +304,144 @@ def presence_bitmap_cardinality(spark: SparkSession, d: str) -> DataFrame:
     return maps.select(
         "kmer", C.cardinality("words", 0, 1 << 20).cast("long").alias("n_bits"), C.cardinality("words", 10, 70).cast("long").alias("n_inside")
     )
+
+
+# Statistics. Means and z are rounded alike on both sides.
+
+
+def _sql_stats(groups: tuple[int, ...], m: int = 0) -> str:
+    """Presence counts with chi-squared (`p`), group sizes (`gs`), and rows of the groups (`g`)."""
+    listed = ", ".join(map(str, groups))
+    sizes = ", ".join(f"CAST(count(DISTINCT CASE WHEN color = {i} THEN sample END) AS DOUBLE) AS s{i}" for i in groups)
+    present = ", ".join(f"count(*) FILTER (WHERE color = {i}) AS n_{i}" for i in groups)
+    have = [f"(100 * n_{i} / s{i})" for i in groups]
+    lack = [f"(100 * (s{i} - n_{i}) / s{i})" for i in groups]
+    cells = []
+    for side in (have, lack):
+        expected = f"(({' + '.join(side)}) / {len(side)}.0)"
+        cells += [f"(CASE WHEN {expected} = 0 THEN CAST('inf' AS DOUBLE) ELSE power(abs({x} - {expected}) - 0.5, 2) / {expected} END)" for x in side]
+    return f"""{_sql_counts(0)},
+g AS (SELECT * FROM kcc WHERE color IN ({listed})),
+gs AS (SELECT {sizes}, CAST(count(DISTINCT sample) AS BIGINT) AS total FROM g),
+p0 AS (SELECT kmer, {present}, count(*) AS n FROM g WHERE freq > {m} GROUP BY kmer),
+p AS (SELECT p0.*, gs.*, round({' + '.join(cells)}, 9) AS chi2 FROM p0, gs)"""
+
+
+def _sql_specific(groups: tuple[int, ...], quantile: float, limit: float, m: int = 0, values: str = "total", common: bool = False) -> str:
+    keep = f"n > ceil(0.05 * total) AND " + (f"(chi2 > {quantile} OR n = total)" if common else f"n < total AND chi2 > {quantile}")
+    size = "sum(freq)"
+    mean = "floor(avg(t))" if values == "whole" else "avg(t)"
+    value = "CAST(freq AS DOUBLE)" if values == "raw" else "freq * mean / t"
+    pairs = [(a, b) for i, a in enumerate(groups) for b in groups[i + 1 :]]
+    zs, joins = [], []
+    parts = ""
+    for a, b in pairs:
+        parts += f""",
+r_{a}_{b} AS (SELECT kmer, color, rank() OVER (PARTITION BY kmer ORDER BY v) + (count(*) OVER (PARTITION BY kmer, v) - 1) / 2.0 AS rk
+  FROM (SELECT kmer, color, round(value, 9) AS v FROM v WHERE color IN ({a}, {b})) x),
+u_{a}_{b} AS (SELECT kmer, sa, sb, z * n_a + CASE WHEN true THEN rk END + (sa - n_a) * (z + 1) / 2.0 - sa * (sa + 1) / 2.0 AS u FROM
+  (SELECT kmer, any_value(gs.s{a}) AS sa, any_value(gs.s{b}) AS sb, count(*) FILTER (WHERE color = {a}) AS n_a,
+   any_value(gs.s{a} + gs.s{b}) - count(*) AS z, coalesce(sum(rk) FILTER (WHERE color = {a}), 0) AS rk FROM r_{a}_{b}, gs GROUP BY kmer) y),
+z_{a}_{b} AS (SELECT kmer, round((least(u, sa * sb - u) - sa * sb / 2) / sqrt(sa * sb * (sa + sb + 1) / 12), 9) AS z FROM u_{a}_{b})"""
+        zs.append(f"coalesce(z_{a}_{b}.z, 0)")
+        joins.append(f"LEFT JOIN z_{a}_{b} ON z_{a}_{b}.kmer = mm.kmer")
+    means = ", ".join(f"round(coalesce(sum(value) FILTER (WHERE color = {i}), 0) / any_value(gs.s{i}), 6) AS m{i}" for i in groups)
+    choose = "CASE " + " ".join(
+        f"WHEN {' AND '.join(f'm{i} > m{j}' for j in groups if j != i)} THEN {i}" for i in groups[:-1]
+    ) + f" ELSE {groups[-1]} END"
+    taken = "CASE " + " ".join(f"WHEN grp = {i} THEN m{i}" for i in groups) + " END"
+    low = f"least({', '.join(zs)})" if len(zs) > 1 else zs[0]
+    return f"""WITH {_sql_stats(groups, m)},
+tot AS (SELECT sample, CAST({size} AS DOUBLE) AS t FROM g GROUP BY sample), mt AS (SELECT {mean} AS mean FROM tot),
+v AS (SELECT kmer, color, {value} AS value FROM g JOIN tot ON g.sample = tot.sample, mt WHERE kmer IN (SELECT kmer FROM p WHERE {keep})){parts},
+mm AS (SELECT kmer, {means} FROM v, gs GROUP BY kmer),
+c AS (SELECT mm.*, {choose} AS grp FROM mm {' '.join(joins)} WHERE {low} {'<=' if common else '<'} {limit})
+SELECT kmer, grp AS "group", CAST(floor({taken}) AS INT) AS value FROM c"""
+
+
+Z05 = NormalDist().inv_cdf(0.025)
+Q1, Q2 = S.chi2_quantile(0.05, 1), S.chi2_quantile(0.05, 2)
+
+
+@query(f"WITH {_sql_stats((0, 1))} SELECT kmer, n_0, n_1, chi2 FROM p WHERE n > ceil(0.05 * total) AND n < total")
+def chi2_two_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Presence in two classes and the chi-squared statistic of informative k-mers."""
+    classed = C.with_class(_counts(spark, d), _classes(spark, d))
+    sizes = S.group_sizes(classed, (0, 1))
+    return S.informative(S.presence(classed, (0, 1), sizes), sum(sizes.values())).select("kmer", "n_0", "n_1", "chi2")
+
+
+@query(f"WITH {_sql_stats((0, 1, 2))} SELECT kmer, n_0, n_1, n_2, chi2 FROM p WHERE n > ceil(0.05 * total) AND n < total")
+def chi2_three_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The same of three classes."""
+    classed = C.with_class(_counts(spark, d), _classes(spark, d))
+    sizes = S.group_sizes(classed, (0, 1, 2))
+    return S.informative(S.presence(classed, (0, 1, 2), sizes), sum(sizes.values())).select("kmer", "n_0", "n_1", "n_2", "chi2")
+
+
+@query(
+    f"""WITH {_sql_counts(0)}, g AS (SELECT * FROM kcc WHERE color IN (0, 1)),
+gs AS (SELECT CAST(count(DISTINCT CASE WHEN color = 0 THEN sample END) AS DOUBLE) AS sa,
+       CAST(count(DISTINCT CASE WHEN color = 1 THEN sample END) AS DOUBLE) AS sb FROM g),
+r AS (SELECT kmer, color, rank() OVER (PARTITION BY kmer ORDER BY freq) + (count(*) OVER (PARTITION BY kmer, freq) - 1) / 2.0 AS rk FROM g),
+y AS (SELECT kmer, any_value(sa) AS sa, any_value(sb) AS sb, count(*) FILTER (WHERE color = 0) AS n_a, any_value(sa + sb) - count(*) AS z,
+      coalesce(sum(rk) FILTER (WHERE color = 0), 0) AS rk FROM r, gs GROUP BY kmer),
+u AS (SELECT kmer, sa, sb, rk + z * n_a + (sa - n_a) * (z + 1) / 2.0 - sa * (sa + 1) / 2.0 AS u FROM y)
+SELECT kmer, round((least(u, sa * sb - u) - sa * sb / 2) / sqrt(sa * sb * (sa + sb + 1) / 12), 9) AS z_0_1 FROM u"""
+)
+def mann_whitney_u(spark: SparkSession, d: str) -> DataFrame:
+    """z of the Mann-Whitney test on raw frequencies of classes 0 and 1, for every k-mer."""
+    classed = C.with_class(_counts(spark, d), _classes(spark, d))
+    sizes = S.group_sizes(classed, (0, 1))
+    return S.mann_whitney(classed.withColumn("value", F.col("freq").cast("double")), [(0, 1)], sizes)
+
+
+@query(_sql_specific((0, 1), Q1, Z05))
+def stats_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """K-mers that tell two classes apart, on frequencies normalised by the samples' totals."""
+    return S.group_specific(_counts(spark, d), _classes(spark, d))
+
+
+@query(_sql_specific((0, 1, 2), Q2, Z05))
+def stats_kmers_3(spark: SparkSession, d: str) -> DataFrame:
+    """K-mers that tell three classes apart."""
+    return S.group_specific(_counts(spark, d), _classes(spark, d), (0, 1, 2))
+
+
+@query(_sql_specific((0, 1), Q1, Z05, values="raw", common=True))
+def specific_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """K-mers specific to one of two classes on raw frequencies; k-mers of all samples may pass."""
+    return S.group_specific(_counts(spark, d), _classes(spark, d), values="raw", keep_common=True)
+
+
+@query(_sql_specific((0, 1, 2), Q1, Z05, values="whole"))
+def specific_kmers_3(spark: SparkSession, d: str) -> DataFrame:
+    """K-mers specific to one of three classes, tested at one degree of freedom."""
+    return S.group_specific(_counts(spark, d), _classes(spark, d), (0, 1, 2), df=1, values="whole")
+
+
+@query(
+    f"""WITH {_sql_stats((0, 1))}, q AS (SELECT kmer, chi2, row_number() OVER (ORDER BY chi2 DESC, kmer) - 1 AS rank
+FROM p WHERE n > ceil(0.05 * total) AND n < total) SELECT * FROM q"""
+)
+def ranked_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """All informative k-mers with their rank by chi-squared."""
+    return S.ranked(_counts(spark, d), _classes(spark, d))
+
+
+@query(
+    f"""WITH {_sql_stats((0, 1, 2))}, q AS (SELECT kmer, chi2, row_number() OVER (ORDER BY chi2 DESC, kmer) - 1 AS rank
+FROM p WHERE n > ceil(0.05 * total) AND n < total) SELECT * FROM q WHERE rank < 20"""
+)
+def top_stats_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 k-mers that differ most between three classes."""
+    return S.ranked(_counts(spark, d), _classes(spark, d), (0, 1, 2)).where("rank < 20")
+
+
+@query(
+    f"""WITH {_sql_stats((0, 1))}, q AS (SELECT kmer, row_number() OVER (ORDER BY chi2 DESC, kmer) - 1 AS rank
+FROM p WHERE n > ceil(0.05 * total) AND n < total) SELECT * FROM q WHERE rank < 3"""
+)
+def subset_specific(spark: SparkSession, d: str) -> DataFrame:
+    """The first 3 k-mers of given ranks."""
+    return S.subset(S.ranked(_counts(spark, d), _classes(spark, d)).select("kmer", "rank"), 3)
