@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from strandlake.functions import dna
 from strandlake.operators import counts as C
+from strandlake.operators import features as V
 from strandlake.operators import stats as S
 from strandlake.tables import good_reads, members, table
 
@@ -445,3 +446,80 @@ FROM p WHERE n > ceil(0.05 * total) AND n < total) SELECT * FROM q WHERE rank <
 def subset_specific(spark: SparkSession, d: str) -> DataFrame:
     """The first 3 k-mers of given ranks."""
     return S.subset(S.ranked(_counts(spark, d), _classes(spark, d)).select("kmer", "rank"), 3)
+
+
+# Features, distances, clustering.
+
+# The component table holds k-mers of other libraries than the counts, so the queries group k-mers that several samples
+# have into 50 components by their code.
+SQL_PARTS = """parts AS (SELECT CAST(kmer % 50 AS INT) AS comp_no, kmer FROM kc GROUP BY kmer HAVING count(*) > 1),
+sizes AS (SELECT comp_no, count(*) AS size FROM parts GROUP BY comp_no)"""
+
+
+def _parts(counts: DataFrame) -> DataFrame:
+    shared = counts.groupBy("kmer").count().where("count > 1")
+    return shared.select((F.col("kmer") % 50).cast("int").alias("comp_no"), "kmer")
+
+
+@query(
+    f"""WITH {_sql_counts(0)}, {SQL_PARTS} SELECT sample, parts.comp_no, CAST(sum(freq) AS BIGINT) AS value, round(count(*) / any_value(size), 9) AS breadth
+FROM kc JOIN parts ON kc.kmer = parts.kmer JOIN sizes ON sizes.comp_no = parts.comp_no GROUP BY sample, parts.comp_no"""
+)
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage and breadth of every component in every sample that has one of its k-mers."""
+    counts = _counts(spark, d)
+    return V.coverage(_parts(counts), counts).withColumn("breadth", F.round("breadth", 9))
+
+
+@query(
+    f"""WITH {_sql_counts(0)}, {SQL_PARTS}, sel AS (SELECT kmer FROM kc WHERE freq > 2)
+SELECT sample, parts.comp_no, CAST(sum(freq) AS BIGINT) AS value, round(count(*) / any_value(size), 9) AS breadth
+FROM kc JOIN parts ON kc.kmer = parts.kmer JOIN sizes ON sizes.comp_no = parts.comp_no
+WHERE kc.kmer IN (SELECT kmer FROM sel) GROUP BY sample, parts.comp_no"""
+)
+def features_selected(spark: SparkSession, d: str) -> DataFrame:
+    """The same restricted to k-mers that some sample has more than twice."""
+    counts = _counts(spark, d)
+    rows = V.coverage(_parts(counts), counts, selected=counts.where("freq > 2"))
+    return rows.withColumn("breadth", F.round("breadth", 9))
+
+
+@query(
+    """SELECT comp_no, count(*) AS n_samples, CAST(sum(value) AS BIGINT) AS value, round(max(breadth), 9) AS max_breadth
+FROM (SELECT DISTINCT sample, comp_no, value, breadth FROM features) WHERE value > 0 GROUP BY comp_no"""
+)
+def feature_breadth(spark: SparkSession, d: str) -> DataFrame:
+    """Per component of the feature table: samples that cover it, summed value, largest breadth."""
+    rows = table(spark, d, "features").select("sample", "comp_no", "value", "breadth").distinct().where("value > 0")
+    return rows.groupBy("comp_no").agg(
+        F.count("*").alias("n_samples"), F.sum("value").alias("value"), F.round(F.max("breadth"), 9).alias("max_breadth")
+    )
+
+
+@query(
+    """WITH f AS (SELECT sample, comp_no, max(value) AS v FROM features WHERE value <> 0 AND sample IS NOT NULL GROUP BY sample, comp_no),
+t AS (SELECT sample, sum(v) AS total FROM f GROUP BY sample),
+c AS (SELECT a.sample AS sample_i, b.sample AS sample_j, sum(least(a.v, b.v)) AS common FROM f a JOIN f b
+      ON a.comp_no = b.comp_no AND a.sample < b.sample GROUP BY a.sample, b.sample)
+SELECT x.sample AS sample_i, y.sample AS sample_j,
+round(CAST(x.total + y.total - 2 * coalesce(common, 0) AS DOUBLE) / CAST(x.total + y.total AS DOUBLE), 9) AS dist
+FROM t x JOIN t y ON x.sample < y.sample LEFT JOIN c ON c.sample_i = x.sample AND c.sample_j = y.sample"""
+)
+def bray_curtis(spark: SparkSession, d: str) -> DataFrame:
+    """The distance matrix of all samples of the feature table, upper half."""
+    return V.bray_curtis(V.vectors(table(spark, d, "features"))).withColumn("dist", F.round("dist", 9))
+
+
+@query(
+    """SELECT study, least(sample_i, sample_j) AS sample_i, greatest(sample_i, sample_j) AS sample_j, min(dist) AS dist
+FROM distances WHERE dist IS NOT NULL AND sample_i <> sample_j GROUP BY 1, 2, 3"""
+)
+def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The matrices of the distance table with every pair once."""
+    return V.clean_distances(table(spark, d, "distances"))
+
+
+@query()
+def upgma_order(spark: SparkSession, d: str) -> DataFrame:
+    """Leaf order of each study's matrix under average linkage."""
+    return V.leaf_order(V.clean_distances(table(spark, d, "distances")), "study")
