@@ -12,7 +12,9 @@ from pyspark.sql import Window as W
 from strandlake.functions import dna
 from strandlake.operators import counts as C
 from strandlake.operators import features as V
+from strandlake.operators import graph as G
 from strandlake.operators import stats as S
+from strandlake.runtime import materialize
 from strandlake.tables import good_reads, members, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -523,3 +525,143 @@ def distance_matrix(spark: SparkSession, d: str) -> DataFrame:
 def upgma_order(spark: SparkSession, d: str) -> DataFrame:
     """Leaf order of each study's matrix under average linkage."""
     return V.leaf_order(V.clean_distances(table(spark, d, "distances")), "study")
+
+
+# Graphs. The vertices are the k-mers of the component table, or the 21-mers of the reads.
+
+SQL_GRAPH = f"""s AS (SELECT DISTINCT kmer AS code, {_decoded(31)} AS kmer FROM component_kmers WHERE kmer IS NOT NULL),
+n AS ({" UNION ".join(
+    f"SELECT code, least({x}, reverse(translate({x}, 'ACGT', 'TGCA'))) AS neighbour FROM s"
+    for c in "ACGT" for x in (f"concat(substr(kmer, 2), '{c}')", f"concat('{c}', substr(kmer, 1, 30))")
+)}),
+e AS (SELECT n.code AS src, s.code AS dst FROM n JOIN s ON n.neighbour = s.kmer WHERE n.code <> s.code)"""
+
+
+def _vertices(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "component_kmers").where("kmer IS NOT NULL").select("kmer").distinct()
+
+
+@query(f"WITH {SQL_GRAPH} SELECT src, dst FROM e")
+def dbg_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between component k-mers, both directions."""
+    return G.edges(_vertices(spark, d), 31)
+
+
+@query(
+    f"""WITH RECURSIVE {SQL_GRAPH},
+cc(kmer, label) USING KEY (kmer) AS (SELECT code, code FROM s UNION
+  SELECT e.dst, min(cc.label) FROM cc JOIN e ON cc.kmer = e.src JOIN recurring.cc AS r ON r.kmer = e.dst WHERE cc.label < r.label GROUP BY e.dst)
+SELECT kmer, label FROM cc"""
+)
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    """The connected component of every component k-mer, named by its smallest k-mer."""
+    v = _vertices(spark, d)
+    return G.labelled(v, G.edges(v, 31)).select("kmer", "label")
+
+
+def _sql_extensions(k: int) -> str:
+    right = " UNION ".join(f"SELECT kmer, '{c}' AS x, concat(substr(kmer, 2), '{c}') AS t FROM s" for c in "ACGT")
+    left = " UNION ".join(f"SELECT kmer, '{c}' AS x, concat('{c}', substr(kmer, 1, {k - 1})) AS t FROM s" for c in "ACGT")
+    one = lambda rows: f"SELECT kmer FROM ({rows}) q WHERE least(t, reverse(translate(t, 'ACGT', 'TGCA'))) IN (SELECT kmer FROM s) GROUP BY kmer HAVING count(*) > 1"
+    return f"SELECT kmer FROM ({one(right)} UNION {one(left)}) z"
+
+
+@query(f"WITH {_sql_windows(K, 'true')}, s AS (SELECT DISTINCT kmer FROM k) {_sql_extensions(K)}")
+def branching_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """21-mers of all reads that more than one other follows on some side."""
+    v = C.kmer_counts(good_reads(table(spark, d, "seq_reads")), K, 0, ()).select("kmer")
+    return G.branching(v, K).select(dna.decode("kmer", K).alias("kmer"))
+
+
+def _read_counts(spark: SparkSession, d: str) -> DataFrame:
+    return C.kmer_counts(_reads(spark, d), K, 0)
+
+
+@query()
+def unitigs(spark: SparkSession, d: str) -> DataFrame:
+    """Maximal unbranched sequences of at least 100 letters of every sample's reads."""
+    return G.unitigs(materialize(_read_counts(spark, d)), K, 100, "sample")
+
+
+@query()
+def unitig_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Number, letters and longest of all unitigs of each sample."""
+    rows = G.unitigs(materialize(_read_counts(spark, d)), K, 0, "sample")
+    return rows.groupBy("sample").agg(
+        F.count("*").alias("n"), F.sum("length").alias("letters"), F.max("length").alias("longest"), F.max("max_weight").alias("max_weight")
+    )
+
+
+@query(
+    f"""WITH {SQL_READS}, l AS (SELECT length(seq) AS len, sum(length(seq)) AS mass FROM r GROUP BY 1),
+u AS (SELECT len, sum(mass) OVER (ORDER BY len DESC) AS upto, sum(mass) OVER () AS every FROM l)
+SELECT CAST(max(len) AS BIGINT) AS n50 FROM u WHERE 2 * upto >= every"""
+)
+def n50(spark: SparkSession, d: str) -> DataFrame:
+    """N50 of the reads."""
+    return G.n50(good_reads(table(spark, d, "seq_reads")).select(F.length("seq").alias("length")))
+
+
+@query()
+def component_cutter(spark: SparkSession, d: str) -> DataFrame:
+    """Components of 30 to 100 k-mers, larger ones cut by the number of components that hold a k-mer."""
+    rows = table(spark, d, "component_kmers").where("kmer IS NOT NULL").groupBy("kmer").agg(F.count_distinct("comp_no").alias("freq"))
+    return G.cut_components(rows, 31, 30, 100)[0]
+
+
+@query()
+def colored_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components around the k-mers of each class of the count table: size and own k-mers."""
+    colors = C.colored(_counts(spark, d), _classes(spark, d))
+    rows = G.colored_components(materialize(colors), 31)
+    return rows.groupBy("color", "label").agg(F.count("*").alias("size"))
+
+
+@query(
+    f"""WITH {SQL_READS}, w AS (SELECT read_no, substr(seq, i, 21) AS km FROM r, unnest(range(1, length(seq) - 19)) t(i)),
+k AS (SELECT read_no, least(km, reverse(translate(km, 'ACGT', 'TGCA'))) AS km FROM w)
+SELECT read_no, count(DISTINCT km) AS size, count(*) AS weight FROM k GROUP BY read_no"""
+)
+def seq2comp(spark: SparkSession, d: str) -> DataFrame:
+    """Every read as a component: distinct k-mers and k-mers with repeats."""
+    return G.sequence_components(good_reads(table(spark, d, "seq_reads")), K, "read_no").select("read_no", "size", "weight")
+
+
+@query(
+    f"""WITH {_sql_windows(K, 'true')}, h AS (SELECT kmer FROM k GROUP BY kmer HAVING count(*) > 1),
+x AS (SELECT read_no, i, i - row_number() OVER (PARTITION BY read_no ORDER BY i) AS isl FROM k WHERE kmer IN (SELECT kmer FROM h)),
+p AS (SELECT read_no, min(i) - 1 AS start, count(*) + {K - 1} AS length FROM x GROUP BY read_no, isl HAVING count(*) + {K - 1} >= 50)
+SELECT 1 AS comp_no, p.read_no, CAST(start AS INT) AS start, p.length, substr(seq, CAST(start AS INT) + 1, CAST(p.length AS INT)) AS path
+FROM p JOIN r ON p.read_no = r.read_no"""
+)
+def component_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of at least 50 letters of reads along the k-mers that occur more than once."""
+    reads = good_reads(table(spark, d, "seq_reads"))
+    again = C.kmer_counts(reads, K, 1, ()).select(F.lit(1).alias("comp_no"), "kmer")
+    return G.paths(reads, again, K, "read_no").select("comp_no", "read_no", "start", "length", "path")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT comp_no, pos FROM component_kmers),
+a AS (SELECT comp_no, min(pos) + 3 * s AS st, min(pos) + 5 * s + 9 AS en FROM c, (SELECT unnest([0, 1, 2, 3, 4]) AS s) q GROUP BY comp_no, s)
+SELECT c.comp_no, c.pos, count(a.st) AS depth FROM c LEFT JOIN a ON a.comp_no = c.comp_no AND c.pos BETWEEN a.st AND a.en GROUP BY c.comp_no, c.pos"""
+)
+def read_coverage_by_position(spark: SparkSession, d: str) -> DataFrame:
+    """How many of five intervals per component cover each of its places."""
+    places = table(spark, d, "component_kmers").select("comp_no", "pos").distinct()
+    first = places.groupBy("comp_no").agg(F.min("pos").alias("p")).select("comp_no", "p", F.explode(F.expr("sequence(0, 4)")).alias("s"))
+    spans = first.select("comp_no", F.expr("p + 3 * s").alias("start"), F.expr("p + 5 * s + 9").alias("end"))
+    return G.position_coverage(places, spans, "comp_no").withColumn("depth", F.col("depth").cast("long"))
+
+
+@query(
+    """WITH RECURSIVE v AS (SELECT DISTINCT kmer FROM component_kmers WHERE kmer IS NOT NULL),
+b(depth, kmer) USING KEY (kmer) AS (SELECT 0, kmer FROM v WHERE kmer % 1000 = 0 UNION
+  SELECT min(b.depth) + 1, v.kmer FROM b JOIN v ON (v.kmer & ((1::BIGINT << 60) - 1)) = (b.kmer >> 2)
+  LEFT JOIN recurring.b AS r ON r.kmer = v.kmer WHERE r.kmer IS NULL AND b.depth < 12 GROUP BY v.kmer)
+SELECT depth, count(*) AS n_kmers, count(*) AS freq FROM b GROUP BY depth"""
+)
+def bfs_depth_stats(spark: SparkSession, d: str) -> DataFrame:
+    """K-mers reached by 0 to 12 steps to the left of those whose code is a multiple of 1000."""
+    v = materialize(_vertices(spark, d).withColumn("freq", F.lit(1)))
+    return G.leftward_levels(v, v.where("kmer % 1000 = 0").select("kmer"), 31, 12)
