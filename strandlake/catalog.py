@@ -14,7 +14,11 @@ from strandlake.operators import counts as C
 from strandlake.operators import features as V
 from strandlake.operators import graph as G
 from strandlake.operators import stats as S
-from strandlake.runtime import materialize
+from strandlake.operators import walks
+from strandlake.plans import pipelines as P
+from strandlake.runtime import materialize, numbered
+from strandlake.sources import text as X
+from strandlake.streaming import counting as streams
 from strandlake.tables import good_reads, members, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -665,3 +669,144 @@ def bfs_depth_stats(spark: SparkSession, d: str) -> DataFrame:
     """K-mers reached by 0 to 12 steps to the left of those whose code is a multiple of 1000."""
     v = materialize(_vertices(spark, d).withColumn("freq", F.lit(1)))
     return G.leftward_levels(v, v.where("kmer % 1000 = 0").select("kmer"), 31, 12)
+
+
+# Walks, pipelines, exports, streams.
+
+
+@query()
+def pivot_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components grown around every hundredth code of the component k-mers: size and pivots."""
+    v = _vertices(spark, d).withColumn("freq", F.lit(1))
+    rows = walks.pivot_components(v, v.where("kmer % 100 = 0"), 31)
+    return rows.groupBy("comp_no").agg(F.count("*").alias("size"), F.max("n_pivot").alias("n_pivot"))
+
+
+@query()
+def pivot_components_deep(spark: SparkSession, d: str) -> DataFrame:
+    """The same with probes past two forks."""
+    v = _vertices(spark, d).withColumn("freq", F.lit(1))
+    rows = walks.pivot_components(v, v.where("kmer % 100 = 0"), 31, 3)
+    return rows.groupBy("comp_no").agg(F.count("*").alias("size"), F.max("n_pivot").alias("n_pivot"))
+
+
+@query()
+def linear_components(spark: SparkSession, d: str) -> DataFrame:
+    """Unbranching components around three classes of the component k-mers."""
+    third = [F.when(F.col("kmer") % 3 == g, 1).otherwise(0).cast("long").alias(f"c{g}") for g in range(3)]
+    rows = walks.linear_components(_vertices(spark, d).select("kmer", *third), 31)
+    return rows.groupBy("color", "label").agg(F.count("*").alias("size"))
+
+
+@query()
+def matrix_builder(spark: SparkSession, d: str) -> DataFrame:
+    """Reads to distances of the samples: counts, sequences, components of 20 to 2000 k-mers, features, distances."""
+    return P.distance_matrix(_reads(spark, d), K, 1, 30, 20, 2000).distances
+
+
+@query()
+def unique_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of the k-mers that three samples of class 0 and none of class 1 have."""
+    return P.unique_features(_of_class(spark, d, 0), _of_class(spark, d, 1), 31, 0, 3).features
+
+
+@query()
+def stats_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of the k-mers that are more frequent in class 0 than in class 1, at p 0.2."""
+    return P.stats_features(_counts(spark, d), _classes(spark, d), 31, 0, 0.2, 0.2).features
+
+
+@query(SQL_SETS + "SELECT sample, kmer, freq, f_0, f_1, f_2 FROM (SELECT sample, kmer, freq, CASE WHEN f_0 > 1 THEN f_0 ELSE 0 END AS f_0, "
+       "CASE WHEN f_1 > 1 THEN f_1 ELSE 0 END AS f_1, CASE WHEN f_2 > 1 THEN f_2 ELSE 0 END AS f_2 FROM t) q WHERE f_0 + f_1 + f_2 > 0")
+def specific_features(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose k-mer two samples of some class have, with its support in each."""
+    return P.specific_features(_counts(spark, d, 1), _classes(spark, d), 1, 2)
+
+
+@query()
+def colored_features(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of the components around each class's k-mers."""
+    return P.colored_features(_counts(spark, d, 1), _classes(spark, d))
+
+
+@query()
+def supergraph(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of the joint graph of all samples' reads without branching k-mers."""
+    rows = P.supergraph(_read_counts(spark, d), K, 0)
+    return rows.where("length >= 100").select("length", "av_weight", "kmers")
+
+
+def _units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "component_kmers").where("kmer IS NOT NULL").select("comp_no", "kmer").distinct()
+    counts = materialize(rows.withColumn("freq", F.lit(1)))
+    units = numbered(G.unitigs(counts, 31, 31, "comp_no"), ["comp_no", "seq"], "id", 1)
+    return materialize(units), materialize(rows.select("kmer").distinct().withColumn("freq", F.lit(1)))
+
+
+@query()
+def comp2seq(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of every component."""
+    return _units(spark, d)[0].select("comp_no", "id", "seq", "length")
+
+
+@query()
+def gfa_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of the components' graphs with their coverage."""
+    units, counts = _units(spark, d)
+    return X.gfa_segments(units.select("comp_no", "id", "seq"), counts, 31, "comp_no")
+
+
+@query()
+def gfa_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between the segments."""
+    return G.links(_units(spark, d)[0], 31, "comp_no")
+
+
+@query(f"SELECT concat({_decoded(31)}, chr(9), CAST(sum(freq) AS VARCHAR)) AS value FROM (SELECT DISTINCT sample, kmer, freq, run_at FROM kmer_counts WHERE kmer IS NOT NULL AND freq >= 1 AND sample IS NOT NULL) q GROUP BY kmer HAVING sum(freq) < 30000")
+def kmer_view(spark: SparkSession, d: str) -> DataFrame:
+    """The pooled count table as lines of letters and count."""
+    rows = _counts(spark, d).groupBy("kmer").agg(F.sum("freq").alias("freq")).where("freq < 30000")
+    return X.kmer_lines(rows, 31)
+
+
+@query(f"SELECT DISTINCT comp_no, concat('>comp_', CAST(comp_no AS VARCHAR), chr(10), {_decoded(31)}) AS value FROM component_kmers WHERE kmer IS NOT NULL")
+def components_fasta(spark: SparkSession, d: str) -> DataFrame:
+    """The components' k-mers as FASTA records."""
+    rows = table(spark, d, "component_kmers").where("kmer IS NOT NULL").select("comp_no", "kmer").distinct()
+    return X.kmer_fasta(rows, 31)
+
+
+@query(
+    """SELECT comp_no, max(size) AS size, max(weight) AS weight, max(n_pivot) AS n_pivot, max(freq_threshold) AS freq_threshold,
+row_number() OVER (ORDER BY max(freq_threshold) NULLS LAST, max(weight) DESC NULLS LAST, max(size) DESC NULLS LAST, comp_no) AS place
+FROM components GROUP BY comp_no"""
+)
+def components_stat(spark: SparkSession, d: str) -> DataFrame:
+    """The component table once per component, with its place in the order of threshold, weight and size."""
+    rows = table(spark, d, "components").groupBy("comp_no").agg(*[F.max(c).alias(c) for c in ("size", "weight", "n_pivot", "freq_threshold")])
+    last = F.lit(1 << 62)
+    keys = {"__t": F.coalesce(F.col("freq_threshold").cast("long"), last), "__w": F.coalesce(-F.col("weight"), last), "__s": F.coalesce(-F.col("size"), last)}
+    return numbered(rows.withColumns(keys), ["__t", "__w", "__s", "comp_no"], "place", 1).drop(*keys)
+
+
+@query(
+    f"""WITH {SQL_READS} SELECT strftime(run_at, '%Y-%m-%d') AS day, sample, count(*) AS n_reads, CAST(sum(length(seq)) AS BIGINT) AS letters
+FROM r WHERE run_at IS NOT NULL GROUP BY 1, 2"""
+)
+def stream_days(spark: SparkSession, d: str) -> DataFrame:
+    """Reads and letters per day and sample, by a stream over the read table."""
+    path = f"{d}/seq_reads.parquet"
+    rows = streams.read_stream(spark, path, spark.read.parquet(path).schema)
+    return streams.drained(streams.stream_days(streams.good_stream(rows)), ["day", "sample"])
+
+
+@query(
+    f"""WITH {SQL_READS}, w AS (SELECT strftime(run_at, '%Y-%m-%d') AS day, sample, substr(seq, i, 21) AS km
+  FROM r, unnest(range(1, length(seq) - 19)) t(i) WHERE run_at IS NOT NULL)
+SELECT day, sample, least(km, reverse(translate(km, 'ACGT', 'TGCA'))) AS kmer, count(*) AS freq FROM w GROUP BY 1, 2, 3 HAVING count(*) > 3"""
+)
+def stream_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """21-mers that occur more than three times in a sample on a day, by a stream over the read table."""
+    path = f"{d}/seq_reads.parquet"
+    rows = streams.read_stream(spark, path, spark.read.parquet(path).schema)
+    return streams.drained(streams.stream_kmers(streams.good_stream(rows), K), ["day", "sample", "kmer"]).where("freq > 3")

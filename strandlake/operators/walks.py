@@ -7,7 +7,9 @@ in one task; its k-mers and their frequencies are 16 bytes each.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,6 +135,39 @@ def linear(graph: Strands, own: list[int]) -> list[list[int]]:
     return out
 
 
+def each_component(rows: DataFrame, columns: list[str], schema: str, walk: Callable[..., list[tuple]]) -> DataFrame:
+    """Rows that `walk` makes of the columns (as lists) of each component, named by `label`.
+
+    Components are sorted together in their partitions and cut out of the batches as they pass: one worker call handles
+    many small components and holds one at a time.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def done(part: pd.DataFrame) -> list[tuple]:
+            return walk(*(part[c].tolist() for c in columns))
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            label = batch["label"].to_numpy()
+            cut = [0, *(np.flatnonzero(label[1:] != label[:-1]) + 1), len(label)]
+            out: list[tuple] = []
+            for a, b in zip(cut, cut[1:]):
+                if held and held[0]["label"].iloc[0] != label[a]:
+                    out += done(pd.concat(held) if len(held) > 1 else held[0])
+                    held = []
+                held.append(batch.iloc[a:b])
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(done(pd.concat(held)), columns=names)
+
+    sorted_rows = rows.select("label", *columns).repartition("label").sortWithinPartitions("label")
+    return sorted_rows.mapInPandas(work, schema)
+
+
 def _by_component(vertices: DataFrame, k: int) -> DataFrame:
     now = materialize(vertices)
     return materialize(labelled(now, edges(now, k)))
@@ -149,17 +184,24 @@ def pivot_components(counts: DataFrame, pivots: DataFrame, k: int, depth: int =
     # Components without a pivot can't give anything.
     rows = rows.join(rows.where("pivot").select("label").distinct(), "label", "left_semi")
 
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        found = grow(Strands(part.kmer.tolist(), k), part.kmer[part.pivot].tolist(), depth)
-        out = [(min(m), c, n) for m, n in found for c in m]
-        return pd.DataFrame(out, columns=["own", "kmer", "n_pivot"])
+    def walk(kmers: list[int], pivot: list[bool]) -> list[tuple]:
+        found = grow(Strands(kmers, k), [x for x, p in zip(kmers, pivot) if p], depth)
+        return [(min(m), c, n) for m, n in found for c in m]
 
-    grown = materialize(rows.groupBy("label").applyInPandas(work, "own long, kmer long, n_pivot long"))
+    grown = materialize(each_component(rows, ["kmer", "pivot"], "own long, kmer long, n_pivot long", walk))
     sizes = grown.join(counts.select("kmer", "freq"), "kmer").groupBy("own").agg((-F.sum("freq")).alias("w"), (-F.count("*")).alias("s"))
     names = numbered(sizes, ["w", "s", "own"], "comp_no", 1)
     return grown.join(names.select("own", F.col("comp_no").cast("int")), "own").select("comp_no", "kmer", "n_pivot")
 
 
+def _linear(k: int, c: int):
+    def walk(kmers: list[int], colors: list[int]) -> list[tuple]:
+        found = linear(Strands(kmers, k), [x for x, own in zip(kmers, colors) if own == c])
+        return [(c, min(m), x) for m in found for x in m]
+
+    return walk
+
+
 def linear_components(colors: DataFrame, k: int, share: float = 0.9, n_groups: int = 3, separate: bool = False) -> DataFrame:
     """(`color`, `label`, `kmer`): as `colored_components`, but each component is one path; named by its smallest k-mer."""
     named = materialize(colors.select("kmer", dna.dominant_color("c0", "c1", "c2", share=share).alias("color")))
@@ -169,10 +211,6 @@ def linear_components(colors: DataFrame, k: int, share: float = 0.9, n_groups: i
         rows = _by_component(named.where(fit), k)
         rows = rows.join(rows.where(F.col("color") == c).select("label").distinct(), "label", "left_semi")
 
-        def work(part: pd.DataFrame, c: int = c) -> pd.DataFrame:
-            found = linear(Strands(part.kmer.tolist(), k), part.kmer[part.color == c].tolist())
-            return pd.DataFrame([(c, min(m), x) for m in found for x in m], columns=["color", "label", "kmer"])
-
-        own = rows.groupBy("label").applyInPandas(work, "color int, label long, kmer long")
+        own = each_component(rows, ["kmer", "color"], "color int, label long, kmer long", _linear(k, c))
         out = own if out is None else out.unionByName(own)
     return out
