@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.functions import windows
 from strandlake.llm import (
     clusters,
     distinct,
     frequent,
-    letters,
     mixing,
     neighbours,
     overlap,
@@ -158,7 +158,7 @@ f AS (SELECT 'seq_reads' AS origin, CAST(kmer AS BIGINT) AS kmer, CAST(n AS BIGI
 
 
 def _windows(batch):
-    return letters.canonical_kmers(*letters.flat(batch.column(0)), 21), None
+    return windows.canonical_kmers(*windows.flat(batch.column(0)), 21), None
 
 
 def _frequencies(batch):

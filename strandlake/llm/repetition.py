@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.letters import flat
+from strandlake.functions.windows import flat
 from strandlake.runtime import materialize
 
 #: Bytes of text that are worked on at once; a longer text makes a chunk of its own.

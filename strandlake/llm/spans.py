@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.letters import flat
+from strandlake.functions.windows import flat
 from strandlake.llm.overlap import gathered
 from strandlake.llm.repetition import VALUE, chunks, mix, prefix, spans
 from strandlake.runtime import join_small, materialize
