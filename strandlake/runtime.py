@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows that a table may have to be broadcast by `join_small`; at under 100 bytes a row this stays below 50 MB.
 BROADCAST_ROWS = 500_000
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session as tests and the bench use it. On a cluster the caller brings its own session."""
@@ -31,6 +34,27 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in the session's Python workers, wherever the driver was started from.
+
+    Sends a zip of it once per application.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="strandlake-")
+    atexit.register(shutil.rmtree, folder, True)
+    name = os.path.join(folder, f"{os.path.basename(root)}.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for base, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(base, f), os.path.relpath(os.path.join(base, f), os.path.dirname(root)))
+    sc.addPyFile(name)
+    _SHIPPED.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session.
 
