@@ -7,9 +7,12 @@ round. `keys` in these functions are columns (a sample, a component) that keep g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import dna
@@ -161,61 +164,195 @@ def branching(vertices: DataFrame, k: int, *keys: str) -> DataFrame:
     return rows.select(*keys, F.least("fw", "rc").alias("kmer")).distinct()
 
 
-def chains(vertices: DataFrame, k: int, *keys: str) -> DataFrame:
-    """(`keys`, `fw`, `rc`, `start`, `place`): every oriented k-mer with its chain's first k-mer and its place (from 0).
+def followers(vertices: DataFrame, k: int, *keys: str) -> DataFrame:
+    """(`keys`, `fw`, `to`): oriented k-mers that lead to exactly one k-mer which nothing else leads to.
 
-    A k-mer leads to the next if that is its only follower and it is the only one that the next follows. Chains are
-    found by pointer doubling on predecessors: each round joins only the nodes whose pointer doesn't end at a start yet,
-    the logarithm of the longest chain in rounds. Nodes of pure cycles, which no start leads to, are left out.
+    K-mers meet at the k - 1 letters that they share, so one aggregation by these finds all joints: two rows a k-mer
+    instead of a lookup for each of its eight possible neighbours. Both readings of each joint are given.
     """
-    ext = materialize(extensions(vertices, k, *keys))
-    only = ext.where("n_right = 1")
-    lead = only.select(*keys, "fw", F.col("next_fw").alias("to"))
-    back = only.select(*keys, F.col("rc").alias("to"))  # `to` is followed, read backwards, by one k-mer only
-    links = lead.join(back, [*keys, "to"], "left_semi").select(*keys, F.col("to").alias("fw"), F.col("fw").alias("before"))
-    nodes = ext.select(*keys, "fw", "rc").join(links, [*keys, "fw"], "left")
-    pointer = nodes.select(
-        *keys, "fw", F.coalesce("before", "fw").alias("at"), F.col("before").isNotNull().cast("long").alias("place"),
-        F.col("before").isNull().alias("done"),
+    letters = F.lit((1 << (2 * k - 2)) - 1)
+    both = vertices.select(*keys, "kmer").withColumn("rc", dna.code_revcomp("kmer", k))
+    fw, rc = F.col("kmer"), F.col("rc")
+    tail, head = fw.bitwiseAND(letters), F.shiftrightunsigned(fw, 2)
+    rc_tail, rc_head = rc.bitwiseAND(letters), F.shiftrightunsigned(rc, 2)
+    # A joint is read on the strand where its letters are the smaller; one that is its own complement on both.
+    ends = [
+        F.struct(F.when(tail <= rc_head, tail).alias("m"), fw.alias("into"), F.lit(None).cast("long").alias("out")),
+        F.struct(F.when(rc_head <= tail, rc_head).alias("m"), F.lit(None).cast("long").alias("into"), rc.alias("out")),
+        F.struct(F.when((head <= rc_tail) & (fw != rc), head).alias("m"), F.lit(None).cast("long").alias("into"), fw.alias("out")),
+        F.struct(F.when((rc_tail <= head) & (fw != rc), rc_tail).alias("m"), rc.alias("into"), F.lit(None).cast("long").alias("out")),
+    ]
+    rows = both.select(*keys, F.explode(F.array(*ends)).alias("e")).where("e.m IS NOT NULL").select(*keys, "e.*")
+    joints = rows.groupBy(*keys, "m").agg(
+        F.count("into").alias("n_into"), F.count("out").alias("n_out"), F.max("into").alias("fw"), F.max("out").alias("to")
+    )
+    one = joints.where("n_into = 1 AND n_out = 1").select(*keys, "fw", "to")
+    back = one.select(*keys, dna.code_revcomp("to", k).alias("fw"), dna.code_revcomp("fw", k).alias("to"))
+    # The two readings are the same at a joint or between k-mers that are their own complements.
+    return one.unionByName(back).distinct()
+
+
+#: Oriented k-mers that are joined to pieces together, and letters of the shared words that bring neighbours together.
+PIECE_ROWS, WORD = 1 << 20, 10
+
+
+def near(fw: Column, rc: Column, k: int) -> Column:
+    """A number that most neighbouring k-mers share: the smallest hash of the words of either strand."""
+    m = min(WORD, k)
+    mask = F.lit((1 << (2 * m)) - 1)
+    words = [F.hash(F.shiftrightunsigned(x, 2 * i).bitwiseAND(mask)) for x in (fw, rc) for i in range(k - m + 1)]
+    return F.least(*words) if len(words) > 1 else words[0]
+
+
+def _pieces(keys: list[str]):
+    """Join the k-mers of each gathered chunk along their followers into pieces; which chunk a k-mer is in only decides
+    how long the pieces get."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= PIECE_ROWS:
+                yield from joined(pa.Table.from_batches(held).combine_chunks())
+                held, count = [], 0
+        if count:
+            yield from joined(pa.Table.from_batches(held).combine_chunks())
+
+    def joined(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = table.num_rows
+        group = np.zeros(n, np.int64)
+        for c in keys:
+            code = table[c].combine_chunks().dictionary_encode()
+            group = group * (len(code.dictionary) + 1) + code.indices.fill_null(len(code.dictionary)).to_numpy(zero_copy_only=False)
+        fw = table["fw"].to_numpy()
+        to = table["to"].combine_chunks()
+        has = to.is_valid().to_numpy(zero_copy_only=False)
+        to = to.fill_null(-1).to_numpy(zero_copy_only=False)
+        freq = table["freq"].to_numpy().astype(np.int64)
+        order = np.lexsort((fw, group))
+        # The place of each follower in this chunk: sort followers among the k-mers.
+        every = np.concatenate([fw[order], to[has]])
+        owner = np.concatenate([group[order], group[has]])
+        kind = np.concatenate([np.zeros(n, np.int8), np.ones(int(has.sum()), np.int8)])
+        source = np.concatenate([order, np.flatnonzero(has)])
+        sort = np.lexsort((kind, every, owner))
+        every, owner, kind, source = every[sort], owner[sort], kind[sort], source[sort]
+        last = np.maximum.accumulate(np.where(kind == 0, np.arange(len(sort)), -1))
+        hit = (kind == 1) & (last >= 0)
+        hit[hit] = (every[last[hit]] == every[hit]) & (owner[last[hit]] == owner[hit])
+        before = np.full(n, -1, np.int64)
+        before[source[last[hit]]] = source[hit]
+        after = np.full(n, -1, np.int64)
+        after[source[hit]] = source[last[hit]]
+        # Pointer doubling inside the chunk; what never reaches a first k-mer is a cycle.
+        at = np.where(before < 0, np.arange(n), before)
+        place = (before >= 0).astype(np.int64)
+        while True:
+            ahead = at[at]
+            moved = ahead != at
+            if not moved.any() or place.max() > 2 * n:
+                break
+            place = place + np.where(moved, place[at], 0)
+            at = ahead
+        fine = before[at] < 0
+        rows = np.flatnonzero(fine)
+        rows = rows[np.lexsort((place[rows], at[rows]))]
+        head = np.flatnonzero(np.r_[True, at[rows][1:] != at[rows][:-1]]) if len(rows) else np.empty(0, np.int64)
+        if not len(head):
+            return
+        tail = np.r_[head[1:], len(rows)] - 1
+        first, final = rows[head], rows[tail]
+        letters = LETTERS[fw[rows] & 3].tobytes()
+        text = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(head), [None, pa.py_buffer(np.r_[head, len(rows)].astype(np.int64)), pa.py_buffer(letters)]
+        )
+        f = freq[rows]
+        columns = [table[c].combine_chunks().take(pa.array(first)) for c in keys]
+        columns += [
+            pa.array(fw[first]),
+            pa.array(fw[final]),
+            pa.array(to[final], mask=~has[final]),
+            text.cast(pa.large_string()).cast(pa.string()),
+            pa.array(np.add.reduceat(f, head)),
+            pa.array(np.minimum.reduceat(f, head)),
+            pa.array(np.maximum.reduceat(f, head)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, [*keys, *PIECE])
+
+    return work
+
+
+PIECE = ("head", "tail", "next", "letters", "mass", "least", "most")
+LETTERS = np.frombuffer(b"ACGT", np.uint8)
+
+
+def pieces(counts: DataFrame, k: int, *keys: str) -> DataFrame:
+    """(`keys`, `head`, `tail`, `next`, `letters`, `mass`, `least`, `most`): parts of unbranched paths on either strand.
+
+    Neighbours are brought together by a word that most of them share, and joined in chunks of PIECE_ROWS.
+    """
+    nodes = counts.select(*keys, "kmer", "freq").withColumn("rc", dna.code_revcomp("kmer", k))
+    nodes = nodes.select(*keys, F.col("kmer").alias("fw"), "rc", "freq")
+    nodes = nodes.unionByName(nodes.where("fw <> rc").select(*keys, F.col("rc").alias("fw"), F.col("fw").alias("rc"), "freq"))
+    rows = nodes.join(followers(counts, k, *keys), [*keys, "fw"], "left")
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * counts.count() // PIECE_ROWS))
+    rows = rows.withColumn("__near", near(F.col("fw"), F.col("rc"), k)).repartition(parts, *keys, "__near")
+    kinds = dict(counts.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keys) + "head long, tail long, next long, letters string, mass long, least long, most long"
+    return rows.select(*keys, "fw", "to", "freq").mapInArrow(_pieces(list(keys)), schema)
+
+
+def chains(parts: DataFrame, *keys: str) -> DataFrame:
+    """`parts` with `start` (the head of the first piece of its path) and `place` (pieces before it).
+
+    Pointer doubling on predecessors: each round joins only the pieces whose pointer doesn't end at a start yet, the
+    logarithm of the longest path in rounds. Pieces of pure cycles, which no start leads to, are left out.
+    """
+    links = parts.where("next IS NOT NULL").select(*keys, F.col("next").alias("head"), F.col("head").alias("before"))
+    now = materialize(
+        parts.select(*keys, "head").join(links, [*keys, "head"], "left").select(
+            *keys,
+            "head",
+            F.coalesce("before", "head").alias("at"),
+            F.col("before").isNotNull().cast("long").alias("place"),
+            F.col("before").isNull().alias("done"),
+        )
     )
-    now = materialize(pointer)
     open_before = None
     while True:
         left = now.where("NOT done").count()
         if not left or left == open_before:
             break
         open_before = left
-        ahead = now.select(*keys, F.col("fw").alias("at"), F.col("at").alias("at2"), F.col("place").alias("place2"), F.col("done").alias("done2"))
+        ahead = now.select(*keys, F.col("head").alias("at"), F.col("at").alias("at2"), F.col("place").alias("place2"), F.col("done").alias("done2"))
         moved = now.where("NOT done").join(ahead, [*keys, "at"])
-        moved = moved.select(*keys, "fw", F.col("at2").alias("at"), (F.col("place") + F.col("place2")).alias("place"), F.col("done2").alias("done"))
+        moved = moved.select(*keys, "head", F.col("at2").alias("at"), (F.col("place") + F.col("place2")).alias("place"), F.col("done2").alias("done"))
         now = materialize(now.where("done").unionByName(moved))
-    rows = now.where("done").select(*keys, "fw", F.col("at").alias("start"), "place")
-    return rows.join(ext.select(*keys, "fw", "rc"), [*keys, "fw"])
+    return parts.join(now.where("done").select(*keys, "head", F.col("at").alias("start"), "place"), [*keys, "head"])
 
 
 def unitigs(counts: DataFrame, k: int, min_length: int = 0, *keys: str) -> DataFrame:
     """(`keys`, `seq`, `length`, `av_weight`, `min_weight`, `max_weight`, `kmers`) of the maximal unbranched paths.
 
-    `counts` has (`keys`, `kmer`, `freq`). One strand of each: that which starts at the smaller of the canonical end
-    k-mers, or, if these are the same, the smaller sequence. Weights are of the k-mers' frequencies, the mean cut to a
-    whole number. Pure cycles give none.
+    `counts` has (`keys`, `kmer`, `freq`), each k-mer once per key. One strand of each: that which starts at the smaller
+    of the canonical end k-mers, or, if these are the same, the smaller sequence. Weights are of the k-mers' frequencies,
+    the mean cut to a whole number. Pure cycles give none.
     """
-    rows = chains(counts, k, *keys).withColumn("kmer", F.least("fw", "rc")).join(counts.select(*keys, "kmer", "freq"), [*keys, "kmer"])
-    last = F.substring(F.lit("ACGT"), F.col("fw").bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
-    parts = F.sort_array(F.collect_list(F.struct("place", last.alias("letter"))))
+    rows = chains(materialize(pieces(counts, k, *keys)), *keys)
+    parts = F.sort_array(F.collect_list(F.struct("place", "letters")))
     found = rows.groupBy(*keys, "start").agg(
-        parts.alias("parts"),
-        F.count("*").alias("kmers"),
-        F.min_by("kmer", "place").alias("first"),
-        F.max_by("kmer", "place").alias("last"),
-        F.floor(F.avg("freq")).cast("long").alias("av_weight"),
-        F.min("freq").cast("long").alias("min_weight"),
-        F.max("freq").cast("long").alias("max_weight"),
+        F.array_join(F.transform(parts, lambda x: x["letters"]), "").alias("letters"),
+        F.max_by("tail", "place").alias("end"),
+        F.sum("mass").alias("mass"),
+        F.min("least").alias("min_weight"),
+        F.max("most").alias("max_weight"),
     )
-    tail = F.array_join(F.transform(F.slice("parts", F.lit(2), F.size("parts")), lambda x: x["letter"]), "")
-    found = found.withColumn("seq", F.concat(dna.decode("start", k), tail))
+    found = found.withColumns({"kmers": F.length("letters").cast("long"), "first": F.least("start", dna.code_revcomp("start", k))})
+    found = found.withColumns({"last": F.least("end", dna.code_revcomp("end", k)), "seq": F.concat(dna.decode("start", k), F.expr("substring(letters, 2)"))})
     found = found.where((F.col("first") < F.col("last")) | ((F.col("first") == F.col("last")) & (F.col("seq") <= dna.revcomp("seq"))))
-    out = found.select(*keys, "seq", F.length("seq").alias("length"), "av_weight", "min_weight", "max_weight", "kmers")
+    mean = F.expr("mass DIV kmers").alias("av_weight")
+    out = found.select(*keys, "seq", F.length("seq").alias("length"), mean, "min_weight", "max_weight", "kmers")
     return out.where(F.col("length") >= min_length).distinct()
 
 
