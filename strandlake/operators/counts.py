@@ -171,7 +171,8 @@ def cardinality(words: str | Column, start: int, end: int) -> Column:
 
     def inside(x: Column, i: Column) -> Column:
         low, high = F.greatest(F.lit(start) - i * 64, F.lit(0)), F.least(F.lit(end) - i * 64, F.lit(64))
-        ones = lambda n: F.when(n >= 64, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1)
+        all_set = F.lit(-1).cast("long")
+        ones = lambda n: F.when(n <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", all_set, (64 - n).cast("int")))
         mask = ones(F.greatest(high, F.lit(0))).bitwiseAND(F.bitwise_not(ones(F.least(low, F.lit(64)))))
         return F.bit_count(x.bitwiseAND(mask))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,11 +107,11 @@ def records(part: Range) -> Iterator[tuple[str, str, str]]:
         if part.path.endswith(".gz"):
             source, at, end = gzip.open(raw), 0, None
         else:
-            source, at, end = raw, part.start, part.end
+            source, at, end = io.BufferedReader(raw, 1 << 20), part.start, part.end
             if at:
                 # The line that the range starts in belongs to the range before, unless it starts just here.
-                raw.seek(at - 1)
-                at += len(raw.readline()) - 1
+                source.seek(at - 1)
+                at += len(source.readline()) - 1
         held: list[tuple[int, bytes]] = []
 
         def line() -> bool:
