@@ -20,7 +20,7 @@ def classes(spark: SparkSession, path: str) -> DataFrame:
 
 def vector(spark: SparkSession, path: str) -> DataFrame:
     """(`sample`, `comp_no`, `value`) of vector files, a number a line; blank lines don't count. A file is one row to split."""
-    rows = spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("file"))
+    rows = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     sample = F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"\.(vec|breadth)$", "")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     return rows.select(sample.alias("sample"), F.posexplode(lines).alias("i", "v")).select("sample", (F.col("i") + 1).alias("comp_no"), F.col("v").cast("double").alias("value"))
