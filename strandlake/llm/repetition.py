@@ -173,6 +173,8 @@ def posterior(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np
     for either kind, estimated from how the rules agree, with one pseudo-document for each vote. Starts at the
     majority; a pattern in which all abstain keeps the prior.
     """
+    if not len(patterns):
+        return np.empty(0)
     told = (patterns > 0).sum(1)
     p = (np.where(patterns == 2, 1.0, 0).sum(1) + 0.1) / (told + 0.2)
     active = np.where(told > 0, counts, 0).astype(float)
