@@ -332,3 +332,18 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of each source."""
     return mixing.shares(*_p8(spark, sf_dir))
+
+
+@query(
+    P5_READS
+    + """, d AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+cov AS (SELECT DISTINCT w.read_no, p FROM (SELECT read_no, i, substr(s, i, 50) AS k FROM r, unnest(range(1, length(s) - 48)) t(i)) w
+        JOIN d ON w.k = d.k, unnest(range(w.i, w.i + 50)) u(p))
+SELECT cov.read_no, max(length(s)) AS length, count(*) AS shared FROM cov JOIN r ON cov.read_no = r.read_no GROUP BY cov.read_no"""
+)
+def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many letters of each read lie in stretches of at least 50 that other reads have too."""
+    rows = spans.shared_lengths(_p5_reads(spark, sf_dir), 50).withColumnRenamed("key", "read_no")
+    reads = table(spark, sf_dir, "seq_reads").where(F.col("seq").isNotNull() & ~F.upper("seq").contains("N"))
+    lengths = reads.groupBy("read_no").agg(F.max(F.length("seq")).cast("long").alias("length"))
+    return rows.join(lengths, "read_no").select("read_no", "length", "shared")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +142,7 @@ def frequent(rows: DataFrame, read: Reader, share: float, slack: int = 4) -> Dat
     """
     capacity = int(np.ceil(slack / share))
     s = summary(rows, read, capacity)
-    least = share * s.total
+    least = ceil(Fraction(str(share)) * s.total)
     keep = s.counts >= least
     wanted = s.items[keep]
     spark = rows.sparkSession

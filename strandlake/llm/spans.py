@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strandlake.functions.windows import flat
 from strandlake.llm.overlap import gathered
@@ -360,3 +361,19 @@ def shared_pairs(units: DataFrame, least: int) -> DataFrame:
     df = shared_spans(units, least).where("NOT of_b")
     a, b = (F.shiftrightunsigned(f"unit_{s}", PIECE_BITS) for s in "ab")
     return df.select(F.least(a, b).alias("key_a"), F.greatest(a, b).alias("key_b")).where("key_a < key_b").distinct()
+
+
+def shared_lengths(units: DataFrame, least: int) -> DataFrame:
+    """(`key`, `shared`): tokens of each record that lie in a stretch of at least `least` that another record has too.
+
+    For units made by `text_units`. Stretches of all partners are merged by their starts; records that share nothing are
+    absent.
+    """
+    own, other = (F.when(F.col("of_b"), F.col(f"unit_{x}")).otherwise(F.col(f"unit_{y}")) for x, y in ("ba", "ab"))
+    rows = shared_spans(units, least).select(own.alias("unit"), other.alias("other"), "start", "end")
+    key, piece = F.shiftrightunsigned("unit", PIECE_BITS), F.col("unit").bitwiseAND((1 << PIECE_BITS) - 1)
+    rows = rows.where(key != F.shiftrightunsigned("other", PIECE_BITS))
+    rows = rows.select(key.alias("key"), (F.col("start") + piece * PIECE).alias("start"), (F.col("end") + piece * PIECE).alias("end")).distinct()
+    before = F.max("end").over(W.partitionBy("key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce("before", F.col("start"))), F.lit(0))
+    return rows.withColumn("before", before).groupBy("key").agg(F.sum(fresh).cast("long").alias("shared"))

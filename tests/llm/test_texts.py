@@ -254,3 +254,18 @@ def test_token_counts(spark):
     got = {r.doc_id: r.n_tokens for r in tokens.token_counts(df, "doc_id").collect()}
     encode = tokens.encoder(tokens.VOCABULARY)
     assert got == {1: len(encode.encode_ordinary("hello world <|endoftext|>")), 2: 0, 3: 0, 4: len(encode.encode_ordinary("x" * 200_000))}
+
+
+def test_shared_lengths(spark, monkeypatch):
+    monkeypatch.setattr(spans, "PIECE", 90)
+    texts = sequences(9, 30)
+    df = spark.createDataFrame(list(enumerate(texts)), "read_no long, seq string")
+    got = {r.key: r.shared for r in spans.shared_lengths(spans.text_units(df, "read_no", "seq", 50), 50).collect()}
+    want = {}
+    for i, a in enumerate(texts):
+        places = {
+            p for k in range(len(a) - 49) if any(a[k : k + 50] in b for j, b in enumerate(texts) if j != i) for p in range(k, k + 50)
+        }
+        if places:
+            want[i] = len(places)
+    assert got == want
