@@ -712,8 +712,8 @@ def unique_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def stats_features(spark: SparkSession, d: str) -> DataFrame:
-    """Features of the k-mers that are more frequent in class 0 than in class 1, at p 0.2."""
-    return P.stats_features(_counts(spark, d), _classes(spark, d), 31, 0, 0.2, 0.2).features
+    """Features of the k-mers that are more frequent in class 0 than in class 1, at p 0.5."""
+    return P.stats_features(_counts(spark, d), _classes(spark, d), 31, 0, 0.5, 0.5).features
 
 
 @query(SQL_SETS + "SELECT sample, kmer, freq, f_0, f_1, f_2 FROM (SELECT sample, kmer, freq, CASE WHEN f_0 > 1 THEN f_0 ELSE 0 END AS f_0, "
@@ -749,17 +749,24 @@ def comp2seq(spark: SparkSession, d: str) -> DataFrame:
     return _units(spark, d)[0].select("comp_no", "id", "seq", "length")
 
 
+def _read_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Unitigs of the 13-mers that occur more than five times in the reads, and their counts: a graph with forks."""
+    counts = materialize(C.kmer_counts(good_reads(table(spark, d, "seq_reads")), 13, 5, ()))
+    units = numbered(G.unitigs(counts, 13), ["seq"], "id", 1)
+    return materialize(units), counts
+
+
 @query()
 def gfa_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Segments of the components' graphs with their coverage."""
-    units, counts = _units(spark, d)
-    return X.gfa_segments(units.select("comp_no", "id", "seq"), counts, 31, "comp_no")
+    """Segments of a graph of the reads with their coverage."""
+    units, counts = _read_graph(spark, d)
+    return X.gfa_segments(units.select("id", "seq"), counts, 13)
 
 
 @query()
 def gfa_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links between the segments."""
-    return G.links(_units(spark, d)[0], 31, "comp_no")
+    """Links between its segments."""
+    return G.links(_read_graph(spark, d)[0], 13)
 
 
 @query(f"SELECT concat({_decoded(31)}, chr(9), CAST(sum(freq) AS VARCHAR)) AS value FROM (SELECT DISTINCT sample, kmer, freq, run_at FROM kmer_counts WHERE kmer IS NOT NULL AND freq >= 1 AND sample IS NOT NULL) q GROUP BY kmer HAVING sum(freq) < 30000")
