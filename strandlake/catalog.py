@@ -817,3 +817,16 @@ def stream_kmers(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/seq_reads.parquet"
     rows = streams.read_stream(spark, path, spark.read.parquet(path).schema)
     return streams.drained(streams.stream_kmers(streams.good_stream(rows), K), ["day", "sample", "kmer"]).where("freq > 3")
+
+
+@query(
+    f"""WITH {_sql_counts(0)}, h AS (SELECT sample, least(freq, 1023) AS v, count(*) AS n FROM kc GROUP BY 1, 2),
+t AS (SELECT sample, sum(freq) AS total FROM kc GROUP BY sample),
+g AS (SELECT t.sample, total, v.v, coalesce(h.n, 0) AS n FROM t CROSS JOIN (SELECT unnest(range(1, 1024)) AS v) v LEFT JOIN h ON h.sample = t.sample AND h.v = v.v),
+x AS (SELECT sample, v, n * v <= coalesce(lead(n * v) OVER (PARTITION BY sample ORDER BY v), 0)
+      OR 2 * sum(n) OVER (PARTITION BY sample ORDER BY v) > total AS stop FROM g)
+SELECT sample, CAST(min(v) AS INT) AS threshold FROM x WHERE stop GROUP BY sample"""
+)
+def threshold_first_minimum(spark: SparkSession, d: str) -> DataFrame:
+    """The first minimum of each sample's histogram of frequency mass."""
+    return C.first_minimum(_counts(spark, d), "sample")

@@ -59,6 +59,34 @@ def bottom_cut(counts: DataFrame, percent: int, *by: str) -> DataFrame:
     )
 
 
+def first_minimum(counts: DataFrame, *by: str) -> DataFrame:
+    """Threshold per key: the first frequency v from 1 on whose mass (v times its k-mers) is not above that of v + 1.
+
+    The search ends early where the k-mers up to v are more than half of the summed frequencies. On the clamped
+    histogram; a frequency that no k-mer has counts as mass 0.
+    """
+    h = clamped_histogram(counts, 1023, *by).where("freq > 0").withColumn("mass", F.col("freq") * F.col("n_kmers"))
+    every = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    run = every.orderBy("freq")
+    total = counts.groupBy(*by).agg(F.sum(F.col("freq").cast("long")).alias("total"))
+    h = h.withColumns(
+        {
+            "next": F.lead("freq").over(run),
+            "more": F.lead("mass").over(run),
+            "before": F.coalesce(F.lag("freq").over(run), F.lit(0)),
+            "upto": F.sum("n_kmers").over(run),
+        }
+    )
+    h = h.join(total, list(by)) if by else h.crossJoin(total)  # one row
+    here = (F.coalesce(F.col("next"), F.lit(-1)) == F.col("freq") + 1) & (F.col("mass") <= F.col("more"))
+    stop = (
+        F.when((F.col("before") == 0) & (F.col("freq") > 1), F.lit(1))
+        .when(here | (2 * F.col("upto") > F.col("total")), F.col("freq"))
+        .when(F.coalesce(F.col("next"), F.lit(-1)) != F.col("freq") + 1, F.col("freq") + 1)
+    )
+    return h.groupBy(*by).agg(F.min(stop).cast("int").alias("threshold"))
+
+
 def samples_per_kmer(counts: DataFrame, min_freq: int = 1) -> DataFrame:
     """In how many samples each k-mer has a frequency above `min_freq`."""
     return counts.where(F.col("freq") > min_freq).groupBy("kmer").agg(F.count_distinct("sample").alias("n_samples"))

@@ -84,8 +84,8 @@ class Merge:
     size: int
 
 
-def average_linkage(d: np.ndarray) -> tuple[list[Merge], list[int]]:
-    """Merges and leaf order of a distance matrix under average linkage.
+def average_linkage(d: np.ndarray, method: str = "average") -> tuple[list[Merge], list[int]]:
+    """Merges and leaf order of a distance matrix under average linkage, or with `method="ward"` by least variance.
 
     The nearest pair of clusters joins first, ties at the smallest (i, j) by place; a joined cluster takes the smaller
     place. Leaf order is left before right. Each row keeps its nearest cluster, so a step costs n, not n^2.
@@ -106,7 +106,11 @@ def average_linkage(d: np.ndarray) -> tuple[list[Merge], list[int]]:
         j = int(np.argmin(dist[i]))
         merges.append(Merge(label[i], label[j], float(dist[i, j]), int(size[i] + size[j])))
         children[n + step] = (label[i], label[j])
-        row = (size[i] * full[i] + size[j] * full[j]) / (size[i] + size[j])
+        if method == "ward":
+            rest = size * full[i, j] ** 2
+            row = np.sqrt(np.maximum(0, (size[i] + size) * full[i] ** 2 + (size[j] + size) * full[j] ** 2 - rest) / (size[i] + size[j] + size))
+        else:
+            row = (size[i] * full[i] + size[j] * full[j]) / (size[i] + size[j])
         full[i], full[:, i] = row, row
         size[i] += size[j]
         label[i] = n + step
@@ -129,8 +133,8 @@ def average_linkage(d: np.ndarray) -> tuple[list[Merge], list[int]]:
     return merges, order
 
 
-def leaf_order(distances: DataFrame, key: str | None = None) -> DataFrame:
-    """(`key`, `sample`, `perm`): leaf order of each matrix (`sample_i`, `sample_j`, `dist`) under average linkage.
+def leaf_order(distances: DataFrame, key: str | None = None, method: str = "average") -> DataFrame:
+    """(`key`, `sample`, `perm`): leaf order of each matrix (`sample_i`, `sample_j`, `dist`) under the given linkage.
 
     One task a matrix; a matrix of more than CLUSTERED samples is refused, as n^2 cells must fit in one task. Pairs
     without a distance count as 1. Samples are placed by name before clustering.
@@ -150,7 +154,7 @@ def leaf_order(distances: DataFrame, key: str | None = None) -> DataFrame:
         np.fill_diagonal(d, 0)
         i, j = part.sample_i.map(place).to_numpy(), part.sample_j.map(place).to_numpy()
         d[i, j] = d[j, i] = part.dist.to_numpy()
-        _, order = average_linkage(d)
+        _, order = average_linkage(d, method)
         return pd.DataFrame({name: part[name].iloc[0], "sample": [names[x] for x in order], "perm": range(len(names))})
 
     out = df.select(name, "sample_i", "sample_j", "dist").groupBy(name).applyInPandas(work, f"`{name}` {kind}, sample string, perm int")

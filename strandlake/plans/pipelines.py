@@ -116,16 +116,17 @@ def colored_features(counts: DataFrame, classes: DataFrame, k: int = 31, min_fre
     return out.select("sample", "color", "comp_no", "value", "breadth")
 
 
-def supergraph(counts: DataFrame, k: int, min_freq: int = 1, percent: int | None = None) -> DataFrame:
+def supergraph(counts: DataFrame, k: int, min_freq: int | None = None, percent: int | None = None) -> DataFrame:
     """Sequences of the graph of all samples without branching k-mers, weighted by the number of samples.
 
-    Per sample a k-mer counts if its frequency is above `min_freq`, or, with `percent`, at or above the sample's bottom cut.
+    Per sample a k-mer counts if its frequency is above a threshold: `min_freq`, or the sample's bottom cut of `percent`,
+    or, with neither, the first minimum of its histogram.
     """
-    if percent is None:
+    if min_freq is not None:
         rows = counts.where(F.col("freq") > min_freq)
     else:
-        cut = C.bottom_cut(counts, percent, "sample")
-        rows = counts.join(cut, "sample").where(F.col("freq") >= F.col("threshold"))
+        cut = C.first_minimum(counts, "sample") if percent is None else C.bottom_cut(counts, percent, "sample")
+        rows = counts.join(cut, "sample").where(F.col("freq") > F.col("threshold"))
     support = materialize(rows.groupBy("kmer").agg(F.count_distinct("sample").alias("freq")))
     plain = support.join(G.branching(support, k), "kmer", "left_anti")
     return G.unitigs(materialize(plain), k, k)

@@ -102,3 +102,25 @@ def test_bottom_cut(spark):
     assert got(C.bottom_cut(df, 1, "sample"), "sample", "threshold") == [("s", 2)]
     assert got(C.bottom_cut(df, 0, "sample"), "sample", "threshold") == [("s", 0)]
     assert got(C.bottom_cut(df, 100, "sample"), "sample", "threshold") == [("s", 1024)]
+
+
+def plain_minimum(freqs):
+    stat = [0] * 1025
+    for f in freqs:
+        stat[min(f, 1023)] += 1
+    v, seen = 1, 0
+    while stat[v] * v > stat[v + 1] * (v + 1):
+        seen += stat[v]
+        if 2 * seen > sum(freqs):
+            break
+        v += 1
+    return v
+
+
+def test_first_minimum(spark):
+    random.seed(6)
+    cases = {f"s{i}": [random.choice([1, 1, 1, 2, 2, 3, 5, 9, 2000][: 3 + i % 7]) for _ in range(5 + 3 * i)] for i in range(25)}
+    cases |= {"only2": [2, 2], "one": [1] * 9, "gap": [1] * 30 + [2] * 5 + [4] * 50}
+    rows = [(s, k, f) for s, fs in cases.items() for k, f in enumerate(fs)]
+    df = spark.createDataFrame(rows, "sample string, kmer long, freq int")
+    assert got(C.first_minimum(df, "sample"), "sample", "threshold") == sorted((s, plain_minimum(fs)) for s, fs in cases.items())

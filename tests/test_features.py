@@ -60,3 +60,22 @@ def test_leaf_order_of_a_small_matrix(spark):
     dirty = spark.createDataFrame([(7, "b", "a", 0.5), (7, "a", "b", 0.5), (7, "a", "a", 0.0), (7, "a", "c", None)], "study int, sample_i string, sample_j string, dist double")
     assert [tuple(r) for r in V.clean_distances(dirty).collect()] == [(7, "a", "b", 0.5)]
     assert V.average_linkage(np.zeros((0, 0))) == ([], [])
+
+
+def test_ward_linkage_adds_least_variance():
+    rng = np.random.default_rng(3)
+    x = rng.random((12, 4))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    merges, order = V.average_linkage(d, "ward")
+    members = {i: [i] for i in range(12)}
+    for step, m in enumerate(merges):
+        costs = {}
+        for a in members:
+            for b in members:
+                if a < b:
+                    p, q = x[members[a]], x[members[b]]
+                    costs[a, b] = (2 * len(p) * len(q) / (len(p) + len(q)) * ((p.mean(0) - q.mean(0)) ** 2).sum()) ** 0.5
+        pair = min(costs, key=costs.get)
+        assert {m.left, m.right} == set(pair) and m.height == pytest.approx(costs[pair])
+        members[12 + step] = members.pop(m.left) + members.pop(m.right)
+    assert sorted(order) == list(range(12))
