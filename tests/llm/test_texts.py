@@ -32,9 +32,12 @@ def sequences(seed, n=120, letters="ACGT"):
     return out + out[:6] + ["", word(49), word(50)]
 
 
-@pytest.mark.parametrize("group", [2, 16])
-def test_pairs_of_reads(spark, monkeypatch, group):
+@pytest.mark.parametrize("group,seen", [(2, 100), (16, 100), (16, 3)])
+def test_pairs_of_reads(spark, monkeypatch, group, seen):
+    """Through anchors; through windows where more than two share one; with anchors that the sample finds hot."""
     monkeypatch.setattr(spans, "GROUP", group)
+    monkeypatch.setattr(spans, "HOT_SAMPLE", 0.01 if seen == 100 else 0.999)
+    monkeypatch.setattr(spans, "HOT_SEEN", seen)
     texts = sequences(group)
     df = spark.createDataFrame(list(enumerate(texts)) + [(500, None), (None, texts[0]), (0, texts[0])], "read_no long, seq string")
     df = df.withColumn("unit", F.lit(1)).withColumn("tokens", F.lit("x"))
