@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
@@ -37,21 +38,24 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 def ship(spark: SparkSession) -> None:
     """Make the package importable in the session's Python workers, wherever the driver was started from.
 
-    Sends a zip of it once per application.
+    Writes a zip of it to the shared folder once per application, from which Spark hands it to the workers.
     """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="strandlake-")
-    atexit.register(shutil.rmtree, folder, True)
-    name = os.path.join(folder, f"{os.path.basename(root)}.zip")
-    with zipfile.ZipFile(name, "w") as z:
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
         for base, _, files in os.walk(root):
             for f in files:
                 if f.endswith(".py"):
                     z.write(os.path.join(base, f), os.path.relpath(os.path.join(base, f), os.path.dirname(root)))
-    sc.addPyFile(name)
+    path = os.path.join(shared_dir(spark), "code", uuid.uuid4().hex, f"{os.path.basename(root)}.zip")
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(body.getvalue()))
+    out.close()
+    sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
 
 
