@@ -46,11 +46,11 @@ class Shape:
 
     @property
     def rounds(self) -> int:
-        return max(1, int(log(max(1.0, self.least / 20)) / log(4 / 3)))
+        return max(1, int(log(max(1.0, self.least / 25)) / log(4 / 3)))
 
     @property
     def rivals(self) -> int:
-        return max(1, min(6, self.least // 7))
+        return max(1, min(7, self.least // 7))
 
 
 def recompress(values: np.ndarray, part: np.ndarray, rounds: int, frozen: int) -> tuple[np.ndarray, np.ndarray]:
