@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from strandlake.llm import clusters, neighbours
@@ -113,3 +114,35 @@ def test_clusters_of_empty_tables(spark):
 def test_pointers_double_along_a_chain(spark):
     df = spark.createDataFrame([(f"n{i:03d}", f"n{max(i - 1, 0):03d}") for i in range(200)], "node string, parent string")
     assert {tuple(r) for r in clusters.follow(df).collect()} == {(f"n{i:03d}", "n000") for i in range(200)}
+
+
+@pytest.mark.parametrize("d,level", [(0.0999, 0), (0.3499, 1), (0.3, 1)])
+@pytest.mark.parametrize("part", [0.0, 0.5, 0.9, 1.0])
+def test_near_pairs_with_unequal_totals_become_candidates(d, level, part):
+    """Shallow vectors contained in deep ones, from equal totals (part 0) down to the least ratio that the distance allows."""
+    rng = np.random.default_rng(7)
+    n, each, radius = 600, 40, neighbours.LEVELS[level][0]
+    ratio = 1 - part * (1 - (1 - d) / (1 + d))
+    deep = rng.integers(50_000, 150_000, (n, each))
+    total = deep.sum(1)
+    small = ratio * total
+    shared = (1 - d) * (total + small) / 2
+    # The first part of the deep vector is what both share; the rest of the shallow one's total lies elsewhere.
+    both = np.minimum(np.maximum(shared[:, None] - (np.cumsum(deep, 1) - deep), 0), deep).astype(np.int64)
+    rest = np.maximum(small - both.sum(1), 0).astype(np.int64)
+    rows = [(deep[i], np.arange(1, each + 1) + 1000 * i) for i in range(n)]
+    rows += [(np.r_[both[i], rest[i]], np.r_[np.arange(1, each + 1), each + 1] + 1000 * i) for i in range(n)]
+    values = [v[v > 0] for v, _ in rows]
+    comps = [c[v > 0] for v, c in rows]
+    size = np.array([len(v) for v in values])
+    start, value, comp = np.r_[0, np.cumsum(size)], np.concatenate(values), np.concatenate(comps)
+    totals = np.add.reduceat(value, start[:-1])
+    share = neighbours.cauchy(comp) * (value / np.repeat(totals, size))[:, None]
+    steps = neighbours.grid(np.add.reduceat(share, start[:-1], axis=0))
+    names = np.array([f"s{i:04d}" for i in range(2 * n)], object)
+    block = neighbours.Block(names, np.ones(2 * n), totals, np.zeros(2 * n), start, comp, value, steps)
+    enough = (lambda near: True) if level == 0 else None
+    got = {q: near for q, near, far in neighbours.candidates(block, block, enough)}
+    true = [i for i in range(n) if (block.distances(np.array([n + i]), block.query(i)) <= radius)[0]]
+    assert len(true) > 0.99 * n
+    assert np.mean([n + i in got[i] for i in true]) >= (0.99 if level == 0 else 0.96)
