@@ -187,7 +187,7 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p6(spark, sf_dir).select("origin", "kmer", F.col("count").alias("n"), "total")
 
 
-#: Documents of which the posterior says less are not looked at by the exact check of p9_found.
+#: Documents of which the posterior says less are looked at by the exact check of p9_found only if their long runs vote.
 P9_LEAST = 0.01
 
 
@@ -195,10 +195,11 @@ P9_LEAST = 0.01
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of at least 50 tokens of which at least 0.3 lie in repeated runs of 10.
 
-    Those that the rules' posterior leaves possible, then checked exactly.
+    Those that the rules' posterior leaves possible or whose long runs vote for it, whatever the other rules say, then
+    checked exactly.
     """
     df = repetition.scored(table(spark, sf_dir, "documents"))
-    return df.where(f"p_repetitive >= {P9_LEAST} AND n_tokens >= 50 AND 10 * repeated >= 3 * n_tokens").select("doc_id")
+    return df.where(f"(vote_run10 = 2 OR p_repetitive >= {P9_LEAST}) AND n_tokens >= 50 AND 10 * repeated >= 3 * n_tokens").select("doc_id")
 
 
 @query()

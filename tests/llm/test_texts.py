@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import mixing, packing, repetition, spans
+from strandlake.llm import catalog, mixing, packing, repetition, spans
 from strandlake.llm.repetition import VALUE
 
 
@@ -167,6 +167,20 @@ def test_posterior_finds_the_hidden_kind():
     assert len(repetition.posterior(np.zeros((0, 5), int), np.zeros(0, int))) == 0
 
 
+def test_true_cases_are_found_whatever_the_other_rules_say(spark, tmp_path):
+    """Three rules say "not" of a passage that comes again with other line breaks, in a corpus that makes them weighty."""
+    plain = "\n\n".join(" ".join(f"p{i}x{j}" for j in range(12)) for i in range(6))
+    same = "\n\n".join([" ".join(f"s{j}" for j in range(12))] * 20)
+    passage = [f"t{i}" for i in range(52)]
+    cut = lambda at, n: "\n\n".join(" ".join(passage[i : i + n]) for i in range(at, 52, n))
+    case = cut(0, 13) + "\n\n" + " ".join(f"u{i}" for i in range(55)) + "\n\n" + cut(0, 11)
+    rows = [(i, plain if i % 2 else same) for i in range(4000)] + [(9999, case)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {r.doc_id: r for r in catalog.p9_scores(spark, str(tmp_path)).where("doc_id IN (0, 1, 9999)").collect()}
+    assert score[9999].p_repetitive < catalog.P9_LEAST and repeated(case, 10)[1] >= 0.3 * repeated(case, 10)[0]
+    assert {r.doc_id for r in catalog.p9_found(spark, str(tmp_path)).collect()} == {9999, *range(0, 4000, 2)}
+
+
 def documents(spark, sizes, sources=("a",)):
     rows = [(i, sources[i % len(sources)], n) for i, n in enumerate(sizes)]
     return spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
