@@ -173,17 +173,19 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, unit = np.concatenate([key, k]), np.concatenate([unit, u])
         if not len(key):
             continue
+        before = overflown
         last = int(np.searchsorted(key, key[-1])) if key[-1] != overflown else 0
         if len(key) - last > GROUP:
             # The last group is too large already: all of its rows are handed on, now and later.
             overflown = key[-1]
         keep = len(key) if key[-1] == overflown else last
-        yield from _pairs(key[:keep], unit[:keep], overflown, out)
+        # The rest of the group that overflowed before may stand in front of one that does now.
+        yield from _pairs(key[:keep], unit[:keep], (before, overflown), out)
         key, unit = key[keep:], unit[keep:]
-    yield from _pairs(key, unit, overflown, out)
+    yield from _pairs(key, unit, (overflown,), out)
 
 
-def _pairs(key: np.ndarray, unit: np.ndarray, overflown: int | None, out) -> Iterator[pa.RecordBatch]:
+def _pairs(key: np.ndarray, unit: np.ndarray, overflown: tuple[int | None, ...], out) -> Iterator[pa.RecordBatch]:
     if not len(key):
         return
     new = np.ones(len(key), bool)
@@ -191,7 +193,7 @@ def _pairs(key: np.ndarray, unit: np.ndarray, overflown: int | None, out) -> Ite
     key, unit = key[new], unit[new]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    large = (size > GROUP) | (key[start] == overflown if overflown is not None else False)
+    large = (size > GROUP) | np.isin(key[start], [k for k in overflown if k is not None])
     rows = np.repeat(large, size)
     if rows.any():
         yield out(key[rows], unit[rows], pa.nulls(int(rows.sum()), pa.int64()))

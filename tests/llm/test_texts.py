@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,25 @@ def test_anchors_are_found_in_random_spans():
     assert missed <= 0.0005 * n
 
 
+def test_large_groups_cut_by_batches():
+    """Two large groups in a row, each cut by the end of a batch: all rows of both go by the windows."""
+    sizes = [("a", 3, 1), ("b", 20, 2), ("b", 5, 2), ("c", 30, 3), ("c", 4, 3), ("d", 2, 4)]
+    unit, parts = 0, {}
+    for batch, n, key in sizes:
+        parts.setdefault(batch, []).extend((key, unit + i) for i in range(n))
+        unit += n
+    rows = [r for own in parts.values() for r in own]
+    cuts = [0, 23, 58, len(rows)]
+    batches = [
+        pa.RecordBatch.from_pydict({"key": [k for k, _ in own], "unit": [u for _, u in own], "salt": [0] * len(own), "hot": [False] * len(own)})
+        for own in (rows[a:b] for a, b in zip(cuts, cuts[1:]))
+    ]
+    out = [r for b in spans._groups(iter(batches)) for r in b.to_pylist()]
+    assert sorted((r["key"], r["a"]) for r in out if r["b"] is None) == [r for r in rows if r[0] in (2, 3)]
+    small = [[u for k, u in rows if k == key] for key in (1, 4)]
+    assert sorted((r["a"], r["b"]) for r in out if r["b"] is not None) == sorted(p for own in small for p in combinations(own, 2))
+
+
 def test_pieces_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(spans, "PIECE", 200)
     random.seed(3)
