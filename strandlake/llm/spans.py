@@ -52,6 +52,11 @@ class Shape:
     def rivals(self) -> int:
         return max(1, min(7, self.least // 7))
 
+    @property
+    def inner(self) -> int:
+        """Places of a span of just the least length that have `side` tokens of it on either side."""
+        return self.least - 2 * self.side + 1
+
 
 def recompress(values: np.ndarray, part: np.ndarray, rounds: int, frozen: int) -> tuple[np.ndarray, np.ndarray]:
     """Names and first tokens of the symbols of all parts after `rounds` rounds.
@@ -102,6 +107,24 @@ def anchors(values: np.ndarray, part: np.ndarray, shape: Shape) -> tuple[np.ndar
                 best = np.where(rank[d : d + n] < rank[best], np.arange(d, d + n), best)
             chosen[best[own[:n] == own[rivals - 1 :]]] = True
         chosen |= long[border] | long[border - 1]
+        # Where borders are so sparse that the inner places of a least span may hold fewer than compete, all stay:
+        # those between two borders of which one lies before and the other behind the inner places.
+        # The first and the last place that an anchor may have bound a part like borders.
+        parts = np.unique(own)
+        low = np.searchsorted(part, parts) + side - 1
+        high = np.searchsorted(part, parts, side="right") - side + 1
+        count = np.searchsorted(own, parts, side="right") - np.searchsorted(own, parts)
+        last = np.cumsum(count + 2) - 1
+        spot = np.empty(len(border) + 2 * len(parts), np.int64)
+        inside = np.ones(len(spot), bool)
+        inside[last] = inside[last - count - 1] = False
+        spot[last], spot[last - count - 1], spot[inside] = high, low, at[border]
+        right = np.minimum(np.arange(len(spot)) + rivals + 1, np.repeat(last, count + 2))
+        left = np.flatnonzero(spot[right] - spot > shape.inner)
+        cover = np.zeros(len(spot) + 2, np.int64)
+        np.add.at(cover, left + 1, 1)
+        np.add.at(cover, right[left], -1)
+        chosen |= np.cumsum(cover)[: len(spot)][inside] > 0
         # Parts with fewer borders than compete keep them all.
         _, back, count = np.unique(own, return_inverse=True, return_counts=True)
         chosen |= count[back] < rivals

@@ -73,6 +73,24 @@ def test_anchors_are_found_in_random_spans():
     assert missed <= 0.0005 * n
 
 
+@pytest.mark.parametrize("kind", ["runs", "periods"])
+def test_anchors_are_found_in_spans_of_low_complexity(kind):
+    """Spans of just the least length, made of homopolymer runs of 4 to 8 letters or of short periods, in random flanks."""
+    rng = np.random.default_rng(5)
+    shape, missed, n = spans.Shape(50), 0, 1000
+    for _ in range(n):
+        core = np.empty(0, np.int64)
+        while len(core) < 50:
+            word = rng.integers(65, 69, 1 if kind == "runs" else rng.integers(2, 5))
+            if kind == "periods" or not len(core) or word[0] != core[-1]:
+                core = np.r_[core, np.tile(word, rng.integers(4, 9) if kind == "runs" else rng.integers(2, 6))]
+        core = core[:50]
+        texts = [np.concatenate([rng.integers(65, 69, rng.integers(0, 60)), core, rng.integers(65, 69, rng.integers(0, 60))]) for _ in range(2)]
+        keys = [set(spans.anchors(VALUE[t], np.zeros(len(t), np.int64), shape)[1].tolist()) for t in texts]
+        missed += not keys[0] & keys[1]
+    assert missed <= 0.001 * n
+
+
 def test_large_groups_cut_by_batches():
     """Two large groups in a row, each cut by the end of a batch: all rows of both go by the windows."""
     sizes = [("a", 3, 1), ("b", 20, 2), ("b", 5, 2), ("c", 30, 3), ("c", 4, 3), ("d", 2, 4)]
