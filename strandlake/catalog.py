@@ -772,7 +772,7 @@ def gfa_links(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT concat({_decoded(31)}, chr(9), CAST(sum(freq) AS VARCHAR)) AS value FROM (SELECT DISTINCT sample, kmer, freq, run_at FROM kmer_counts WHERE kmer IS NOT NULL AND freq >= 1 AND sample IS NOT NULL) q GROUP BY kmer HAVING sum(freq) < 30000")
 def kmer_view(spark: SparkSession, d: str) -> DataFrame:
     """The pooled count table as lines of letters and count."""
-    rows = _counts(spark, d).groupBy("kmer").agg(F.sum("freq").alias("freq")).where("freq < 30000")
+    rows = _counts(spark, d).groupBy("kmer").agg(F.sum("freq").alias("freq"))
     return X.kmer_lines(rows, 31)
 
 

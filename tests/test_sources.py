@@ -4,6 +4,7 @@ import struct
 
 import pytest
 
+from strandlake import catalog
 from strandlake.operators import counts as C
 from strandlake.operators import features as V
 from strandlake.sources import binary, reads, text
@@ -101,3 +102,12 @@ def test_pictures_and_graph_lines(spark):
     assert sorted(r.value for r in text.fasta_lines(u).collect())[0] == ">1 length=2 av_weight=5 min_weight=4 max_weight=6\nAC"
     assert sorted(r.value for r in text.kmer_fasta(counts, 3).collect()) == [">1\nACG", ">2\nCGT"]
     assert sorted(r.value for r in text.kmer_lines(counts, 3).collect()) == ["ACG\t2", "CGT\t3"]
+
+
+def test_kmer_view_keeps_the_most_abundant(spark, tmp_path):
+    """A sample's count saturates at 32,767, the sum over the samples does not, and no k-mer is left out."""
+    rows = [("a", 5, 20_000), ("b", 5, 15_000), ("a", 6, 40_000), ("b", 7, 3)]
+    df = spark.createDataFrame(rows, "sample string, kmer long, freq long").selectExpr("*", "timestamp'2024-01-01' AS run_at", "timestamp'2024-01-02' AS loaded_at")
+    df.write.parquet(f"{tmp_path}/kmer_counts.parquet")
+    got = sorted(int(r.value.split("\t")[1]) for r in catalog.kmer_view(spark, str(tmp_path)).collect())
+    assert got == [3, 32_767, 35_000]
