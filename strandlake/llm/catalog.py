@@ -348,3 +348,20 @@ def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = table(spark, sf_dir, "seq_reads").where(F.col("seq").isNotNull() & ~F.upper("seq").contains("N"))
     lengths = reads.groupBy("read_no").agg(F.max(F.length("seq")).cast("long").alias("length"))
     return rows.join(lengths, "read_no").select("read_no", "length", "shared")
+
+
+@query(
+    P5_READS
+    + """, d AS (SELECT k FROM cw GROUP BY k HAVING count(*) > 1),
+x AS (SELECT comp_no, run, i, v[i : i + 19] AS k FROM l, unnest(range(1, len(v) - 18)) t(i)),
+cov AS (SELECT DISTINCT x.comp_no, x.run, p FROM x JOIN d ON x.k = d.k, unnest(range(x.i, x.i + 20)) u(p)),
+n AS (SELECT comp_no, count(*) AS length FROM c WHERE comp_no IS NOT NULL AND pos IS NOT NULL GROUP BY comp_no)
+SELECT CAST(cov.comp_no AS BIGINT) AS comp_no, max(length) AS length, count(*) AS shared FROM cov JOIN n ON cov.comp_no = n.comp_no
+GROUP BY cov.comp_no"""
+)
+def p5_shared_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many k-mers of each component lie in runs of at least 20 that other components have too."""
+    rows = spans.shared_places(_p5_components(spark, sf_dir), 20).withColumnRenamed("key", "comp_no")
+    kmers = table(spark, sf_dir, "component_kmers").where("comp_no IS NOT NULL AND pos IS NOT NULL AND kmer IS NOT NULL")
+    lengths = kmers.groupBy(F.col("comp_no").cast("long").alias("comp_no")).agg(F.count_distinct("pos").alias("length"))
+    return rows.join(lengths, "comp_no").select("comp_no", "length", "shared")

@@ -402,3 +402,14 @@ def shared_lengths(units: DataFrame, least: int) -> DataFrame:
     before = F.max("end").over(W.partitionBy("key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     fresh = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce("before", F.col("start"))), F.lit(0))
     return rows.withColumn("before", before).groupBy("key").agg(F.sum(fresh).cast("long").alias("shared"))
+
+
+def shared_places(units: DataFrame, least: int) -> DataFrame:
+    """(`key`, `shared`): as `shared_lengths`, for units made by `list_units`: tokens are told apart by their places."""
+    own, other = (F.when(F.col("of_b"), F.col(f"unit_{x}")).otherwise(F.col(f"unit_{y}")) for x, y in ("ba", "ab"))
+    rows = shared_spans(units, least).select(own.alias("unit"), other.alias("other"), "start", "end")
+    key = F.shiftrightunsigned("unit", PIECE_BITS)
+    rows = rows.where(key != F.shiftrightunsigned("other", PIECE_BITS)).select("unit", "start", "end").distinct()
+    held = F.expr("slice(tokens.place, cast(start + 1 AS INT), cast(end - start AS INT))")
+    places = rows.join(units, "unit").select(key.alias("key"), F.explode(held).alias("place")).distinct()
+    return places.groupBy("key").agg(F.count("*").alias("shared"))

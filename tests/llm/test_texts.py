@@ -324,3 +324,21 @@ def test_shared_lengths(spark, monkeypatch):
         if places:
             want[i] = len(places)
     assert got == want
+
+
+def test_shared_components_beside_sql(spark, monkeypatch, tmp_path):
+    """Runs cut by a gap, a run over the end of a piece, a run of 19 and one that comes twice in its own component only."""
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(spans, "PIECE", 50)
+    random.seed(6)
+    own = lambda n: [random.getrandbits(60) for _ in range(n)]
+    core, short, again = own(45), own(19), own(25)
+    lists = [own(30) + core + own(9), own(3) + core[:25] + [None] + core[25:], short + own(5), own(9) + short, again + own(4) + again]
+    rows = [(c, p, x) for c, values in enumerate(lists) for p, x in enumerate(values) if x is not None]
+    spark.createDataFrame(rows, "comp_no int, pos int, kmer long").write.parquet(f"{tmp_path}/component_kmers.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW component_kmers AS SELECT * FROM '{tmp_path}/component_kmers.parquet/*.parquet'")
+    con.execute("CREATE TABLE seq_reads (read_no BIGINT, seq VARCHAR)")
+    want = con.sql(catalog.SQL["p5_shared_components"]).fetchall()
+    got = [tuple(r) for r in catalog.p5_shared_components(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) == [(0, 84, 45), (1, 48, 45)]
