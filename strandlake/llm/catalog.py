@@ -365,3 +365,18 @@ def p5_shared_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     kmers = table(spark, sf_dir, "component_kmers").where("comp_no IS NOT NULL AND pos IS NOT NULL AND kmer IS NOT NULL")
     lengths = kmers.groupBy(F.col("comp_no").cast("long").alias("comp_no")).agg(F.count_distinct("pos").alias("length"))
     return rows.join(lengths, "comp_no").select("comp_no", "length", "shared")
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT read_no AS key, upper(seq) AS s FROM seq_reads
+           WHERE read_no IS NOT NULL AND seq IS NOT NULL AND upper(seq) NOT LIKE '%N%' AND length(seq) >= 50),
+c AS (SELECT s, min(key) AS class_id FROM r GROUP BY s),
+w AS (SELECT DISTINCT class_id, substr(s, i, 50) AS k FROM c, unnest(range(1, length(s) - 48)) t(i)),
+l AS (SELECT a.class_id, count(DISTINCT b.class_id) AS n FROM w a JOIN w b ON a.k = b.k AND a.class_id <> b.class_id GROUP BY a.class_id)
+SELECT r.key AS read_no, c.class_id, coalesce(n, 0) AS n_links FROM r JOIN c ON r.s = c.s LEFT JOIN l ON l.class_id = c.class_id"""
+)
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every good read of at least 50 letters with the class of reads of the same text and its number of linked texts."""
+    reads = table(spark, sf_dir, "seq_reads").where(F.col("seq").isNotNull() & ~F.upper("seq").contains("N"))
+    rows = spans.shared_classes(reads.select("read_no", F.upper("seq").alias("seq")), "read_no", "seq", 50)
+    return rows.withColumnRenamed("key", "read_no")

@@ -3,8 +3,9 @@
 A record is a sequence of tokens. Each round names maximal runs of one symbol and then pairs of neighbours of which the
 left has coin 0 and the right coin 1. Names and coins are 64-bit hashes of what they stand for, so every task names
 globally alike without a dictionary or a shuffle, and equal spans get equal interior symbols but for a few at either end.
-Borders between high-level symbols, thinned out by the names on both sides, are anchors; records that share an anchor
-with its nearest tokens are candidates, verified exactly.
+Which these are is kept for each symbol: the tokens on which it depends. Some borders between high-level symbols, with the
+names of the symbols around them, are anchors; records that share these symbols are candidates, verified exactly. Spans
+too poor in borders to hold an anchor go by their whole windows, so that none is missed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandlake.functions.windows import flat
-from strandlake.llm.overlap import gathered
 from strandlake.llm.repetition import VALUE, chunks, mix, prefix, spans
 from strandlake.runtime import join_small, materialize
 
@@ -36,7 +36,8 @@ NEXT = np.uint64(0x9FB21C651E98DF25)
 
 @dataclass(frozen=True)
 class Shape:
-    """What follows from the least span: tokens on either side of an anchor, rounds, borders that compete for an anchor."""
+    """What follows from the least span: tokens on either side of a border that its key covers at least, rounds, borders
+    that compete for an anchor."""
 
     least: int
 
@@ -52,87 +53,123 @@ class Shape:
     def rivals(self) -> int:
         return max(1, min(7, self.least // 7))
 
-    @property
-    def inner(self) -> int:
-        """Places of a span of just the least length that have `side` tokens of it on either side."""
-        return self.least - 2 * self.side + 1
 
+@dataclass
+class Symbols:
+    """Symbols of all parts in order: name, first token, and the tokens [low, high) on which name and place depend.
+
+    Wherever these tokens stand, the symbol stands. A dependence on a part's border reaches one token beyond it, which no
+    span does.
+    """
+
+    name: np.ndarray
+    at: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
-def recompress(values: np.ndarray, part: np.ndarray, rounds: int, frozen: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names and first tokens of the symbols of all parts after `rounds` rounds.
+
+def recompress(values: np.ndarray, part: np.ndarray, rounds: int, frozen: int) -> Symbols:
+    """The symbols of all parts after `rounds` rounds.
 
     `part` numbers the parts (non-decreasing); no symbol crosses from one to the next. A symbol of `frozen` tokens or
     more (a long repeat of a short period) is not paired any further, so its borders stay.
     """
     name, at = values, np.arange(len(values))
+    low, high = at, at + 1
     for level in range(rounds):
-        head = np.ones(len(name), bool)
-        head[1:] = (name[1:] != name[:-1]) | (part[at[1:]] != part[at[:-1]])
+        n = len(name)
+        if not n:
+            break
+        own = part[at]
+        edge = np.ones(n + 1, bool)  # between the parts
+        edge[1:-1] = own[1:] != own[:-1]
+        head = edge[:-1].copy()
+        head[1:] |= name[1:] != name[:-1]
         start = np.flatnonzero(head)
-        run = np.diff(np.r_[start, len(name)])
-        name, at = name[start], at[start]
+        tail = np.r_[start[1:], n] - 1
+        end = np.r_[at[1:], len(values)]
+        # A run ends where another name follows. That it is another shows in the first token if this differs from the
+        # run's, else only in all on which that name depends; likewise before the run.
+        last, first = np.minimum(tail + 1, n - 1), np.maximum(start - 1, 0)
+        seen = np.where(values[at[last]] != values[at[start]], end[tail] + 1, high[last])
+        new_high = np.maximum(high[tail], np.where(edge[tail + 1], end[tail] + 1, seen))
+        seen = np.where(values[end[first] - 1] != values[end[tail] - 1], at[start] - 1, low[first])
+        new_low = np.minimum(low[start], np.where(edge[start], at[start] - 1, seen))
+        run = tail - start + 1
+        name, at, low, high = name[start], at[start], new_low, new_high
         many = run > 1
+        name = name.copy()
         name[many] = mix(name[many] ^ (run[many].astype(np.uint64) * ROUND))
+        n, own = len(name), part[at]
         size = np.diff(np.r_[at, len(values)])
         salt = np.uint64((level + 1) * int(ROUND) % (1 << 64))
-        coin = (mix(name + salt) & np.uint64(1)).astype(bool)
+        right = (mix(name + salt) & np.uint64(1)).astype(bool)
         fit = size < frozen
-        pair = np.zeros(len(name), bool)
-        pair[:-1] = ~coin[:-1] & coin[1:] & fit[:-1] & fit[1:] & (part[at[1:]] == part[at[:-1]])
+        same = np.zeros(n + 1, bool)
+        same[1:-1] = own[1:] == own[:-1]
+        pair = np.zeros(n, bool)
+        pair[:-1] = ~right[:-1] & right[1:] & fit[:-1] & fit[1:] & same[1:-1]
+        # A symbol that may be the left one of a pair depends on the next, one that may be the right one on the one before.
+        end = at + size
+        new_high = np.where(fit & ~right, np.where(same[1:], np.r_[high[1:], 0], end + 1), high)
+        new_low = np.where(fit & right, np.where(same[:-1], np.r_[0, low[:-1]], at - 1), low)
         first = np.flatnonzero(pair)
+        new_low[first] = low[first]
+        new_high[first] = high[first + 1]
         joined = mix(name[first] * ROUND + name[first + 1] * NEXT + np.uint64(level))
-        keep = np.ones(len(name), bool)
+        keep = np.ones(n, bool)
         keep[first + 1] = False
-        name = name.copy()
         name[first] = joined
-        name, at = name[keep], at[keep]
-    return name, at
-
-
-def anchors(values: np.ndarray, part: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Places and keys of a chunk's anchors; the key is the hash of the tokens around the place."""
-    side, rivals = shape.side, shape.rivals
-    name, at = recompress(values, part, shape.rounds, 2 * side)
-    border = np.flatnonzero(part[at[1:]] == part[at[:-1]]) + 1
-    size = np.diff(np.r_[at, len(values)])
-    long = size >= 2 * side
-    chosen = np.zeros(len(border), bool)
-    if len(border):
-        own = part[at[border]]
-        rank = mix(name[border - 1] * ROUND + name[border] * NEXT)
-        n = len(border) - rivals + 1
-        if n > 0:
-            best = np.arange(n)
-            for d in range(1, rivals):
-                best = np.where(rank[d : d + n] < rank[best], np.arange(d, d + n), best)
-            chosen[best[own[:n] == own[rivals - 1 :]]] = True
-        chosen |= long[border] | long[border - 1]
-        # Where borders are so sparse that the inner places of a least span may hold fewer than compete, all stay:
-        # those between two borders of which one lies before and the other behind the inner places.
-        # The first and the last place that an anchor may have bound a part like borders.
-        parts = np.unique(own)
-        low = np.searchsorted(part, parts) + side - 1
-        high = np.searchsorted(part, parts, side="right") - side + 1
-        count = np.searchsorted(own, parts, side="right") - np.searchsorted(own, parts)
-        last = np.cumsum(count + 2) - 1
-        spot = np.empty(len(border) + 2 * len(parts), np.int64)
-        inside = np.ones(len(spot), bool)
-        inside[last] = inside[last - count - 1] = False
-        spot[last], spot[last - count - 1], spot[inside] = high, low, at[border]
-        right = np.minimum(np.arange(len(spot)) + rivals + 1, np.repeat(last, count + 2))
-        left = np.flatnonzero(spot[right] - spot > shape.inner)
-        cover = np.zeros(len(spot) + 2, np.int64)
-        np.add.at(cover, left + 1, 1)
-        np.add.at(cover, right[left], -1)
-        chosen |= np.cumsum(cover)[: len(spot)][inside] > 0
-        # Parts with fewer borders than compete keep them all.
-        _, back, count = np.unique(own, return_inverse=True, return_counts=True)
-        chosen |= count[back] < rivals
-    inside = at[size >= max(2 * side, shape.least - 2 * side)] + side
-    place = np.concatenate([at[border[chosen]], inside])
-    place = place[(place >= side) & (place + side <= len(values))]
-    place = place[part[place - side] == part[place + side - 1]]
-    return place, spans(prefix(values), place - side, place + side)
+        name, at, low, high = name[keep], at[keep], np.minimum(new_low, low)[keep], np.maximum(new_high, high)[keep]
+    return Symbols(name, at, low, high)
+
+
+def anchors(values: np.ndarray, part: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, end, key) of a chunk's anchors and of the windows without one.
+
+    A border between two symbols has as key the names of the symbols around it that cover `side` tokens on either side;
+    of `rivals` borders in a row the least is an anchor. All this depends on tokens that are known (`Symbols`), so an
+    anchor that depends on the tokens of one window of the least span alone occurs wherever this window does. Windows that
+    hold no such anchor (text of few letters or short periods, places near a record's ends) are keys themselves: two
+    records with a window in common always have a key in common.
+    """
+    side, rivals, least = shape.side, shape.rivals, shape.least
+    window, whole = windows(values, part, least)
+    if not len(window):
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+    s = recompress(values, part, shape.rounds, 2 * side)
+    at, n = s.at, len(s.at)
+    own = part[at]
+    border = np.flatnonzero(own[1:] == own[:-1]) + 1
+    place = at[border]
+    l = np.searchsorted(at, place - side, side="right") - 1
+    r = np.searchsorted(at, place + side, side="left")
+    there = (place >= side) & (place + side <= len(values))
+    there &= (part[np.maximum(place - side, 0)] == part[place]) & (part[np.minimum(place + side, len(values)) - 1] == part[place])
+    l, r = np.where(there, l, border - 1), np.where(there, r, border + 1)
+    m = len(border) - rivals + 1
+    found = np.empty(0, np.int64)
+    cover = np.zeros(len(values) + 2, np.int64)
+    if m > 0:
+        rank = mix(s.name[border - 1] * ROUND + s.name[border] * NEXT)
+        best = np.arange(m)
+        for d in range(1, rivals):
+            best = np.where(rank[d : d + m] < rank[best], np.arange(d, d + m), best)
+        low = s.low[np.minimum(border[:m] - 1, l[best])]
+        high = s.high[np.maximum(border[rivals - 1 :], r[best] - 1)]
+        ok = there[best] & (high - low <= least) & (border[rivals - 1 :] - border[:m] == rivals - 1)
+        found = np.unique(best[ok])
+        # Windows [i, i + least) of which the dependence is a part.
+        np.add.at(cover, np.maximum(high[ok] - least, 0), 1)
+        np.add.at(cover, low[ok] + 1, -1)
+    bare = np.cumsum(cover)[window] <= 0
+    first, end = at[l[found]], np.r_[at, len(values)][r[found]]
+    key = spans(prefix(s.name), l[found], r[found])
+    return (
+        np.concatenate([first, window[bare]]),
+        np.concatenate([end, window[bare] + least]),
+        np.concatenate([key, whole[bare]]),
+    )
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -160,10 +197,8 @@ def _keys(shape: Shape, hot: np.ndarray):
         for batch in batches:
             units = batch.column(0).to_numpy(zero_copy_only=False)
             for values, part, row, first in _tokens(batch):
-                if not len(values):
-                    continue
-                place, key = anchors(values, part, shape)
-                own = row[place]
+                at, _, key = anchors(values, part, shape)
+                own = row[at]
                 key = key.astype(np.int64)
                 order = np.lexsort((own, key))
                 key, own = key[order], own[order]
@@ -234,30 +269,29 @@ def windows(values: np.ndarray, part: np.ndarray, least: int) -> tuple[np.ndarra
     return at, spans(prefix(values), at, at + least)
 
 
-def _hot_windows(shape: Shape):
-    """Of (unit, tokens, keys): the windows of the least span that hold the tokens of one of the keys."""
+def _held_windows(shape: Shape):
+    """Of (unit, tokens, keys): the windows of the least span that hold the tokens of one of the keys, with their places."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = batch.column(0).to_numpy(zero_copy_only=False)
-            keys = batch.column(2).to_numpy(zero_copy_only=False)
+            keys = batch.column(2)
+            edge, keys = keys.offsets.to_numpy(), keys.values.to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(edge))
+            wanted = np.sort(mix(keys[edge[0] : edge[-1]].astype(np.uint64) ^ (owner.astype(np.uint64) * NEXT)))
             for values, part, row, first in _tokens(batch):
-                at, around = windows(values, part, 2 * shape.side)
-                hit = at[around.astype(np.int64) == keys[first + row[at]]]
+                at, end, key = anchors(values, part, shape)
+                hit = np.isin(mix(key ^ ((first + row[at]).astype(np.uint64) * NEXT)), wanted)
+                cover = np.zeros(len(values) + 2, np.int64)
+                np.add.at(cover, np.maximum(end[hit] - shape.least, 0), 1)
+                np.add.at(cover, at[hit] + 1, -1)
                 place, window = windows(values, part, shape.least)
-                cover = np.zeros(len(values) + 1, np.int64)
-                np.add.at(cover, np.maximum(0, hit + 2 * shape.side - shape.least), 1)
-                np.add.at(cover, hit + 1, -1)
                 held = np.cumsum(cover)[place] > 0
-                n = int(held.sum())
+                place, window = place[held], window[held]
+                start = np.searchsorted(row, row[place])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(window[held].astype(np.int64)),
-                        pa.array(units[first + row[place[held]]]),
-                        pa.array(np.zeros(n, np.int32)),
-                        pa.array(np.zeros(n, bool)),
-                    ],
-                    ["key", "unit", "salt", "hot"],
+                    [pa.array(window.astype(np.int64)), pa.array(units[first + row[place]]), pa.array(place - start)],
+                    ["key", "unit", "at"],
                 )
 
     return work
@@ -350,22 +384,36 @@ def hot_anchors(units: DataFrame, shape: Shape) -> np.ndarray:
     return np.array(sorted(r.key for r in rows), np.int64)
 
 
+def shared_anchors(units: DataFrame, shape: Shape) -> DataFrame:
+    """(key, a, b): pairs of units (a, b) that share an anchor; of anchors that more than GROUP units share the rows
+    (key, a, null). One shuffle of anchors: 16 bytes, one in about 12 tokens."""
+    hot = hot_anchors(units, shape)
+    rows = units.mapInArrow(_keys(shape, hot), ANCHOR).repartition("key", "salt").sortWithinPartitions("key", "unit")
+    return materialize(rows.mapInArrow(_groups, "key long, a long, b long"))
+
+
+def held_windows(units: DataFrame, keys: DataFrame, shape: Shape) -> DataFrame:
+    """(key, unit, at): windows of the least span, by hash, around the anchors (unit, key)."""
+    # The anchors of a unit are at most as many as its tokens, which are bounded.
+    keys = keys.groupBy("unit").agg(F.collect_set("key").alias("keys"))
+    held = join_small(units, keys, "unit").select("unit", "tokens", "keys")
+    return held.mapInArrow(_held_windows(shape), "key long, unit long, at long")
+
+
 def shared_spans(units: DataFrame, least: int) -> DataFrame:
     """Stretches of at least `least` tokens that two units share: `unit_a` < `unit_b`, `of_b`, `start`, `end`.
 
-    A row is a maximal stretch of either side (`of_b`: of the second) that occurs in the other. One shuffle of anchors
-    (16 bytes, one in about 8 tokens), none of texts but of those that share an anchor.
+    A row is a maximal stretch of either side (`of_b`: of the second) that occurs in the other. No texts are shuffled but
+    of those that share an anchor. No pair is missed: `anchors`.
     """
     shape = Shape(least)
-    hot = hot_anchors(units, shape)
-    rows = units.mapInArrow(_keys(shape, hot), ANCHOR).repartition("key", "salt").sortWithinPartitions("key", "unit")
-    found = materialize(rows.mapInArrow(_groups, "key long, a long, b long"))
+    found = shared_anchors(units, shape)
     pairs = found.where("b IS NOT NULL").select("a", "b")
-    many = found.where("b IS NULL").select(F.col("a").alias("unit"), "key").distinct()
+    many = found.where("b IS NULL").select(F.col("a").alias("unit"), "key")
     if not many.isEmpty():
         # Anchors that many share: only units with the same whole window go together, so every pair is a true one.
-        held = join_small(units, many, "unit").select("unit", "tokens", "key")
-        held = held.mapInArrow(_hot_windows(shape), ANCHOR).repartition("key").sortWithinPartitions("key", "unit")
+        held = held_windows(units, many, shape).select("key", "unit", F.lit(0).alias("salt"), F.lit(False).alias("hot"))
+        held = held.repartition("key").sortWithinPartitions("key", "unit")
         held = materialize(held.mapInArrow(_groups, "key long, a long, b long"))
         pairs = pairs.unionByName(held.where("b IS NOT NULL").select("a", "b"))
         alike = held.where("b IS NULL").select("key", "a")
@@ -388,28 +436,60 @@ def shared_pairs(units: DataFrame, least: int) -> DataFrame:
     return df.select(F.least(a, b).alias("key_a"), F.greatest(a, b).alias("key_b")).where("key_a < key_b").distinct()
 
 
+def shared_windows(units: DataFrame, least: int) -> DataFrame:
+    """(`unit`, `at`): the windows of `least` tokens that another record has too.
+
+    The windows around shared anchors are grouped by their 64-bit hash; a window stays if its smallest and its largest
+    record differ. No pairs of records are made, and a window that very many have is aggregated before the shuffle.
+    """
+    shape = Shape(least)
+    found = shared_anchors(units, shape)
+    # Units of groups up to GROUP come as pairs without their key: all of their anchors count.
+    some = found.where("b IS NOT NULL").select(F.explode(F.array("a", "b")).alias("unit")).distinct()
+    own = units.mapInArrow(_keys(shape, np.empty(0, np.int64)), ANCHOR).select("key", "unit")
+    many = found.where("b IS NULL").select(F.col("a").alias("unit"), "key")
+    keys = join_small(own, some, "unit").select("unit", "key").unionByName(many)
+    held = materialize(held_windows(units, keys, shape))
+    record = F.shiftrightunsigned("unit", PIECE_BITS)
+    again = held.groupBy("key").agg(F.min(record).alias("lo"), F.max(record).alias("hi")).where("lo < hi")
+    return held.join(again.select("key"), "key").select("unit", "at")
+
+
+def stretches(shared: DataFrame, least: int) -> DataFrame:
+    """(`key`, `start`, `end`): places of a record that its shared windows (`unit`, `at`) cover, merged."""
+    key, piece = F.shiftrightunsigned("unit", PIECE_BITS), F.col("unit").bitwiseAND((1 << PIECE_BITS) - 1)
+    rows = shared.select(key.alias("key"), (F.col("at") + piece * PIECE).alias("at")).distinct()
+    own = W.partitionBy("key").orderBy("at")
+    rows = rows.withColumn("new", (F.col("at") - F.lag("at").over(own) > least).cast("int"))
+    rows = rows.withColumn("part", F.sum(F.coalesce("new", F.lit(1))).over(own))
+    return rows.groupBy("key", "part").agg(F.min("at").alias("start"), (F.max("at") + least).alias("end")).drop("part")
+
+
 def shared_lengths(units: DataFrame, least: int) -> DataFrame:
     """(`key`, `shared`): tokens of each record that lie in a stretch of at least `least` that another record has too.
 
-    For units made by `text_units`. Stretches of all partners are merged by their starts; records that share nothing are
-    absent.
+    For units made by `text_units`. Records that share nothing are absent.
     """
-    own, other = (F.when(F.col("of_b"), F.col(f"unit_{x}")).otherwise(F.col(f"unit_{y}")) for x, y in ("ba", "ab"))
-    rows = shared_spans(units, least).select(own.alias("unit"), other.alias("other"), "start", "end")
-    key, piece = F.shiftrightunsigned("unit", PIECE_BITS), F.col("unit").bitwiseAND((1 << PIECE_BITS) - 1)
-    rows = rows.where(key != F.shiftrightunsigned("other", PIECE_BITS))
-    rows = rows.select(key.alias("key"), (F.col("start") + piece * PIECE).alias("start"), (F.col("end") + piece * PIECE).alias("end")).distinct()
-    before = F.max("end").over(W.partitionBy("key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce("before", F.col("start"))), F.lit(0))
-    return rows.withColumn("before", before).groupBy("key").agg(F.sum(fresh).cast("long").alias("shared"))
+    rows = stretches(shared_windows(units, least), least)
+    return rows.groupBy("key").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("shared"))
 
 
 def shared_places(units: DataFrame, least: int) -> DataFrame:
     """(`key`, `shared`): as `shared_lengths`, for units made by `list_units`: tokens are told apart by their places."""
-    own, other = (F.when(F.col("of_b"), F.col(f"unit_{x}")).otherwise(F.col(f"unit_{y}")) for x, y in ("ba", "ab"))
-    rows = shared_spans(units, least).select(own.alias("unit"), other.alias("other"), "start", "end")
-    key = F.shiftrightunsigned("unit", PIECE_BITS)
-    rows = rows.where(key != F.shiftrightunsigned("other", PIECE_BITS)).select("unit", "start", "end").distinct()
-    held = F.expr("slice(tokens.place, cast(start + 1 AS INT), cast(end - start AS INT))")
-    places = rows.join(units, "unit").select(key.alias("key"), F.explode(held).alias("place")).distinct()
+    rows = shared_windows(units, least).join(units, "unit")
+    held = F.expr(f"slice(tokens.place, cast(at + 1 AS INT), {least})")
+    places = rows.select(F.shiftrightunsigned("unit", PIECE_BITS).alias("key"), F.explode(held).alias("place")).distinct()
     return places.groupBy("key").agg(F.count("*").alias("shared"))
+
+
+def shared_classes(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """(`key`, `class_id`, `n_links`): each record once, with the smallest key of those of the same text and the number of
+    other texts that share a span with it. Copies are not expanded into pairs."""
+    rows = df.where(F.col(key).isNotNull() & (F.length(text) >= least))
+    same = rows.groupBy(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), F.col(text)).alias("h2")).agg(F.min(key).alias("class_id"))
+    named = rows.select(F.col(key).alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), F.col(text)).alias("h2")).distinct()
+    member = materialize(named.join(same, ["h1", "h2"]).select("key", "class_id"))
+    first = rows.join(member.where("key = class_id").select(F.col("key").alias(key)), key, "left_semi")
+    pairs = shared_pairs(text_units(first, key, text, least), least)
+    ends = pairs.select(F.explode(F.array("key_a", "key_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return member.join(ends, "class_id", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

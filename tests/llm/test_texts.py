@@ -61,34 +61,81 @@ def test_stretches_cover_what_is_shared(spark):
                 assert got.get((i, j), set()) == want
 
 
-def test_anchors_are_found_in_random_spans():
-    """Recall of the anchors alone, before anything else: spans of just the least length between random flanks."""
-    rng = np.random.default_rng(1)
-    shape, missed, n = spans.Shape(50), 0, 4000
-    for _ in range(n):
-        core = rng.integers(65, 69, 50)
-        texts = [np.concatenate([rng.integers(65, 69, rng.integers(0, 60)), core, rng.integers(65, 69, rng.integers(0, 60))]) for _ in range(2)]
-        keys = [set(spans.anchors(VALUE[t], np.zeros(len(t), np.int64), shape)[1].tolist()) for t in texts]
-        missed += not keys[0] & keys[1]
-    assert missed <= 0.0005 * n
-
-
-@pytest.mark.parametrize("kind", ["runs", "periods"])
-def test_anchors_are_found_in_spans_of_low_complexity(kind):
-    """Spans of just the least length, made of homopolymer runs of 4 to 8 letters or of short periods, in random flanks."""
+def bodies(kind, rng, n):
+    """n letters of one kind of text."""
+    if kind == "uniform":
+        return rng.integers(65, 69, n)
+    if kind == "two":
+        return rng.integers(65, 67, n)
+    if kind == "biased":
+        return 65 + rng.choice(4, n, p=[0.85, 0.05, 0.05, 0.05])
+    if kind == "periods":
+        out = np.resize(rng.integers(65, 69, rng.integers(1, 8)), n)
+        if n and rng.random() < 0.5:
+            out[rng.integers(n)] = 65
+        return out
+    out = [np.full(rng.integers(2, 14), rng.integers(65, 69)) for _ in range(n // 2 + 1)]
+    return np.concatenate(out)[:n]
+
+
+KINDS = ["uniform", "two", "biased", "periods", "runs"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_no_span_is_without_a_common_key(kind):
+    """Spans of just the least length between flanks of the same kind or of uniform letters: always a key in common."""
     rng = np.random.default_rng(5)
-    shape, missed, n = spans.Shape(50), 0, 1000
-    for _ in range(n):
-        core = np.empty(0, np.int64)
-        while len(core) < 50:
-            word = rng.integers(65, 69, 1 if kind == "runs" else rng.integers(2, 5))
-            if kind == "periods" or not len(core) or word[0] != core[-1]:
-                core = np.r_[core, np.tile(word, rng.integers(4, 9) if kind == "runs" else rng.integers(2, 6))]
-        core = core[:50]
-        texts = [np.concatenate([rng.integers(65, 69, rng.integers(0, 60)), core, rng.integers(65, 69, rng.integers(0, 60))]) for _ in range(2)]
-        keys = [set(spans.anchors(VALUE[t], np.zeros(len(t), np.int64), shape)[1].tolist()) for t in texts]
-        missed += not keys[0] & keys[1]
-    assert missed <= 0.001 * n
+    shape, n = spans.Shape(50), 4000
+    cores = [bodies(kind, rng, 50) for _ in range(n)]
+    keys = []
+    for _ in range(2):
+        flank = lambda: bodies(kind if rng.random() < 0.5 else "uniform", rng, int(rng.integers(0, 60)))
+        texts = [np.concatenate([flank(), core, flank()]) for core in cores]
+        part = np.repeat(np.arange(n), [len(t) for t in texts])
+        at, _, key = spans.anchors(VALUE[np.concatenate(texts)], part, shape)
+        keys.append(set(zip(part[at].tolist(), key.tolist())))
+    assert {p for p, _ in keys[0] & keys[1]} == set(range(n))
+
+
+def test_few_keys_where_letters_are_uniform():
+    rng = np.random.default_rng(6)
+    part = np.repeat(np.arange(1000), 100)
+    at, end, _ = spans.anchors(VALUE[rng.integers(65, 69, len(part))], part, spans.Shape(50))
+    assert len(at) < 0.1 * len(part) and (end - at == 50).sum() < 0.1 * len(at)
+
+
+@pytest.mark.parametrize("kind", KINDS[1:])
+def test_pairs_of_poor_texts(spark, kind):
+    """End to end, with many reads of the same letters: every pair, and the share of every read without pairs."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(150):
+        core = bodies(kind, rng, 50)
+        for _ in range(2):
+            texts.append(bytes(np.concatenate([bodies(kind, rng, 15), core, bodies("uniform", rng, 20)]).astype(np.uint8)).decode())
+    own = [{t[i : i + 50] for i in range(len(t) - 49)} for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "read_no long, seq string")
+    units = spans.text_units(df, "read_no", "seq", 50)
+    got = {(r.key_a, r.key_b) for r in spans.shared_pairs(units, 50).collect()}
+    assert got == {(i, j) for i, j in combinations(range(len(texts)), 2) if own[i] & own[j]}
+    often = Counter(w for x in own for w in x)
+    want = {}
+    for i, t in enumerate(texts):
+        cover = {p for k in range(len(t) - 49) if often[t[k : k + 50]] > 1 for p in range(k, k + 50)}
+        if cover:
+            want[i] = len(cover)
+    assert {r.key: r.shared for r in spans.shared_lengths(units, 50).collect()} == want
+
+
+def test_classes_of_copies(spark):
+    texts = sequences(9, 40)
+    df = spark.createDataFrame(list(enumerate(texts)) + [(500, None), (None, texts[0])], "read_no long, seq string")
+    got = {r.key: (r.class_id, r.n_links) for r in spans.shared_classes(df, "read_no", "seq", 50).collect()}
+    long = [(i, t) for i, t in enumerate(texts) if len(t) >= 50]
+    kinds = {t for _, t in long}
+    links = {t: sum(shared(t, o, 50) for o in kinds if o != t) for t in kinds}
+    assert got == {i: (min(j for j, o in long if o == t), links[t]) for i, t in long}
+    assert spans.shared_classes(df.limit(0), "read_no", "seq", 50).isEmpty()
 
 
 def test_large_groups_cut_by_batches():
