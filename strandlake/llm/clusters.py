@@ -47,12 +47,12 @@ def density_peaks(features: DataFrame, distances: DataFrame) -> DataFrame:
     The distance of two samples is that of their features where both have rows there, else that of `distances`. Samples
     with equal vectors are one node, weighted with their number. Density: records within RADIUS, the node's own included.
     The order of density (ties: the smaller name is denser) is total, so pointers to the nearest denser node have no
-    cycle; a node without a denser one within RADIUS is a peak. Neighbours are searched in blocks twice, once to count
-    them and once for the nearest denser; each pass leaves one row per node and block, never the pairs of a group.
-    Samples without any near record are peaks of their own.
+    cycle; a node without a denser one within RADIUS is a peak. Near pairs come from windows of bounded size; members of
+    crowded windows are compared in blocks, once to count them and once for the nearest denser, which leaves one row per
+    node and block, never the pairs of a group. Samples without any near record are peaks of their own.
     """
     vecs = neighbours.vectors(features)
-    classes = materialize(neighbours.classes_of(vecs).withColumn("rank", F.lit(0).cast("double")))
+    classes = neighbours.classes_of(vecs, 1)
     member = materialize(vecs.select("sample", "cls").join(classes.select("cls", "rep"), "cls").select("sample", F.col("rep").alias("node")))
     edges = table_edges(distances, features.where("sample IS NOT NULL").select("sample").distinct())
     for side in "ab":
@@ -60,16 +60,35 @@ def density_peaks(features: DataFrame, distances: DataFrame) -> DataFrame:
         edges = edges.join(own, side, "left").withColumn(f"node_{side}", F.coalesce(f"node_{side}", side))
     edges = materialize(edges.groupBy("node_a", "node_b").agg(F.min("d").alias("d"), F.count_distinct("b").alias("n")))
 
-    queries, data = neighbours.blocks_of(classes)
-    counted = neighbours.search(queries, data, "density").select(F.col("rep").alias("node"), F.col("d").alias("n"))
+    near, crowd = neighbours.near_pairs(classes, neighbours.level(classes.count(), *neighbours.LEVELS[-1]))
+    near = neighbours.both_ways(near)
+    for side in "ab":
+        named = classes.select(F.col("id").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"))
+        near = near.join(named, side)
+    near = materialize(near.select(F.col("rep_a").alias("node"), F.col("rep_b").alias("parent"), "n_b", "d"))
     alone = edges.select(F.col("node_a").alias("node")).distinct().join(member.select("node").distinct(), "node", "left_anti")
-    parts = [counted, edges.select(F.col("node_a").alias("node"), "n"), alone.select("node", F.lit(1).alias("n"))]
+    parts = [
+        classes.select(F.col("rep").alias("node"), "n"),
+        near.select("node", F.col("n_b").alias("n")),
+        edges.select(F.col("node_a").alias("node"), "n"),
+        alone.select("node", F.lit(1).alias("n")),
+    ]
+    held = None
+    if not crowd.isEmpty():
+        held = classes.join(crowd, "id").withColumn("rank", F.lit(0.0))
+        counted = neighbours.search(held, held, "density", radius=RADIUS)
+        parts.append(counted.select(F.col("rep").alias("node"), F.col("d").alias("n")))
     parts = [p.select("node", F.col("n").cast("double").alias("n")) for p in parts]
     density = materialize(reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("n").alias("density")))
 
-    ranked = classes.drop("rank").join(density.select(F.col("node").alias("rep"), F.col("density").alias("rank")), "rep")
-    queries, data = neighbours.blocks_of(ranked)
-    up = neighbours.search(queries, data, "denser").select(F.col("rep").alias("node"), F.col("other").alias("parent"), "d")
+    dense = {s: density.select(F.col("node").alias(s), F.col("density").alias(f"density_{s}")) for s in ("node", "parent")}
+    up = near.join(dense["node"], "node").join(dense["parent"], "parent").where(
+        "density_parent > density_node OR (density_parent = density_node AND parent < node)"
+    ).select("node", "parent", "d")
+    if held is not None:
+        held = held.drop("rank").join(density.select(F.col("node").alias("rep"), F.col("density").alias("rank")), "rep")
+        denser = neighbours.search(held, held, "denser", radius=RADIUS)
+        up = up.unionByName(denser.select(F.col("rep").alias("node"), F.col("other").alias("parent"), "d"))
     side = {s: density.select(F.col("node").alias(f"node_{s}"), F.col("density").alias(f"density_{s}")) for s in "ab"}
     more = edges.join(side["a"], "node_a").join(side["b"], "node_b").where(
         "density_b > density_a OR (density_b = density_a AND node_b < node_a)"

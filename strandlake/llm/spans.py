@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from math import log
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandlake.functions.windows import flat
+from strandlake.llm import groups
 from strandlake.llm.repetition import VALUE, chunks, mix, prefix, spans
 from strandlake.runtime import join_small, materialize
 
@@ -28,8 +30,6 @@ from strandlake.runtime import join_small, materialize
 PIECE, PIECE_BITS = 1 << 16, 20
 #: Records that may share an anchor before their windows decide instead of the anchor.
 GROUP = 16
-#: Share of the rows from which hot anchors are learned, and how often one must be seen there to count as hot.
-HOT_SAMPLE, HOT_SEEN = 0.01, 100
 ROUND = np.uint64(0xA24BAED4963EE407)
 NEXT = np.uint64(0x9FB21C651E98DF25)
 
@@ -198,70 +198,11 @@ def _keys(shape: Shape, hot: np.ndarray):
             units = batch.column(0).to_numpy(zero_copy_only=False)
             for values, part, row, first in _tokens(batch):
                 at, _, key = anchors(values, part, shape)
-                own = row[at]
-                key = key.astype(np.int64)
-                order = np.lexsort((own, key))
-                key, own = key[order], own[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-                key, unit = key[new], units[first + own[new]]
-                known = np.isin(key, hot)
-                salt = np.where(known, unit % 64, 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(unit), pa.array(salt), pa.array(known)], ["key", "unit", "salt", "hot"]
-                )
+                yield groups.key_rows(key, units[first + row[at]], hot)
 
     return work
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and unit: pairs (a, b) of units with the same key; of keys that more than GROUP units share
-    or that are known as hot, the rows themselves (key, a, null)."""
-
-    def out(key, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), b], ["key", "a", "b"])
-
-    nothing = np.empty(0, np.int64)
-    key, unit, overflown = nothing, nothing, None
-    for batch in batches:
-        k, u, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-        if h.any():
-            yield out(k[h], u[h], pa.nulls(int(h.sum()), pa.int64()))
-            k, u = k[~h], u[~h]
-        key, unit = np.concatenate([key, k]), np.concatenate([unit, u])
-        if not len(key):
-            continue
-        before = overflown
-        last = int(np.searchsorted(key, key[-1])) if key[-1] != overflown else 0
-        if len(key) - last > GROUP:
-            # The last group is too large already: all of its rows are handed on, now and later.
-            overflown = key[-1]
-        keep = len(key) if key[-1] == overflown else last
-        # The rest of the group that overflowed before may stand in front of one that does now.
-        yield from _pairs(key[:keep], unit[:keep], (before, overflown), out)
-        key, unit = key[keep:], unit[keep:]
-    yield from _pairs(key, unit, (overflown,), out)
-
-
-def _pairs(key: np.ndarray, unit: np.ndarray, overflown: tuple[int | None, ...], out) -> Iterator[pa.RecordBatch]:
-    if not len(key):
-        return
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])
-    key, unit = key[new], unit[new]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    large = (size > GROUP) | np.isin(key[start], [k for k in overflown if k is not None])
-    rows = np.repeat(large, size)
-    if rows.any():
-        yield out(key[rows], unit[rows], pa.nulls(int(rows.sum()), pa.int64()))
-    for g in np.unique(size[~large & (size > 1)]):
-        group = unit[start[(size == g) & ~large][:, None] + np.arange(g)]
-        a, b = np.triu_indices(g, 1)
-        x, y = group[:, a].ravel(), group[:, b].ravel()
-        yield out(np.zeros(len(x), np.int64), x, pa.array(y))
-
-
 def windows(values: np.ndarray, part: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of all windows of `least` tokens inside one part."""
     at = np.arange(max(0, len(values) - least + 1))
@@ -371,25 +312,10 @@ def list_units(df: DataFrame, key: str, place: str, value: str, least: int) -> D
     )
 
 
-ANCHOR = "key long, unit long, salt int, hot boolean"
-
-
-def hot_anchors(units: DataFrame, shape: Shape) -> np.ndarray:
-    """Anchors that a sample shows to be very frequent (at most 10,000): their rows are spread over tasks at once.
-
-    The sample only decides which way a row goes; every row goes one of the two.
-    """
-    some = units.sample(HOT_SAMPLE, 7).mapInArrow(_keys(shape, np.empty(0, np.int64)), ANCHOR)
-    rows = some.groupBy("key").count().where(f"count >= {HOT_SEEN}").orderBy(F.desc("count")).limit(10_000).collect()
-    return np.array(sorted(r.key for r in rows), np.int64)
-
-
 def shared_anchors(units: DataFrame, shape: Shape) -> DataFrame:
     """(key, a, b): pairs of units (a, b) that share an anchor; of anchors that more than GROUP units share the rows
     (key, a, null). One shuffle of anchors: 16 bytes, one in about 12 tokens."""
-    hot = hot_anchors(units, shape)
-    rows = units.mapInArrow(_keys(shape, hot), ANCHOR).repartition("key", "salt").sortWithinPartitions("key", "unit")
-    return materialize(rows.mapInArrow(_groups, "key long, a long, b long"))
+    return groups.together(units, partial(_keys, shape), GROUP)
 
 
 def held_windows(units: DataFrame, keys: DataFrame, shape: Shape) -> DataFrame:
@@ -414,7 +340,7 @@ def shared_spans(units: DataFrame, least: int) -> DataFrame:
         # Anchors that many share: only units with the same whole window go together, so every pair is a true one.
         held = held_windows(units, many, shape).select("key", "unit", F.lit(0).alias("salt"), F.lit(False).alias("hot"))
         held = held.repartition("key").sortWithinPartitions("key", "unit")
-        held = materialize(held.mapInArrow(_groups, "key long, a long, b long"))
+        held = materialize(held.mapInArrow(groups.grouped(GROUP), "key long, a long, b long"))
         pairs = pairs.unionByName(held.where("b IS NOT NULL").select("a", "b"))
         alike = held.where("b IS NULL").select("key", "a")
         if not alike.isEmpty():
@@ -446,7 +372,7 @@ def shared_windows(units: DataFrame, least: int) -> DataFrame:
     found = shared_anchors(units, shape)
     # Units of groups up to GROUP come as pairs without their key: all of their anchors count.
     some = found.where("b IS NOT NULL").select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-    own = units.mapInArrow(_keys(shape, np.empty(0, np.int64)), ANCHOR).select("key", "unit")
+    own = units.mapInArrow(_keys(shape, np.empty(0, np.int64)), groups.KEYS).select("key", "unit")
     many = found.where("b IS NULL").select(F.col("a").alias("unit"), "key")
     keys = join_small(own, some, "unit").select("unit", "key").unionByName(many)
     held = materialize(held_windows(units, keys, shape))

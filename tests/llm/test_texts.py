@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import catalog, mixing, packing, repetition, spans
+from strandlake.llm import catalog, groups, mixing, packing, repetition, spans
 from strandlake.llm.repetition import VALUE
 
 
@@ -37,8 +37,8 @@ def sequences(seed, n=120, letters="ACGT"):
 def test_pairs_of_reads(spark, monkeypatch, group, seen):
     """Through anchors; through windows where more than two share one; with anchors that the sample finds hot."""
     monkeypatch.setattr(spans, "GROUP", group)
-    monkeypatch.setattr(spans, "HOT_SAMPLE", 0.01 if seen == 100 else 0.999)
-    monkeypatch.setattr(spans, "HOT_SEEN", seen)
+    monkeypatch.setattr(groups, "HOT_SAMPLE", 0.01 if seen == 100 else 0.999)
+    monkeypatch.setattr(groups, "HOT_SEEN", seen)
     texts = sequences(group)
     df = spark.createDataFrame(list(enumerate(texts)) + [(500, None), (None, texts[0]), (0, texts[0])], "read_no long, seq string")
     df = df.withColumn("unit", F.lit(1)).withColumn("tokens", F.lit("x"))
@@ -151,7 +151,7 @@ def test_large_groups_cut_by_batches():
         pa.RecordBatch.from_pydict({"key": [k for k, _ in own], "unit": [u for _, u in own], "salt": [0] * len(own), "hot": [False] * len(own)})
         for own in (rows[a:b] for a, b in zip(cuts, cuts[1:]))
     ]
-    out = [r for b in spans._groups(iter(batches)) for r in b.to_pylist()]
+    out = [r for b in groups.grouped(16)(iter(batches)) for r in b.to_pylist()]
     assert sorted((r["key"], r["a"]) for r in out if r["b"] is None) == [r for r in rows if r[0] in (2, 3)]
     small = [[u for k, u in rows if k == key] for key in (1, 4)]
     assert sorted((r["a"], r["b"]) for r in out if r["b"] is not None) == sorted(p for own in small for p in combinations(own, 2))

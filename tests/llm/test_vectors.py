@@ -47,6 +47,7 @@ def brute(vecs, k=5):
 @pytest.mark.parametrize("block", [40, 32_768])
 def test_nearest(spark, monkeypatch, block):
     monkeypatch.setattr(neighbours, "DATA_BLOCK", block)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", block)
     vecs = groups(1)
     want = brute(vecs)
     got = {}
@@ -116,33 +117,111 @@ def test_pointers_double_along_a_chain(spark):
     assert {tuple(r) for r in clusters.follow(df).collect()} == {(f"n{i:03d}", "n000") for i in range(200)}
 
 
-@pytest.mark.parametrize("d,level", [(0.0999, 0), (0.3499, 1), (0.3, 1)])
-@pytest.mark.parametrize("part", [0.0, 0.5, 0.9, 1.0])
-def test_near_pairs_with_unequal_totals_become_candidates(d, level, part):
-    """Shallow vectors contained in deep ones, from equal totals (part 0) down to the least ratio that the distance allows."""
-    rng = np.random.default_rng(7)
-    n, each, radius = 600, 40, neighbours.LEVELS[level][0]
-    ratio = 1 - part * (1 - (1 - d) / (1 + d))
-    deep = rng.integers(50_000, 150_000, (n, each))
-    total = deep.sum(1)
-    small = ratio * total
-    shared = (1 - d) * (total + small) / 2
-    # The first part of the deep vector is what both share; the rest of the shallow one's total lies elsewhere.
-    both = np.minimum(np.maximum(shared[:, None] - (np.cumsum(deep, 1) - deep), 0), deep).astype(np.int64)
-    rest = np.maximum(small - both.sum(1), 0).astype(np.int64)
-    rows = [(deep[i], np.arange(1, each + 1) + 1000 * i) for i in range(n)]
-    rows += [(np.r_[both[i], rest[i]], np.r_[np.arange(1, each + 1), each + 1] + 1000 * i) for i in range(n)]
-    values = [v[v > 0] for v, _ in rows]
-    comps = [c[v > 0] for v, c in rows]
-    size = np.array([len(v) for v in values])
-    start, value, comp = np.r_[0, np.cumsum(size)], np.concatenate(values), np.concatenate(comps)
-    totals = np.add.reduceat(value, start[:-1])
-    share = neighbours.cauchy(comp) * (value / np.repeat(totals, size))[:, None]
-    steps = neighbours.grid(np.add.reduceat(share, start[:-1], axis=0))
-    names = np.array([f"s{i:04d}" for i in range(2 * n)], object)
-    block = neighbours.Block(names, np.ones(2 * n), totals, np.zeros(2 * n), start, comp, value, steps)
-    enough = (lambda near: True) if level == 0 else None
-    got = {q: near for q, near, far in neighbours.candidates(block, block, enough)}
-    true = [i for i in range(n) if (block.distances(np.array([n + i]), block.query(i)) <= radius)[0]]
-    assert len(true) > 0.99 * n
-    assert np.mean([n + i in got[i] for i in true]) >= (0.99 if level == 0 else 0.96)
+def matrix(n, seed):
+    """Vectors with fractions in groups of all spreads, so that distances of every size occur."""
+    rng = np.random.default_rng(seed)
+    out = {}
+    for g in range(n // 10):
+        comps = rng.choice(400, 30, replace=False)
+        base = rng.lognormal(0, 1.0, 30) * rng.choice([0.01, 1, 100])
+        for i in range(10):
+            own = base * rng.lognormal(0, rng.choice([0.05, 0.2, 0.5, 0.9]), 30) * rng.choice([1.0, 1.0, 1.4])
+            out[f"v{g:03d}_{i}"] = {int(c): float(v) for c, v in zip(comps, own)}
+    return out
+
+
+def test_fractions_and_recall_by_distance(spark):
+    vecs = matrix(1500, 4)
+    rows = [(s, c, v) for s, own in vecs.items() for c, v in own.items()]
+    rows += [("bad", 1, float("nan")), ("bad", 2, -1.0), ("bad", 3, float("inf"))]
+    df = spark.createDataFrame(rows, "sample string, comp_no int, value double")
+    names = sorted(vecs)
+    dense = np.zeros((len(names), 400))
+    for i, s in enumerate(names):
+        dense[i, list(vecs[s])] = list(vecs[s].values())
+    total = dense.sum(1)
+    shared = np.stack([np.minimum(dense, row).sum(1) for row in dense])
+    d = (total[:, None] + total - 2 * shared) / (total[:, None] + total)
+    classes = neighbours.classes_of(neighbours.vectors(df), 1)
+    pairs, crowd = neighbours.near_pairs(classes, neighbours.level(len(names), *neighbours.LEVELS[-1]))
+    name = {r.id: r.rep for r in classes.select("id", "rep").collect()}
+    place = {s: i for i, s in enumerate(names)}
+    got = {}
+    for r in pairs.collect():
+        i, j = sorted((place[name[r.a]], place[name[r.b]]))
+        got[i, j] = r.d
+        assert abs(r.d - d[i, j]) < 1e-9
+    assert crowd.isEmpty()
+    for low, high in ((0, 0.1), (0.1, 0.2), (0.2, 0.3), (0.3, 0.35)):
+        want = [(i, j) for i, j in zip(*np.nonzero(np.triu((d >= low) & (d < high), 1)))]
+        assert len(want) > 50 and sum(p in got for p in want) >= (0.99 if high < 0.3 else 0.97) * len(want)
+    far = {}
+    for r in neighbours.nearest(df, 8).collect():
+        far.setdefault(r.sample, []).append((r.rank, r.other))
+    assert far.keys() == vecs.keys()
+    np.fill_diagonal(d, 2)
+    hits = sum(len({o for _, o in far[s]} & {names[j] for j in np.argsort(d[i])[:8]}) for i, s in enumerate(names))
+    assert hits >= 0.98 * 8 * len(names)
+    assert all(len(own) == 8 for own in far.values())
+
+
+def test_distances_of_fractions(spark):
+    rows = [("a", 1, 0.4), ("a", 2, 0.6), ("a", 3, 0.2), ("b", 1, 0.4), ("b", 2, 0.6), ("b", 3, 0.3)]
+    df = spark.createDataFrame(rows, "sample string, comp_no int, value double")
+    got = {(r.sample, r.other): r.d for r in neighbours.nearest(df).collect()}
+    assert got["a", "b"] == got["b", "a"] == pytest.approx(0.04)
+
+
+@pytest.mark.parametrize("group", [3, 128])
+def test_crowded_windows(spark, monkeypatch, group):
+    """Groups larger than a window may be are searched in blocks: same neighbours, same clusters."""
+    monkeypatch.setattr(neighbours, "GROUP", group)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(neighbours, "DATA_BLOCK", 30)
+    vecs = groups(5, 4, 25, 20)
+    df = table(spark, vecs)
+    near = {(r.sample, r.other) for r in neighbours.nearest(df, complete=False).collect()}
+    assert near == {(s, o) for s, own in brute(vecs).items() for d, o in own if d <= 0.35}
+    none = spark.createDataFrame([], "study int, sample_i string, sample_j string, dist double")
+    got = {}
+    for r in clusters.clusters(clusters.density_peaks(df, none)).collect():
+        got.setdefault(r.cluster_key, set()).add(r.sample)
+        size = sum(distance(vecs[r.sample], v) <= 0.35 for v in vecs.values())
+        assert r.density == size
+    want = [{s for s in vecs if s.startswith(f"g{g:02d}")} for g in range(4)]
+    want[0] |= {f"c{i}" for i in range(9)}
+    assert got == {min(w): w for w in want}
+
+
+def test_two_dense_cores_that_touch(spark):
+    """A chain of points with a core at either end: two peaks, and the points between go to the nearer denser side."""
+    vecs = {}
+    for i in range(8):
+        vecs[f"a{i}"] = {1: 1000 + i, 2: 1000, 3: 1}
+        vecs[f"b{i}"] = {3: 1000 + i, 4: 1000, 1: 1}
+    vecs["m1"] = {1: 1000, 2: 500, 3: 500}
+    vecs["m2"] = {1: 500, 3: 1000, 4: 500}
+    df = table(spark, vecs)
+    none = spark.createDataFrame([], "study int, sample_i string, sample_j string, dist double")
+    got = {}
+    for r in clusters.clusters(clusters.density_peaks(df, none)).collect():
+        got.setdefault(r.cluster_key, set()).add(r.sample)
+    assert got == {"a0": {f"a{i}" for i in range(8)} | {"m1"}, "b0": {f"b{i}" for i in range(8)} | {"m2"}}
+
+
+def test_winners_collide_as_often_as_the_distance_says():
+    rng = np.random.default_rng(2)
+    for d in (0.05, 0.2, 0.35, 0.6):
+        base = rng.lognormal(0, 1, 40)
+        small = (1 - d) / (1 + d)
+        # Contained: totals differ as far as the distance allows.
+        comps = np.r_[np.arange(40), np.arange(40)]
+        logs = np.log(np.r_[base, base * small])
+        start = np.array([0, 40, 80])
+        hits = np.mean([len(set(neighbours.winners(start, comps, logs, r).tolist())) == 1 for r in range(3000)])
+        assert abs(hits - small) < 0.04
+
+
+def test_levels_grow_with_the_logarithm():
+    few, many = neighbours.level(2_000, *neighbours.LEVELS[-1]), neighbours.level(200_000_000, *neighbours.LEVELS[-1])
+    assert few.winners == 2 and many.winners <= 6 and many.arrays < 30 * few.arrays
