@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A=0 C=1 G=2 T=3 in either case, 4: anything else.
@@ -121,3 +122,38 @@ def window_counts(reads: DataFrame, k: int, *keys: str) -> DataFrame:
     schema = "".join(f"`{c}` {kinds[c]}, " for c in keys) + "kmer long, freq long"
     rows = reads.select(*keys, "seq").where(F.length("seq") >= k).mapInArrow(_count(k, list(keys)), schema)
     return rows.groupBy(*keys, "kmer").agg(F.sum("freq").alias("freq"))
+
+
+def window_rows(sequences: DataFrame, k: int, *keys: str) -> DataFrame:
+    """(`keys`, `place`, `kmer`): every window of k letters ACGT of `seq`, its place from 0 and its canonical code."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = flat(batch.column(len(keys)))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GATHERED, side="right")) - 1)
+                part = offsets[at : end + 1] - offsets[at]
+                fw, rc, place = kmer_windows(raw[offsets[at] : offsets[end]], part, k)
+                row = np.searchsorted(part, place, side="right") - 1
+                own = [batch.column(i).take(pa.array(row + at)) for i in range(len(keys))]
+                columns = [*own, pa.array((place - part[row]).astype(np.int32)), pa.array(np.minimum(fw, rc))]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, "place", "kmer"])
+                at = end
+
+    kinds = dict(sequences.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keys) + "place int, kmer long"
+    return sequences.where(F.length("seq") >= k).select(*keys, "seq").mapInArrow(work, schema)
+
+
+def window_codes(seq: str | Column, k: int) -> Column:
+    """Canonical codes of all windows of k letters ACGT as an array, by Arrow batches: for plans that must stay expressions,
+    such as streams with a watermark."""
+    @F.pandas_udf("array<long>")
+    def codes(texts: pd.Series) -> pd.Series:
+        raw, offsets = flat(pa.array(texts, pa.string(), from_pandas=True))
+        fw, rc, at = kmer_windows(raw, offsets, k)
+        row = np.searchsorted(offsets, at, side="right") - 1
+        return pd.Series(np.split(np.minimum(fw, rc), np.searchsorted(row, np.arange(1, len(texts)))) if len(texts) else [])
+
+    return codes(seq)

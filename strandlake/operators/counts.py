@@ -186,11 +186,10 @@ def presence_bitmap(counts: DataFrame, samples: DataFrame, min_freq: int = 0) ->
     """
     rows = join_small(counts.where(F.col("freq") > min_freq), samples, "sample")
     n_words = (samples.agg(F.max("idx")).first()[0] or 0) // 64 + 1
-    word = [
-        F.coalesce(F.bit_or(F.expr(f"CASE WHEN idx DIV 64 = {w} THEN shiftleft(1L, cast(idx % 64 AS INT)) END")), F.lit(0).cast("long"))
-        for w in range(n_words)
-    ]
-    return rows.groupBy("kmer").agg(F.array(*word).alias("words"))
+    word = rows.groupBy("kmer", F.expr("cast(idx DIV 64 AS INT)").alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(idx % 64 AS INT))")).alias("__bits"))
+    found = word.groupBy("kmer").agg(F.map_from_entries(F.collect_list(F.struct("__w", "__bits"))).alias("__m"))
+    every = F.sequence(F.lit(0), F.lit(n_words - 1))
+    return found.select("kmer", F.transform(every, lambda w: F.coalesce(F.col("__m")[w], F.lit(0).cast("long"))).alias("words"))
 
 
 def cardinality(words: str | Column, start: int, end: int) -> Column:

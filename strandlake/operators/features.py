@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.runtime import materialize
+
 #: Samples of a distance matrix that are clustered on the driver at most: the matrix is the bound, 8 bytes a cell.
 CLUSTERED = 5_000
 
@@ -42,21 +47,78 @@ def vectors(features: DataFrame) -> DataFrame:
     return rows.groupBy("sample", "comp_no").agg(F.max("value").alias("value"))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, sample, comp_no, value) sorted by block and sample: one row a block with its entries as arrays."""
+
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array([t["block"][0].as_py()], pa.int64()), *(pa.array([t[c].to_pylist()], pa.list_(t[c].type)) for c in t.column_names[1:])], t.column_names)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        for a, b in zip(cut, np.r_[cut[1:], len(block)]):
+            if held and held[0].column(0)[0].as_py() != block[a]:
+                yield done(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield done(held)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of blocks (i, samples, comps, values, j, samples, comps, values): distances of all pairs of their samples."""
+
+    def side(batch: pa.RecordBatch, row: int, first: int):
+        names, comps, values = (batch.column(first + c)[row].values for c in range(3))
+        names = names.dictionary_encode()
+        return names.dictionary, names.indices.to_numpy(), comps.to_numpy(), values.to_numpy()
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            a, b = side(batch, r, 1), side(batch, r, 5)
+            shared = np.zeros((len(a[0]), len(b[0])), a[3].dtype)
+            order = [np.argsort(x[2], kind="stable") for x in (a, b)]
+            known = np.intersect1d(a[2], b[2])
+            ends = [[np.searchsorted(x[2][o], known, s) for s in ("left", "right")] for x, o in zip((a, b), order)]
+            for c in range(len(known)):
+                x, y = (o[lo[c] : hi[c]] for o, (lo, hi) in zip(order, ends))
+                # A sample has a component once, so no cell is met twice here.
+                shared[np.ix_(a[1][x], b[1][y])] += np.minimum.outer(a[3][x], b[3][y])
+            total = [np.bincount(x[1], x[3], len(x[0])) for x in (a, b)]
+            both = total[0][:, None] + total[1]
+            i, j = np.nonzero(np.triu(np.ones(both.shape, bool), 1)) if batch.column(0)[r] == batch.column(4)[r] else np.indices(both.shape).reshape(2, -1)
+            one, two = a[0].take(pa.array(i)).cast(pa.string()), b[0].take(pa.array(j)).cast(pa.string())
+            swap = pc.greater(one, two)
+            far = (both[i, j] - 2 * shared[i, j]) / both[i, j]
+            yield pa.RecordBatch.from_arrays([pc.if_else(swap, two, one), pc.if_else(swap, one, two), pa.array(far)], ["sample_i", "sample_j", "dist"])
+
+
+#: Samples of a block of the distance matrix.
+BLOCK = 256
+
+
 def bray_curtis(vecs: DataFrame) -> DataFrame:
     """(`sample_i`, `sample_j`, `dist`) for i < j: sum |a-b| / sum (|a|+|b|) over all components.
 
-    Only pairs that share a component meet in the join, by component; with sum min(a, b) of these the distance is
-    1 - 2 * common / (total a + total b). Values are not negative. The others, at distance 1, are added from the samples'
-    totals, as the full matrix is the result. Samples with only zeros have no distance and no row.
+    The full matrix is the result; it is computed in pairs of blocks of samples, each pair in one task, which gets the
+    entries of 2 x BLOCK samples and makes at most BLOCK^2 rows. With sum min(a, b) over the components that both have the
+    distance is 1 - 2 * common / (total a + total b). Values are not negative. Samples with only zeros have no row.
     """
-    totals = vecs.groupBy("sample").agg(F.sum("value").alias("total"))
-    a, b = (vecs.select(F.col("sample").alias(f"sample_{s}"), "comp_no", F.col("value").alias(s)) for s in "ij")
-    common = a.join(b, "comp_no").where("sample_i < sample_j").groupBy("sample_i", "sample_j").agg(F.sum(F.least("i", "j")).alias("common"))
-    ti, tj = (totals.select(F.col("sample").alias(f"sample_{s}"), F.col("total").alias(f"t{s}")) for s in "ij")
-    every = ti.join(tj, F.col("sample_i") < F.col("sample_j"))
-    out = every.join(common, ["sample_i", "sample_j"], "left").fillna(0, ["common"])
-    both = F.col("ti") + F.col("tj")
-    return out.select("sample_i", "sample_j", ((both - 2 * F.col("common")) / both).alias("dist"))
+    n = vecs.select("sample").distinct().count()
+    count = max(1, -(-n // BLOCK))
+    # A block by the sample's hash: about BLOCK samples each, without a sort.
+    rows = vecs.select(F.pmod(F.xxhash64("sample"), F.lit(count)).alias("block"), "sample", "comp_no", "value")
+    kind = dict(rows.dtypes)
+    rows = rows.repartition("block").sortWithinPartitions("block", "sample")
+    schema = f"block long, sample array<string>, comp_no array<{kind['comp_no']}>, value array<{kind['value']}>"
+    packed = materialize(rows.mapInArrow(_blocks, schema))
+    left = packed.toDF("i", "sample_a", "comp_a", "value_a").withColumn("j", F.explode(F.expr(f"sequence(i, {count - 1}L)")))
+    both = left.join(packed.toDF("j", "sample_b", "comp_b", "value_b"), "j")
+    parts = max(1, min(count * (count + 1) // 2, 4096))
+    both = both.repartition(parts, "i", "j").select("i", "sample_a", "comp_a", "value_a", "j", "sample_b", "comp_b", "value_b")
+    return both.mapInArrow(_compare, "sample_i string, sample_j string, dist double")
 
 
 def symmetric(distances: DataFrame, samples: DataFrame) -> DataFrame:

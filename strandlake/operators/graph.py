@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import dna
+from strandlake.functions.windows import window_rows
 from strandlake.runtime import materialize, numbered
 
 
@@ -50,28 +51,74 @@ def edges(vertices: DataFrame, k: int, *keys: str) -> DataFrame:
     )
 
 
+#: Edges up to which the rest of a graph is finished in one task: 16 bytes each there.
+ONE_TASK = 4_000_000
+
+
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (u, v) and the smallest node of each one's component: hooking and pointer jumping."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            ahead = root[root]
+            if (ahead == root).all():
+                break
+            root = ahead
+    return nodes, nodes[root]
+
+
+def _contract(rows: int | None):
+    """Edges to stars, in chunks of so many rows or all of a partition together."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            count += batch.num_rows
+            if rows and count >= rows:
+                yield star(held)
+                held, count = [], 0
+        if held:
+            yield star(held)
+
+    def star(held) -> pa.RecordBatch:
+        node, root = roots(*(np.concatenate(x) for x in zip(*held)))
+        far = node != root
+        return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], ["u", "v"])
+
+    return work
+
+
 def connected(edge_rows: DataFrame) -> DataFrame:
     """(`node`, `label`) of every node with an edge (`src`, `dst`); the label is the smallest node of the component.
 
-    Alternating large-star and small-star: every round points the larger neighbours of a node at its smallest, then all
-    smaller ones. The number of rounds grows with the logarithm of the graph, not with its diameter, and the edges never
-    become more.
+    Edges first contract to stars inside tasks. Up to ONE_TASK edges that are left are finished in one task. More go through alternating large-star and small-star
+    joins: every round points the larger neighbours of a node at its smallest, then all smaller ones. The number of
+    rounds grows with the logarithm of the graph, not with its diameter, and the edges never become more.
     """
-    now = edge_rows.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    now = materialize(now)
-    said = None
-    while True:
+    now = edge_rows.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    now = materialize(now.mapInArrow(_contract(2_000_000), "u long, v long").distinct())
+    said, n = None, now.count()
+    while n > ONE_TASK:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        large = materialize(large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        n, new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == said:
             break
         said = new
+    if n <= ONE_TASK:
+        now = materialize(now.coalesce(1).mapInArrow(_contract(None), "u long, v long"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
@@ -87,7 +134,8 @@ def cut_components(counts: DataFrame, k: int, least: int = 1000, most: int = 100
     """Components of (`kmer`, `freq`) of `least` to `most` k-mers, cutting larger ones at rising frequencies.
 
     At threshold t all remaining k-mers' components are found together: smaller ones are dropped, fitting ones kept with
-    threshold t, and of larger ones the k-mers of frequency t + 1 or more go on to the next level. Returns
+    threshold t, and of larger ones the k-mers of frequency t + 1 or more go on to the next level; thresholds between
+    frequencies that occur are passed over. Returns
     (`comp_no`, `size`, `weight`, `freq_threshold`) and (`comp_no`, `kmer`); numbers follow threshold, then descending
     weight and size, then the smallest k-mer.
     """
@@ -102,7 +150,13 @@ def cut_components(counts: DataFrame, k: int, least: int = 1000, most: int = 100
         fit = sizes.where(F.col("size") <= most)
         kept.append(rows.join(fit, "label").withColumn("freq_threshold", F.lit(t)).select("kmer", "label", "size", "weight", "freq_threshold"))
         large = sizes.where(F.col("size") > most).select("label")
-        now = materialize(rows.join(large, "label", "left_semi").where(F.col("freq") > t).select("kmer", "freq"))
+        rest = rows.join(large, "label", "left_semi")
+        low = rest.agg(F.min("freq")).first()[0]
+        if low is None:
+            break
+        # Thresholds up to the least frequency that is left take nothing away.
+        t = max(t, low)
+        now = materialize(rest.where(F.col("freq") > t).select("kmer", "freq"))
         if now.isEmpty():
             break
         for side in ("src", "dst"):
@@ -164,143 +218,200 @@ def branching(vertices: DataFrame, k: int, *keys: str) -> DataFrame:
     return rows.select(*keys, F.least("fw", "rc").alias("kmer")).distinct()
 
 
-def followers(vertices: DataFrame, k: int, *keys: str) -> DataFrame:
-    """(`keys`, `fw`, `to`): oriented k-mers that lead to exactly one k-mer which nothing else leads to.
+#: Oriented k-mers that are joined to pieces together, and letters of the shared words that bring neighbours together.
+PIECE_ROWS, WORD = 1 << 20, 10
+LETTERS = np.frombuffer(b"ACGT", np.uint8)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-    K-mers meet at the k - 1 letters that they share, so one aggregation by these finds all joints: two rows a k-mer
-    instead of a lookup for each of its eight possible neighbours. Both readings of each joint are given.
-    """
-    letters = F.lit((1 << (2 * k - 2)) - 1)
-    both = vertices.select(*keys, "kmer").withColumn("rc", dna.code_revcomp("kmer", k))
-    fw, rc = F.col("kmer"), F.col("rc")
-    tail, head = fw.bitwiseAND(letters), F.shiftrightunsigned(fw, 2)
-    rc_tail, rc_head = rc.bitwiseAND(letters), F.shiftrightunsigned(rc, 2)
-    # A joint is read on the strand where its letters are the smaller; one that is its own complement on both.
-    ends = [
-        F.struct(F.when(tail <= rc_head, tail).alias("m"), fw.alias("into"), F.lit(None).cast("long").alias("out")),
-        F.struct(F.when(rc_head <= tail, rc_head).alias("m"), F.lit(None).cast("long").alias("into"), rc.alias("out")),
-        F.struct(F.when((head <= rc_tail) & (fw != rc), head).alias("m"), F.lit(None).cast("long").alias("into"), fw.alias("out")),
-        F.struct(F.when((rc_tail <= head) & (fw != rc), rc_tail).alias("m"), rc.alias("into"), F.lit(None).cast("long").alias("out")),
-    ]
-    rows = both.select(*keys, F.explode(F.array(*ends)).alias("e")).where("e.m IS NOT NULL").select(*keys, "e.*")
-    joints = rows.groupBy(*keys, "m").agg(
-        F.count("into").alias("n_into"), F.count("out").alias("n_out"), F.max("into").alias("fw"), F.max("out").alias("to")
-    )
-    one = joints.where("n_into = 1 AND n_out = 1").select(*keys, "fw", "to")
-    back = one.select(*keys, dna.code_revcomp("to", k).alias("fw"), dna.code_revcomp("fw", k).alias("to"))
-    # The two readings are the same at a joint or between k-mers that are their own complements.
-    return one.unionByName(back).distinct()
 
+def flipped(codes: np.ndarray, k: int) -> np.ndarray:
+    """Reverse complements of codes of k letters."""
+    x = codes.astype(np.uint64)
+    for bits, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0xFFFFFFFF)):
+        m, n = np.uint64(mask), np.uint64(bits)
+        x = ((x >> n) & m) | ((x & m) << n)
+    return (~x >> np.uint64(64 - 2 * k)).astype(np.int64)
+
+
+def joints(fw: np.ndarray, rc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k - 1 letters that k-mers share with those before and with those after, on the strand where they are smaller."""
+    letters = (1 << (2 * k - 2)) - 1
+    return np.minimum(fw >> 2, rc & letters), np.minimum(fw & letters, rc >> 2)
 
-#: Oriented k-mers that are joined to pieces together, and letters of the shared words that bring neighbours together.
-PIECE_ROWS, WORD = 1 << 20, 10
 
+def nearness(joint: np.ndarray, k: int) -> np.ndarray:
+    """A number that most neighbouring joints share: the smallest hash of the words of either strand."""
+    m = min(WORD, k - 1)
+    mask, best = (1 << (2 * m)) - 1, None
+    for x in (joint, flipped(joint, k - 1)) if k > 1 else (joint,):
+        for i in range(max(1, k - m)):
+            word = ((x >> (2 * i)) & mask).astype(np.uint64) + np.uint64(1)
+            word = (word ^ (word >> np.uint64(7))) * SPREAD
+            word = (word ^ (word >> np.uint64(32))) >> np.uint64(1)
+            best = word if best is None else np.minimum(best, word)
+    return best.astype(np.int64)
+
+
+def _placed(keys: list[str], k: int, hot: np.ndarray):
+    """K-mers (keys, kmer, freq) with the places where their joints meet: once, or twice if these differ."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fw = batch.column(len(keys)).to_numpy()
+            ends = joints(fw, flipped(fw, k), k)
+            places = []
+            for joint in ends:
+                near = nearness(joint, k)
+                # A word that very many joints share doesn't bring them together: each joint has a place of its own.
+                own = ((joint.astype(np.uint64) + np.uint64(1)) * SPREAD >> np.uint64(1)).astype(np.int64)
+                places.append(np.where(np.isin(near, hot), own, near) if len(hot) else near)
+            same = places[0] == places[1]
+            for rows, place, left, right in ((same, places[0], True, True), (~same, places[0], True, False), (~same, places[1], False, True)):
+                n = int(rows.sum())
+                some = batch.filter(pa.array(rows))
+                columns = [*some.columns, pa.array(place[rows]), pa.array(np.full(n, left)), pa.array(np.full(n, right))]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, "kmer", "freq", "place", "left", "right"])
 
-def near(fw: Column, rc: Column, k: int) -> Column:
-    """A number that most neighbouring k-mers share: the smallest hash of the words of either strand."""
-    m = min(WORD, k)
-    mask = F.lit((1 << (2 * m)) - 1)
-    words = [F.hash(F.shiftrightunsigned(x, 2 * i).bitwiseAND(mask)) for x in (fw, rc) for i in range(k - m + 1)]
-    return F.least(*words) if len(words) > 1 else words[0]
+    return work
 
 
-def _pieces(keys: list[str]):
-    """Join the k-mers of each gathered chunk along their followers into pieces; which chunk a k-mer is in only decides
-    how long the pieces get."""
+def _pieces(keys: list[str], k: int):
+    """Join the k-mers of whole places to pieces: all k-mers that share a joint of a place are there."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
             if count >= PIECE_ROWS:
-                yield from joined(pa.Table.from_batches(held).combine_chunks())
-                held, count = [], 0
+                # Rows are sorted by place; a chunk ends where a place ends.
+                place, last = batch["place"].to_numpy(), held[-1]["place"][-1].as_py()
+                end = int(np.searchsorted(place, last, side="right")) if place[0] == last else 0
+                held.append(batch.slice(0, end))
+                if end < batch.num_rows:
+                    yield from joined(pa.Table.from_batches(held).combine_chunks())
+                    held, count = [], 0
+                batch = batch.slice(end)
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
         if count:
             yield from joined(pa.Table.from_batches(held).combine_chunks())
 
     def joined(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        n = table.num_rows
-        group = np.zeros(n, np.int64)
+        group = np.zeros(table.num_rows, np.int64)
         for c in keys:
             code = table[c].combine_chunks().dictionary_encode()
             group = group * (len(code.dictionary) + 1) + code.indices.fill_null(len(code.dictionary)).to_numpy(zero_copy_only=False)
-        fw = table["fw"].to_numpy()
-        to = table["to"].combine_chunks()
-        has = to.is_valid().to_numpy(zero_copy_only=False)
-        to = to.fill_null(-1).to_numpy(zero_copy_only=False)
-        freq = table["freq"].to_numpy().astype(np.int64)
-        order = np.lexsort((fw, group))
-        # The place of each follower in this chunk: sort followers among the k-mers.
-        every = np.concatenate([fw[order], to[has]])
-        owner = np.concatenate([group[order], group[has]])
-        kind = np.concatenate([np.zeros(n, np.int8), np.ones(int(has.sum()), np.int8)])
-        source = np.concatenate([order, np.flatnonzero(has)])
-        sort = np.lexsort((kind, every, owner))
-        every, owner, kind, source = every[sort], owner[sort], kind[sort], source[sort]
-        last = np.maximum.accumulate(np.where(kind == 0, np.arange(len(sort)), -1))
-        hit = (kind == 1) & (last >= 0)
-        hit[hit] = (every[last[hit]] == every[hit]) & (owner[last[hit]] == owner[hit])
-        before = np.full(n, -1, np.int64)
-        before[source[last[hit]]] = source[hit]
-        after = np.full(n, -1, np.int64)
-        after[source[hit]] = source[last[hit]]
+        kmer, freq = table["kmer"].to_numpy(), table["freq"].to_numpy().astype(np.int64)
+        # A k-mer whose two joints have different places may be here twice, if both places are in this chunk.
+        order = np.lexsort((kmer, group))
+        new = np.ones(len(order), bool)
+        new[1:] = (kmer[order][1:] != kmer[order][:-1]) | (group[order][1:] != group[order][:-1])
+        head = np.flatnonzero(new)
+        sides = [np.logical_or.reduceat(table[c].to_numpy(zero_copy_only=False)[order], head) for c in ("left", "right")]
+        row = order[head]
+        kmer, freq, group = kmer[row], freq[row], group[row]
+        rc = flipped(kmer, k)
+        # Oriented k-mers; one that is its own complement once.
+        twice = np.flatnonzero(rc != kmer)
+        n = len(kmer)
+        fw, other = np.concatenate([kmer, rc[twice]]), np.concatenate([rc, kmer[twice]])
+        src = np.concatenate([np.arange(n), twice])
+        before = np.concatenate([sides[0], sides[1][twice]])  # the joint on the left is complete here
+        after = np.concatenate([sides[1], sides[0][twice]])
+        before[:n] |= (rc == kmer) & sides[1]
+        after[:n] |= (rc == kmer) & sides[0]
+        owner = group[src]
+        letters = (1 << (2 * k - 2)) - 1
+        # Who leads into a joint, who out of it, read in the direction of the oriented k-mer.
+        into = np.flatnonzero(after)
+        out = np.flatnonzero(before)
+        text = np.concatenate([fw[into] & letters, fw[out] >> 2])
+        node = np.concatenate([into, out])
+        kind = np.concatenate([np.zeros(len(into), np.int8), np.ones(len(out), np.int8)])
+        own = owner[node]
+        sort = np.lexsort((kind, text, own))
+        text, node, kind, own = text[sort], node[sort], kind[sort], own[sort]
+        cut = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (own[1:] != own[:-1])]) if len(text) else np.empty(0, np.int64)
+        size = np.diff(np.r_[cut, len(text)])
+        n_out = np.add.reduceat(kind.astype(np.int64), cut) if len(cut) else size
+        one = cut[(size == 2) & (n_out == 1)]
+        m = len(fw)
+        prev = np.full(m, -1, np.int64)
+        nxt = np.full(m, -1, np.int64)
+        a, b = node[one], node[one + 1]
+        nxt[a], prev[b] = b, a
+        at = np.where(prev < 0, np.arange(m), prev)
+        place = (prev >= 0).astype(np.int64)
         # Pointer doubling inside the chunk; what never reaches a first k-mer is a cycle.
-        at = np.where(before < 0, np.arange(n), before)
-        place = (before >= 0).astype(np.int64)
         while True:
             ahead = at[at]
             moved = ahead != at
-            if not moved.any() or place.max() > 2 * n:
+            if not moved.any() or place.max() > 2 * m:
                 break
             place = place + np.where(moved, place[at], 0)
             at = ahead
-        fine = before[at] < 0
-        rows = np.flatnonzero(fine)
-        rows = rows[np.lexsort((place[rows], at[rows]))]
-        head = np.flatnonzero(np.r_[True, at[rows][1:] != at[rows][:-1]]) if len(rows) else np.empty(0, np.int64)
-        if not len(head):
+        rows = np.flatnonzero(prev[at] < 0)
+        if not len(rows):
             return
+        rows = rows[np.lexsort((place[rows], at[rows]))]
+        head = np.flatnonzero(np.r_[True, at[rows][1:] != at[rows][:-1]])
         tail = np.r_[head[1:], len(rows)] - 1
         first, final = rows[head], rows[tail]
-        letters = LETTERS[fw[rows] & 3].tobytes()
-        text = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(head), [None, pa.py_buffer(np.r_[head, len(rows)].astype(np.int64)), pa.py_buffer(letters)]
-        )
-        f = freq[rows]
-        columns = [table[c].combine_chunks().take(pa.array(first)) for c in keys]
+        # A first k-mer whose joint on the left lies elsewhere is the last of another piece, which has its letter.
+        open_ = ~before[first]
+        length = np.diff(np.r_[head, len(rows)])
+        keep = ~(open_ & (length == 1))
+        inside = np.ones(len(rows), bool)
+        inside[head[open_]] = False
+        counted = rows[inside]
+        own = np.repeat(np.arange(len(head)), length)[inside]
+        own_first = np.searchsorted(own, np.flatnonzero(keep))
+        if not keep.any():
+            return
+        text = LETTERS[fw[counted] & 3].tobytes()
+        offsets = np.r_[own_first, len(counted)].astype(np.int64)
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), int(keep.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+        f = freq[src[counted]]
+        first, final, open_ = first[keep], final[keep], open_[keep]
+        columns = [table[c].combine_chunks().take(pa.array(row[src[first]])) for c in keys]
         columns += [
             pa.array(fw[first]),
+            pa.array(open_),
+            pa.array(fw[final], mask=after[final]),
             pa.array(fw[final]),
-            pa.array(to[final], mask=~has[final]),
-            text.cast(pa.large_string()).cast(pa.string()),
-            pa.array(np.add.reduceat(f, head)),
-            pa.array(np.minimum.reduceat(f, head)),
-            pa.array(np.maximum.reduceat(f, head)),
+            texts.cast(pa.large_string()).cast(pa.string()),
+            pa.array(np.add.reduceat(f, own_first)),
+            pa.array(np.minimum.reduceat(f, own_first)),
+            pa.array(np.maximum.reduceat(f, own_first)),
         ]
         yield pa.RecordBatch.from_arrays(columns, [*keys, *PIECE])
 
     return work
 
 
-PIECE = ("head", "tail", "next", "letters", "mass", "least", "most")
-LETTERS = np.frombuffer(b"ACGT", np.uint8)
+PIECE = ("head", "open", "next", "tail", "letters", "mass", "least", "most")
+#: Share of the k-mers from which hot words are learned, and how often one must be seen there.
+HOT_SAMPLE, HOT_SEEN = 0.01, 5_000
 
 
 def pieces(counts: DataFrame, k: int, *keys: str) -> DataFrame:
-    """(`keys`, `head`, `tail`, `next`, `letters`, `mass`, `least`, `most`): parts of unbranched paths on either strand.
+    """(`keys`, `head`, `open`, `next`, `tail`, `letters`, `mass`, `least`, `most`): parts of unbranched paths on either strand.
 
-    Neighbours are brought together by a word that most of them share, and joined in chunks of PIECE_ROWS.
+    K-mers meet at the k - 1 letters that they share. All that share a joint come to one place, named by a word in the
+    joint that most neighbouring joints have too, so that one shuffle of k-mers (some twice) finds all joints and joins
+    whole runs inside tasks. A piece whose last k-mer's next joint has its place elsewhere goes on (`next`) in the piece
+    that starts `open` with this k-mer, which leaves its letter and frequency to the former.
     """
-    nodes = counts.select(*keys, "kmer", "freq").withColumn("rc", dna.code_revcomp("kmer", k))
-    nodes = nodes.select(*keys, F.col("kmer").alias("fw"), "rc", "freq")
-    nodes = nodes.unionByName(nodes.where("fw <> rc").select(*keys, F.col("rc").alias("fw"), F.col("fw").alias("rc"), "freq"))
-    rows = nodes.join(followers(counts, k, *keys), [*keys, "fw"], "left")
-    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * counts.count() // PIECE_ROWS))
-    rows = rows.withColumn("__near", near(F.col("fw"), F.col("rc"), k)).repartition(parts, *keys, "__near")
     kinds = dict(counts.dtypes)
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keys) + "head long, tail long, next long, letters string, mass long, least long, most long"
-    return rows.select(*keys, "fw", "to", "freq").mapInArrow(_pieces(list(keys)), schema)
+    named = "".join(f"`{c}` {kinds[c]}, " for c in keys)
+    schema = named + f"kmer long, freq {kinds['freq']}, place long, left boolean, right boolean"
+    rows = counts.select(*keys, "kmer", "freq")
+    # The sample only decides where joints meet, alike for all k-mers.
+    some = rows.sample(HOT_SAMPLE, 7).mapInArrow(_placed(list(keys), k, np.empty(0, np.int64)), schema)
+    hot = some.groupBy("place").count().where(f"count >= {HOT_SEEN}").orderBy(F.desc("count")).limit(10_000).collect()
+    rows = rows.mapInArrow(_placed(list(keys), k, np.array(sorted(r.place for r in hot), np.int64)), schema)
+    rows = rows.repartition("place").sortWithinPartitions("place")
+    return rows.mapInArrow(_pieces(list(keys), k), named + "head long, open boolean, next long, tail long, letters string, mass long, least long, most long")
 
 
 def chains(parts: DataFrame, *keys: str) -> DataFrame:
@@ -309,27 +420,29 @@ def chains(parts: DataFrame, *keys: str) -> DataFrame:
     Pointer doubling on predecessors: each round joins only the pieces whose pointer doesn't end at a start yet, the
     logarithm of the longest path in rounds. Pieces of pure cycles, which no start leads to, are left out.
     """
-    links = parts.where("next IS NOT NULL").select(*keys, F.col("next").alias("head"), F.col("head").alias("before"))
+    # A start and an open piece may have the same first k-mer.
+    parts = parts.withColumn("piece", F.col("head") * 2 + F.col("open").cast("long"))
+    links = parts.where("next IS NOT NULL").select(*keys, (F.col("next") * 2 + 1).alias("piece"), F.col("piece").alias("before"))
     now = materialize(
-        parts.select(*keys, "head").join(links, [*keys, "head"], "left").select(
+        parts.select(*keys, "piece", "open").join(links, [*keys, "piece"], "left").select(
             *keys,
-            "head",
-            F.coalesce("before", "head").alias("at"),
+            "piece",
+            F.coalesce("before", "piece").alias("at"),
             F.col("before").isNotNull().cast("long").alias("place"),
             F.col("before").isNull().alias("done"),
         )
     )
-    open_before = None
-    while True:
-        left = now.where("NOT done").count()
-        if not left or left == open_before:
-            break
-        open_before = left
-        ahead = now.select(*keys, F.col("head").alias("at"), F.col("at").alias("at2"), F.col("place").alias("place2"), F.col("done").alias("done2"))
+    left = now.where("NOT done").count()
+    while left:
+        ahead = now.select(*keys, F.col("piece").alias("at"), F.col("at").alias("at2"), F.col("place").alias("place2"), F.col("done").alias("done2"))
         moved = now.where("NOT done").join(ahead, [*keys, "at"])
-        moved = moved.select(*keys, "head", F.col("at2").alias("at"), (F.col("place") + F.col("place2")).alias("place"), F.col("done2").alias("done"))
+        moved = moved.select(*keys, "piece", F.col("at2").alias("at"), (F.col("place") + F.col("place2")).alias("place"), F.col("done2").alias("done"))
         now = materialize(now.where("done").unionByName(moved))
-    return parts.join(now.where("done").select(*keys, "head", F.col("at").alias("start"), "place"), [*keys, "head"])
+        open_before, left = left, now.where("NOT done").count()
+        if left == open_before:
+            break
+    ends = now.where("done").select(*keys, "piece", F.col("at").alias("first"), "place")
+    return parts.join(ends, [*keys, "piece"]).withColumn("start", F.shiftright("first", 1))
 
 
 def unitigs(counts: DataFrame, k: int, min_length: int = 0, *keys: str) -> DataFrame:
@@ -341,16 +454,16 @@ def unitigs(counts: DataFrame, k: int, min_length: int = 0, *keys: str) -> DataF
     """
     rows = chains(materialize(pieces(counts, k, *keys)), *keys)
     parts = F.sort_array(F.collect_list(F.struct("place", "letters")))
-    found = rows.groupBy(*keys, "start").agg(
+    found = rows.groupBy(*keys, "start", "first").agg(
         F.array_join(F.transform(parts, lambda x: x["letters"]), "").alias("letters"),
         F.max_by("tail", "place").alias("end"),
         F.sum("mass").alias("mass"),
         F.min("least").alias("min_weight"),
         F.max("most").alias("max_weight"),
     )
-    found = found.withColumns({"kmers": F.length("letters").cast("long"), "first": F.least("start", dna.code_revcomp("start", k))})
-    found = found.withColumns({"last": F.least("end", dna.code_revcomp("end", k)), "seq": F.concat(dna.decode("start", k), F.expr("substring(letters, 2)"))})
-    found = found.where((F.col("first") < F.col("last")) | ((F.col("first") == F.col("last")) & (F.col("seq") <= dna.revcomp("seq"))))
+    found = found.withColumns({"kmers": F.length("letters").cast("long"), "one": F.least("start", dna.code_revcomp("start", k))})
+    found = found.withColumns({"two": F.least("end", dna.code_revcomp("end", k)), "seq": F.concat(dna.decode("start", k), F.expr("substring(letters, 2)"))})
+    found = found.where((F.col("one") < F.col("two")) | ((F.col("one") == F.col("two")) & (F.col("seq") <= dna.revcomp("seq"))))
     mean = F.expr("mass DIV kmers").alias("av_weight")
     out = found.select(*keys, "seq", F.length("seq").alias("length"), mean, "min_weight", "max_weight", "kmers")
     return out.where(F.col("length") >= min_length).distinct()
@@ -402,9 +515,8 @@ def paths(sequences: DataFrame, component_kmers: DataFrame, k: int, key: str, mi
     """
     from pyspark.sql import Window as W
 
-    rows = sequences.where(F.length("seq") >= k).select(key, "seq", F.posexplode(dna.windows("seq", k)).alias("place", "w"))
-    rows = rows.select(key, "place", dna.encode(dna.canonical("w")).alias("kmer"))
-    inside = rows.join(component_kmers.select("comp_no", "kmer").distinct(), "kmer")
+    rows = window_rows(sequences, k, key)
+    inside = rows.join(component_kmers.select("comp_no", "kmer").distinct(), "kmer").select("comp_no", key, "place")
     own = W.partitionBy("comp_no", key).orderBy("place")
     inside = inside.withColumn("island", F.col("place") - F.row_number().over(own))
     found = inside.groupBy("comp_no", key, "island").agg(F.min("place").alias("start"), (F.count("*") + k - 1).alias("length"))
@@ -427,9 +539,20 @@ def position_coverage(positions: DataFrame, alignments: DataFrame, *keys: str) -
         alignments.select(*keys, (F.col("end") + 1).alias("pos"), F.lit(-1).alias("e"))
     )
     events = events.groupBy(*keys, "pos").agg(F.sum("e").alias("e"))
-    rows = positions.select(*keys, "pos", F.lit(True).alias("asked")).join(events, [*keys, "pos"], "full")
-    run = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("depth", F.coalesce(F.sum("e").over(run), F.lit(0))).where("asked").select(*keys, "pos", "depth")
+    # A contig is summed in stretches of places; what stands before a stretch comes from the stretches' sums.
+    chunk = F.expr(f"pos DIV {STRETCH}").alias("__chunk")
+    sums = events.groupBy(*keys, chunk).agg(F.sum("e").alias("e"))
+    rows = positions.select(*keys, "pos", F.lit(True).alias("asked")).join(events, [*keys, "pos"], "full").withColumn("__chunk", chunk)
+    asked = rows.select(*keys, "__chunk").distinct()
+    until = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    sums = asked.join(sums, [*keys, "__chunk"], "left").select(*keys, "__chunk", F.coalesce(F.sum("e").over(until), F.lit(0)).alias("__before"))
+    run = W.partitionBy(*keys, "__chunk").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("depth", F.coalesce(F.sum("e").over(run), F.lit(0))).where("asked")
+    return rows.join(sums, [*keys, "__chunk"]).select(*keys, "pos", (F.col("depth") + F.col("__before")).alias("depth"))
+
+
+#: Places of a contig that one task sums.
+STRETCH = 1 << 16
 
 
 def leftward_levels(counts: DataFrame, seeds: DataFrame, k: int, depth: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandlake.operators.counts import with_class
-from strandlake.runtime import join_small, numbered
+from strandlake.runtime import join_small, materialize, numbered
 
 #: Digits to which statistics are rounded before they are compared or ranked, so that summation order can't matter.
 DIGITS = 9
@@ -38,15 +38,17 @@ def group_sizes(classed: DataFrame, groups: tuple[int, ...]) -> dict[int, int]:
     return {g: found.get(g, 0) for g in groups}
 
 
-def chi2(present: list[Column], sizes: list[int]) -> Column:
+def chi2(present: list[Column], sizes: list[int], single: bool = False) -> Column:
     """Chi-squared statistic of presence in groups, on percentages and with a continuity correction of 0.5.
 
-    Infinite where a cell's expectation is 0; null if a group has no samples.
+    Infinite where a cell's expectation is 0; null if a group has no samples. `single`: the percentages are cut to single
+    precision, as some published results have them.
     """
     if not all(sizes):
         return F.lit(None).cast("double")
-    have = [100 * n / F.lit(float(s)) for n, s in zip(present, sizes)]
-    lack = [100 * (F.lit(s) - n) / F.lit(float(s)) for n, s in zip(present, sizes)]
+    cut = (lambda c: c.cast("float").cast("double")) if single else (lambda c: c)
+    have = [cut(100 * n / F.lit(float(s))) for n, s in zip(present, sizes)]
+    lack = [cut(100 * (F.lit(s) - n) / F.lit(float(s))) for n, s in zip(present, sizes)]
     out = F.lit(0.0)
     for side in (have, lack):
         expected = sum(side[1:], side[0]) / F.lit(float(len(side)))
@@ -56,12 +58,12 @@ def chi2(present: list[Column], sizes: list[int]) -> Column:
     return F.round(out, DIGITS)
 
 
-def presence(classed: DataFrame, groups: tuple[int, ...], sizes: dict[int, int], min_freq: int = 0) -> DataFrame:
+def presence(classed: DataFrame, groups: tuple[int, ...], sizes: dict[int, int], min_freq: int = 0, single: bool = False) -> DataFrame:
     """(`kmer`, `n_g` for each group, `n`, `chi2`) of the k-mers above `min_freq` anywhere in the groups."""
     rows = classed.where((F.col("freq") > min_freq) & F.col("color").isin(*groups))
     rows = rows.groupBy("kmer").agg(*[F.count_if(F.col("color") == g).alias(f"n_{g}") for g in groups])
     rows = rows.withColumn("n", sum((F.col(f"n_{g}") for g in groups[1:]), F.col(f"n_{groups[0]}")))
-    return rows.withColumn("chi2", chi2([F.col(f"n_{g}") for g in groups], [sizes[g] for g in groups]))
+    return rows.withColumn("chi2", chi2([F.col(f"n_{g}") for g in groups], [sizes[g] for g in groups], single))
 
 
 def informative(found: DataFrame, total: int) -> DataFrame:
@@ -86,32 +88,32 @@ def mann_whitney(rows: DataFrame, pairs: list[tuple[int, int]], sizes: dict[int,
     """(`kmer`, `z_a_b` for each pair of groups): z of the two-sided test, always at most 0.
 
     `rows` has (`kmer`, `color`, `value`) of the samples with the k-mer; those without have the value 0. Ranks of ties
-    are averaged; no correction for ties or continuity.
+    are averaged; no correction for ties or continuity. One sorted pass over the distinct values of each k-mer serves
+    all pairs: a value's rank in a pair follows from how many of either group lie below it.
     """
-    out = None
+    groups = sorted({g for p in pairs for g in p})
+    count = {g: F.count_if(F.col("color") == g).alias(f"__n_{g}") for g in groups}
+    own = rows.where(F.col("color").isin(*groups)).groupBy("kmer", F.round("value", DIGITS).alias("value")).agg(*count.values())
+    below = W.partitionBy("kmer").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    own = own.withColumns({f"__b_{g}": F.coalesce(F.sum(f"__n_{g}").over(below), F.lit(0)) for g in groups})
+    sums = []
+    for a, b in pairs:
+        rank = F.col(f"__b_{a}") + F.col(f"__b_{b}") + (F.col(f"__n_{a}") + F.col(f"__n_{b}") + 1) / 2
+        sums.append(F.sum(F.when(F.col(f"__n_{a}") > 0, F.col(f"__n_{a}") * rank).otherwise(0.0)).alias(f"__r_{a}_{b}"))
+    own = own.groupBy("kmer").agg(*[F.sum(f"__n_{g}").alias(f"__n_{g}") for g in groups], *sums)
+    out = []
     for a, b in pairs:
         na, nb = sizes[a], sizes[b]
-        own = rows.where(F.col("color").isin(a, b)).withColumn("value", F.round("value", DIGITS))
-        kmer = W.partitionBy("kmer")
-        ties = F.count("*").over(W.partitionBy("kmer", "value"))
-        rank = F.rank().over(kmer.orderBy("value")) + (ties - 1) / 2
-        own = own.select("kmer", "color", rank.alias("rank"))
-        own = own.groupBy("kmer").agg(
-            F.count("*").alias("n"),
-            F.count_if(F.col("color") == a).alias("n_a"),
-            F.sum(F.when(F.col("color") == a, F.col("rank")).otherwise(0.0)).alias("ranks"),
-        )
-        zeros = F.lit(na + nb) - F.col("n")
-        # Absent samples share the lowest ranks.
-        ranks = F.col("ranks") + F.col("n_a") * zeros + (F.lit(na) - F.col("n_a")) * (zeros + 1) / 2
+        there = F.col(f"__n_{a}")
+        zeros = F.lit(na + nb) - there - F.col(f"__n_{b}")
+        # Absent samples share the lowest ranks. A k-mer that neither group has: all values tie.
+        ranks = F.col(f"__r_{a}_{b}") + there * zeros + (F.lit(na) - there) * (zeros + 1) / 2
         u = ranks - na * (na + 1) / 2
         low = F.least(u, F.lit(float(na * nb)) - u)
         deviation = (na * nb * (na + nb + 1) / 12) ** 0.5
         z = F.round((low - na * nb / 2) / deviation, DIGITS) if deviation else F.lit(0.0)
-        own = own.select("kmer", z.alias(f"z_{a}_{b}"))
-        out = own if out is None else out.join(own, "kmer", "full")
-    # A k-mer that neither group of a pair has: all values tie.
-    return out.fillna(0.0)
+        out.append(F.when(there + F.col(f"__n_{b}") > 0, z).otherwise(0.0).alias(f"z_{a}_{b}"))
+    return own.select("kmer", *out)
 
 
 def means(rows: DataFrame, groups: tuple[int, ...], sizes: dict[int, int]) -> DataFrame:
@@ -145,6 +147,7 @@ def group_specific(
     df: int | None = None,
     values: str = "total",
     keep_common: bool = False,
+    single: bool = False,
 ) -> DataFrame:
     """(`kmer`, `group`, `value`): k-mers that differ between groups of samples, with the group they belong to.
 
@@ -152,13 +155,14 @@ def group_specific(
     degrees of freedom (default: groups - 1) and, unless `p_mw` is 0, for some pair of groups the Mann-Whitney p is below
     `p_mw`. `values`: what the ranks and means are of: `raw` frequencies, normalised by the sample's `total` frequency, or
     `whole`, the same with the mean total cut to a whole number. `keep_common`: k-mers of all samples pass the first test, and
-    p equal to `p_mw` passes too. Means are rounded to 6 digits, then cut.
+    p equal to `p_mw` passes too. `single`: as in `chi2`. Means are rounded to 6 digits, then cut.
     """
-    classed = with_class(counts, classes)
+    # Read for the sizes, the totals, the presence test and the ranks: written once.
+    classed = materialize(with_class(counts, classes).where(F.col("color").isin(*groups)).select("sample", "kmer", "color", "freq"))
     sizes = group_sizes(classed, groups)
     total = sum(sizes.values())
     quantile = chi2_quantile(p_chi2, len(groups) - 1 if df is None else df)
-    found = presence(classed, groups, sizes, min_freq)
+    found = presence(classed, groups, sizes, min_freq, single)
     passed = F.col("chi2") > quantile
     if keep_common:
         found = found.where((F.col("n") > ceil(0.05 * total)) & (passed | (F.col("n") == total)))
@@ -168,7 +172,7 @@ def group_specific(
         rows = classed.where(F.col("color").isin(*groups)).withColumn("value", F.col("freq").cast("double"))
     else:
         rows = normalised(classed, groups, values == "whole")
-    rows = rows.join(found.select("kmer"), "kmer", "left_semi").select("kmer", "color", "value")
+    rows = materialize(rows.join(found.select("kmer"), "kmer", "left_semi").select("kmer", "color", "value"))
     out = means(rows, groups, sizes)
     if p_mw > 0:
         pairs = list(combinations(groups, 2))

@@ -12,7 +12,7 @@ from strandlake.operators import features as V
 from strandlake.operators import graph as G
 from strandlake.operators import stats as S
 from strandlake.operators import walks
-from strandlake.runtime import materialize
+from strandlake.runtime import join_small, materialize, numbered
 
 
 @dataclass
@@ -102,18 +102,15 @@ def colored_features(counts: DataFrame, classes: DataFrame, k: int = 31, min_fre
 
     Components are numbered per colour by their smallest k-mer.
     """
-    from pyspark.sql import Window as W
-
     colors = materialize(C.colored(counts, classes, min_freq))
     rows = materialize(G.colored_components(colors, k, share))
-    names = rows.select("color", "label").distinct()
-    names = names.withColumn("comp_no", F.row_number().over(W.partitionBy("color").orderBy("label")))
-    kmers = rows.join(names, ["color", "label"]).select("color", "kmer", "comp_no")
-    out = None
-    for c in range(3):
-        own = V.coverage(kmers.where(F.col("color") == c), counts).withColumn("color", F.lit(c))
-        out = own if out is None else out.unionByName(own)
-    return out.select("sample", "color", "comp_no", "value", "breadth")
+    # Components of all colours are one table with numbers of their own; a colour's numbers start at 1 again.
+    names = materialize(numbered(rows.select("color", "label").distinct(), ["color", "label"], "no", 1))
+    first = names.groupBy("color").agg(F.min("no").alias("first"))
+    names = join_small(names, first, "color").select("color", "label", "no", (F.col("no") - F.col("first") + 1).cast("int").alias("comp_no"))
+    kmers = rows.join(names, ["color", "label"]).select(F.col("no").alias("comp_no"), "kmer")
+    found = V.coverage(kmers, counts).withColumnRenamed("comp_no", "no")
+    return join_small(found, names, "no").select("sample", "color", "comp_no", "value", "breadth")
 
 
 def supergraph(counts: DataFrame, k: int, min_freq: int | None = None, percent: int | None = None) -> DataFrame:

@@ -10,14 +10,14 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a table may have to be broadcast by `join_small`; at under 100 bytes a row this stays below 50 MB.
-BROADCAST_ROWS = 500_000
+#: Bytes that a table may have, written as JSON, to be broadcast by `join_small`. A row counts as MIN_ROW at least.
+BROADCAST_BYTES, MIN_ROW = 8 << 20, 16
 
 _SHIPPED: set[str] = set()
+_OWNED: set[str] = set()
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -50,7 +50,7 @@ def ship(spark: SparkSession) -> None:
             for f in files:
                 if f.endswith(".py"):
                     z.write(os.path.join(base, f), os.path.relpath(os.path.join(base, f), os.path.dirname(root)))
-    path = os.path.join(shared_dir(spark), "code", uuid.uuid4().hex, f"{os.path.basename(root)}.zip")
+    path = os.path.join(own_dir(spark), "code", uuid.uuid4().hex, f"{os.path.basename(root)}.zip")
     target = sc._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
     out.write(bytearray(body.getvalue()))
@@ -76,31 +76,51 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder. It is deleted when the driver's JVM ends, or by `release`."""
+    sc = spark.sparkContext
+    path = os.path.join(shared_dir(spark), f"strandlake-{sc.applicationId}")
+    if path not in _OWNED:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+        _OWNED.add(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this application has written so far; results that read them end with them."""
+    sc = spark.sparkContext
+    for part in ("tables", "streams"):
+        target = sc._jvm.org.apache.hadoop.fs.Path(os.path.join(own_dir(spark), part))
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once as a table in the shared folder and read it back.
 
     Cuts the lineage and survives the loss of executors; compressed and columnar, so later readers take only
-    the columns they need.
+    the columns they need. The table stays until the application ends or calls `release`.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "tables", uuid.uuid4().hex)
+    path = os.path.join(own_dir(spark), "tables", uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    """Keep `df` on executors (spilling to disk) while one query reads it twice; recomputed if a copy is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether `df` has at most `limit` bytes. Reads no more rows than could be that small."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    most = limit // MIN_ROW
+    size = F.greatest(F.octet_length(F.to_json(F.struct("*"))), F.lit(MIN_ROW))
+    n, total = df.limit(most + 1).agg(F.count("*"), F.sum(size)).first()
+    return n <= most and (total or 0) <= limit
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with `small`, broadcast only if counting it shows at most `limit` rows; else a shuffled join under AQE.
-
-    The count stops as soon as the limit is passed.
-    """
-    if small.limit(limit + 1).count() <= limit:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int | None = None) -> DataFrame:
+    """Join with `small`, broadcast only if measuring shows at most `limit` bytes; else a shuffled join under AQE."""
+    return big.join(F.broadcast(small) if is_small(small, limit) else small, on, how)
 
 
 def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import dna
+from strandlake.functions.windows import window_rows
 from strandlake.runtime import numbered
 from strandlake.sources.reads import opened
 
@@ -128,9 +129,8 @@ def gfa_segments(units: DataFrame, counts: DataFrame, k: int, *keys: str) -> Dat
 
     Coverage is that of all k-mers plus, for the k - 1 letters that the last one ends with, that of the last k-mer.
     """
-    codes = F.posexplode(dna.windows("seq", k)).alias("place", "w")
-    rows = units.select(*keys, "id", F.length("seq").alias("length"), codes)
-    rows = rows.withColumn("kmer", dna.encode(dna.canonical("w")))
+    rows = window_rows(units.select(*keys, "id", "seq"), k, *keys, "id")
+    rows = rows.join(units.select(*keys, "id", F.length("seq").alias("length")), [*keys, "id"])
     rows = rows.join(counts.select("kmer", "freq"), "kmer", "left").fillna(0, ["freq"])
     last = F.col("place") == F.col("length") - k
     total = F.sum(F.col("freq") * F.when(last, k).otherwise(1)).alias("coverage")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strandlake.functions import dna
-from strandlake.runtime import shared_dir
+from strandlake.functions.windows import window_codes
+from strandlake.runtime import own_dir
 from strandlake.tables import sample_name
 
 
@@ -33,9 +34,9 @@ def good_stream(reads: DataFrame, late: str = "60 days") -> DataFrame:
 
 def stream_kmers(reads: DataFrame, k: int) -> DataFrame:
     """Running counts (`day`, `sample`, `kmer`, `freq`) of a good stream; a day's state is dropped after the watermark."""
-    rows = reads.select("run_at", "sample", F.explode(dna.windows("seq", k)).alias("w"))
-    rows = rows.groupBy(F.window("run_at", "1 day").alias("w1"), "sample", dna.canonical("w").alias("kmer")).agg(F.count("*").alias("freq"))
-    return rows.select(F.date_format("w1.start", "yyyy-MM-dd").alias("day"), "sample", "kmer", "freq")
+    rows = reads.select("run_at", "sample", F.explode(window_codes("seq", k)).alias("kmer"))
+    rows = rows.groupBy(F.window("run_at", "1 day").alias("w1"), "sample", "kmer").agg(F.count("*").alias("freq"))
+    return rows.select(F.date_format("w1.start", "yyyy-MM-dd").alias("day"), "sample", dna.decode("kmer", k).alias("kmer"), "freq")
 
 
 def stream_days(reads: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
     Each batch writes to a folder of its own number, so a batch that is run again after a failure overwrites itself.
     """
     spark = stream.sparkSession
-    base = os.path.join(shared_dir(spark), "streams", uuid.uuid4().hex)
+    base = os.path.join(own_dir(spark), "streams", uuid.uuid4().hex)
     schema = stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
