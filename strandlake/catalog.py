@@ -316,13 +316,15 @@ def presence_bitmap_cardinality(spark: SparkSession, d: str) -> DataFrame:
 # Statistics. Means and z are rounded alike on both sides.
 
 
-def _sql_stats(groups: tuple[int, ...], m: int = 0) -> str:
+def _sql_stats(groups: tuple[int, ...], m: int = 0, single: bool = False) -> str:
     """Presence counts with chi-squared (`p`), group sizes (`gs`), and rows of the groups (`g`)."""
     listed = ", ".join(map(str, groups))
     sizes = ", ".join(f"CAST(count(DISTINCT CASE WHEN color = {i} THEN sample END) AS DOUBLE) AS s{i}" for i in groups)
     present = ", ".join(f"count(*) FILTER (WHERE color = {i}) AS n_{i}" for i in groups)
     have = [f"(100 * n_{i} / s{i})" for i in groups]
     lack = [f"(100 * (s{i} - n_{i}) / s{i})" for i in groups]
+    if single:
+        have, lack = ([f"CAST(CAST({x} AS FLOAT) AS DOUBLE)" for x in side] for side in (have, lack))
     cells = []
     for side in (have, lack):
         expected = f"(({' + '.join(side)}) / {len(side)}.0)"
@@ -367,7 +369,7 @@ SELECT kmer, grp AS "group", CAST(floor({taken}) AS INT) AS value FROM c"""
 
 
 Z05 = NormalDist().inv_cdf(0.025)
-Q1, Q2 = S.chi2_quantile(0.05, 1), S.chi2_quantile(0.05, 2)
+Q1 = S.chi2_quantile(0.05, 1)
 
 
 @query(f"WITH {_sql_stats((0, 1))} SELECT kmer, n_0, n_1, chi2 FROM p WHERE n > ceil(0.05 * total) AND n < total")
@@ -409,22 +411,23 @@ def stats_kmers(spark: SparkSession, d: str) -> DataFrame:
     return S.group_specific(_counts(spark, d), _classes(spark, d))
 
 
-@query(_sql_specific((0, 1, 2), Q2, Z05))
+# At p 0.8 hundreds of k-mers of these tables pass, at 0.05 a handful.
+@query(_sql_specific((0, 1, 2), S.chi2_quantile(0.8, 2), NormalDist().inv_cdf(0.4)))
 def stats_kmers_3(spark: SparkSession, d: str) -> DataFrame:
-    """K-mers that tell three classes apart."""
-    return S.group_specific(_counts(spark, d), _classes(spark, d), (0, 1, 2))
+    """K-mers that tell three classes apart at p 0.8."""
+    return S.group_specific(_counts(spark, d), _classes(spark, d), (0, 1, 2), 0.8, 0.8)
 
 
-@query(_sql_specific((0, 1), Q1, Z05, values="raw", common=True))
+@query(_sql_specific((0, 2), S.chi2_quantile(0.8, 1), NormalDist().inv_cdf(0.4), values="raw", common=True))
 def specific_kmers(spark: SparkSession, d: str) -> DataFrame:
-    """K-mers specific to one of two classes on raw frequencies; k-mers of all samples may pass."""
-    return S.group_specific(_counts(spark, d), _classes(spark, d), values="raw", keep_common=True)
+    """K-mers specific to class 0 or 2 on raw frequencies at p 0.8; k-mers of all samples may pass."""
+    return S.group_specific(_counts(spark, d), _classes(spark, d), (0, 2), 0.8, 0.8, values="raw", keep_common=True)
 
 
-@query(_sql_specific((0, 1, 2), Q1, Z05, values="whole"))
+@query(_sql_specific((0, 1, 2), S.chi2_quantile(0.8, 1), NormalDist().inv_cdf(0.4), values="whole"))
 def specific_kmers_3(spark: SparkSession, d: str) -> DataFrame:
-    """K-mers specific to one of three classes, tested at one degree of freedom."""
-    return S.group_specific(_counts(spark, d), _classes(spark, d), (0, 1, 2), df=1, values="whole")
+    """K-mers specific to one of three classes, tested at one degree of freedom and p 0.8."""
+    return S.group_specific(_counts(spark, d), _classes(spark, d), (0, 1, 2), 0.8, 0.8, df=1, values="whole")
 
 
 @query(
@@ -577,23 +580,79 @@ def branching_kmers(spark: SparkSession, d: str) -> DataFrame:
     return G.branching(v, K).select(dna.decode("kmer", K).alias("kmer"))
 
 
+def _rc(x: str) -> str:
+    return f"reverse(translate({x}, 'ACGT', 'TGCA'))"
+
+
+def _code(x: str, k: int) -> str:
+    """SQL for the LONG code of letters."""
+    return " + ".join(f"(strpos('ACGT', substr({x}, {i + 1}, 1)) - 1) * {4 ** (k - 1 - i)}::BIGINT" for i in range(k))
+
+
+def _sql_unitigs(k: int, source: str, key: str, name: str = "u") -> str:
+    """SQL for the unitigs `name` (key, seq, length, av_weight, min_weight, max_weight, kmers, sum_weight) of a table `source`
+    (key, km, f) of canonical letters: followers that are the only one both ways, then pointers to each path's first
+    k-mer, doubled 12 times, so for paths of up to 4096 k-mers."""
+    doubled = "".join(
+        f"""
+{name}p{i + 1} AS MATERIALIZED (SELECT x.{key}, x.x, y.at, x.n + y.n AS n, y.done FROM {name}p{i} x JOIN {name}p{i} y ON x.{key} = y.{key} AND x.at = y.x),"""
+        for i in range(12)
+    )
+    first, last = f"least(head, {_rc('head')})", f"least(tail, {_rc('tail')})"
+    return f"""{name}o AS MATERIALIZED (SELECT {key}, km AS x, f FROM {source} UNION SELECT {key}, {_rc('km')}, f FROM {source}),
+{name}j AS (SELECT {key}, m, min(i) AS x, min(o) AS y FROM (SELECT {key}, substr(x, 2) AS m, x AS i, NULL AS o FROM {name}o
+  UNION ALL SELECT {key}, substr(x, 1, {k - 1}), NULL, x FROM {name}o) q GROUP BY {key}, m HAVING count(i) = 1 AND count(o) = 1),
+{name}p0 AS MATERIALIZED (SELECT o.{key}, o.x, coalesce(j.x, o.x) AS at, CASE WHEN j.x IS NULL THEN 0 ELSE 1 END AS n, j.x IS NULL AS done
+  FROM {name}o o LEFT JOIN {name}j j ON o.{key} = j.{key} AND o.x = j.y),{doubled}
+{name}c AS (SELECT p.{key}, p.at AS head, arg_max(p.x, p.n) AS tail, string_agg(CASE WHEN p.n = 0 THEN p.x ELSE substr(p.x, {k}) END, '' ORDER BY p.n) AS seq,
+  CAST(sum(f) AS BIGINT) AS w, min(f) AS lo, max(f) AS hi, count(*) AS kmers
+  FROM {name}p12 p JOIN {name}o o ON p.{key} = o.{key} AND p.x = o.x WHERE p.done GROUP BY p.{key}, p.at),
+{name} AS MATERIALIZED (SELECT DISTINCT {key}, seq, length(seq) AS length, w // kmers AS av_weight, lo AS min_weight, hi AS max_weight, kmers, w AS sum_weight
+  FROM {name}c WHERE {first} < {last} OR ({first} = {last} AND seq <= {_rc('seq')}))"""
+
+
+def _sql_components(name: str, source: str, key: str) -> str:
+    """SQL for the connected components `name` (key, kmer, label) of k-mers `source` (key, kmer) of 31 letters, within a key;
+    to stand after WITH RECURSIVE. Needs n (code, neighbour) and s (code, kmer) for all of them."""
+    # One number for key (0 to 3) and k-mer: a join by the key alone would be a cross join.
+    return f"""{name}v AS MATERIALIZED (SELECT {key}, kmer, kmer::UBIGINT * 4 + {key} AS id FROM {source}),
+{name}e AS MATERIALIZED (SELECT x.id AS src, y.id AS dst FROM {name}v x JOIN n ON n.code = x.kmer JOIN s ON s.kmer = n.neighbour
+  JOIN {name}v y ON y.id = s.code::UBIGINT * 4 + x.{key} WHERE x.kmer <> y.kmer),
+{name}w(id, label) USING KEY (id) AS (SELECT id, id FROM {name}v UNION
+  SELECT e.dst, min(c.label) FROM {name}w c JOIN {name}e e ON c.id = e.src JOIN recurring.{name}w AS r ON r.id = e.dst WHERE c.label < r.label GROUP BY e.dst),
+{name} AS MATERIALIZED (SELECT CAST(id % 4 AS INT) AS {key}, CAST(id // 4 AS BIGINT) AS kmer, CAST(label // 4 AS BIGINT) AS label FROM {name}w)"""
+
+
+def _sql_neighbourhood(source: str, k: int = 31) -> str:
+    """SQL for s (code, kmer) and n (code, neighbour) of the distinct codes of `source` (kmer)."""
+    sides = " UNION ".join(
+        f"SELECT code, least({x}, {_rc(x)}) AS neighbour FROM s" for c in "ACGT" for x in (f"concat(substr(kmer, 2), '{c}')", f"concat('{c}', substr(kmer, 1, {k - 1}))")
+    )
+    return f"s AS MATERIALIZED (SELECT DISTINCT kmer AS code, {_decoded(k)} AS kmer FROM {source}), n AS MATERIALIZED ({sides})"
+
+
+SQL_READ_COUNTS = f"{_sql_windows(K)}, kc AS MATERIALIZED (SELECT sample, kmer AS km, least(count(*), 32767) AS f FROM k GROUP BY 1, 2)"
+
+
 def _read_counts(spark: SparkSession, d: str) -> DataFrame:
     return C.kmer_counts(_reads(spark, d), K, 0)
 
 
-@query()
+@query(f"WITH {SQL_READ_COUNTS}, {_sql_unitigs(K, 'kc', 'sample')} SELECT * FROM u WHERE length >= 100")
 def unitigs(spark: SparkSession, d: str) -> DataFrame:
     """Maximal unbranched sequences of at least 100 letters of every sample's reads."""
     return G.unitigs(materialize(_read_counts(spark, d)), K, 100, "sample")
 
 
-@query()
+@query(
+    f"""WITH {SQL_READ_COUNTS}, {_sql_unitigs(K, 'kc', 'sample')},
+h AS (SELECT *, sum(length) OVER (PARTITION BY sample ORDER BY length DESC) AS upto, sum(length) OVER (PARTITION BY sample) AS every FROM u)
+SELECT sample, count(*) AS n, CAST(sum(length) AS BIGINT) AS letters, CAST(max(length) AS BIGINT) AS longest, CAST(sum(kmers) AS BIGINT) AS kmers,
+CAST(sum(sum_weight) AS BIGINT) AS sum_weight, CAST(max(CASE WHEN 2 * upto >= every THEN length END) AS BIGINT) AS n50 FROM h GROUP BY sample"""
+)
 def unitig_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Number, letters and longest of all unitigs of each sample."""
-    rows = G.unitigs(materialize(_read_counts(spark, d)), K, 0, "sample")
-    return rows.groupBy("sample").agg(
-        F.count("*").alias("n"), F.sum("length").alias("letters"), F.max("length").alias("longest"), F.max("max_weight").alias("max_weight")
-    )
+    """Number, letters, longest, k-mers, weight and N50 of all unitigs of each sample."""
+    return G.sequence_stats(G.unitigs(materialize(_read_counts(spark, d)), K, 0, "sample"), "sample")
 
 
 @query(
@@ -606,17 +665,48 @@ def n50(spark: SparkSession, d: str) -> DataFrame:
     return G.n50(good_reads(table(spark, d, "seq_reads")).select(F.length("seq").alias("length")))
 
 
-@query()
+def _sql_cut(source: str, levels: int, least: int, most: int) -> str:
+    """SQL for the components `cut` (t, label, size, weight) and their k-mers `cutk` (t, label, kmer) of `source` (kmer, freq),
+    with rising thresholds t up to `levels`."""
+    parts, kept, held = [], [], []
+    for t in range(1, levels + 1):
+        parts.append(
+            _sql_components(f"c{t}", f"g{t}", "one")
+            + f""",
+z{t} AS MATERIALIZED (SELECT label, count(*) AS size, CAST(sum(freq) AS BIGINT) AS weight FROM c{t} JOIN {source} f ON f.kmer = c{t}.kmer GROUP BY label),
+g{t + 1} AS MATERIALIZED (SELECT 1 AS one, c{t}.kmer FROM c{t} JOIN z{t} ON z{t}.label = c{t}.label AND size > {most} JOIN {source} f ON f.kmer = c{t}.kmer WHERE freq > {t})"""
+        )
+        kept.append(f"SELECT {t} AS t, label, size, weight FROM z{t} WHERE size BETWEEN {least} AND {most}")
+        held.append(f"SELECT {t} AS t, c{t}.label, kmer FROM c{t} JOIN z{t} ON z{t}.label = c{t}.label WHERE size BETWEEN {least} AND {most}")
+    return f"g1 AS MATERIALIZED (SELECT 1 AS one, kmer FROM {source}), {', '.join(parts)}, cut AS ({' UNION ALL '.join(kept)}), cutk AS ({' UNION ALL '.join(held)})"
+
+
+@query(
+    f"""WITH RECURSIVE fr AS MATERIALIZED (SELECT kmer, count(DISTINCT comp_no) AS freq FROM component_kmers WHERE kmer IS NOT NULL GROUP BY kmer),
+{_sql_neighbourhood('fr')}, {_sql_cut('fr', 8, 5, 60)}
+SELECT CAST(row_number() OVER (ORDER BY t, weight DESC, size DESC, label) AS INT) AS comp_no, size, weight, t AS freq_threshold FROM cut"""
+)
 def component_cutter(spark: SparkSession, d: str) -> DataFrame:
-    """Components of 30 to 100 k-mers, larger ones cut by the number of components that hold a k-mer."""
+    """Components of 5 to 60 k-mers, larger ones cut by the number of components that hold a k-mer."""
     rows = table(spark, d, "component_kmers").where("kmer IS NOT NULL").groupBy("kmer").agg(F.count_distinct("comp_no").alias("freq"))
-    return G.cut_components(rows, 31, 30, 100)[0]
+    return G.cut_components(rows, 31, 5, 60)[0]
 
 
-@query()
+SQL_COLOR_PARTS = f"""{_sql_counts(1)},
+cx AS (SELECT kmer, least(count(*) FILTER (WHERE color = 0), 1048575) AS c0, least(count(*) FILTER (WHERE color = 1), 1048575) AS c1,
+  least(count(*) FILTER (WHERE color = 2), 1048575) AS c2 FROM kcc GROUP BY kmer),
+dc AS MATERIALIZED (SELECT kmer, CASE WHEN c0 + c1 + c2 = 0 THEN -1 WHEN c0 >= 0.9 * (c0 + c1 + c2) THEN 0 WHEN c1 >= 0.9 * (c0 + c1 + c2) THEN 1
+  WHEN c2 >= 0.9 * (c0 + c1 + c2) THEN 2 ELSE -1 END AS own FROM cx),
+vv AS MATERIALIZED (SELECT color, kmer, own FROM dc, (SELECT unnest([0, 1, 2]) AS color) q WHERE own IN (color, -1)),
+{_sql_neighbourhood('dc')}, {_sql_components('cc', 'vv', 'color')},
+keep AS (SELECT DISTINCT cc.color, label FROM cc JOIN vv ON vv.color = cc.color AND vv.kmer = cc.kmer WHERE own = cc.color),
+part AS MATERIALIZED (SELECT cc.color, cc.label, cc.kmer FROM cc JOIN keep ON keep.color = cc.color AND keep.label = cc.label)"""
+
+
+@query(f"WITH RECURSIVE {SQL_COLOR_PARTS} SELECT color, label, count(*) AS size FROM part GROUP BY color, label")
 def colored_components(spark: SparkSession, d: str) -> DataFrame:
-    """Components around the k-mers of each class of the count table: size and own k-mers."""
-    colors = C.colored(_counts(spark, d), _classes(spark, d))
+    """Components around the k-mers of each class of the count table: size."""
+    colors = C.colored(_counts(spark, d, 1), _classes(spark, d))
     rows = G.colored_components(materialize(colors), 31)
     return rows.groupBy("color", "label").agg(F.count("*").alias("size"))
 
@@ -660,25 +750,37 @@ def read_coverage_by_position(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH RECURSIVE v AS (SELECT DISTINCT kmer FROM component_kmers WHERE kmer IS NOT NULL),
-b(depth, kmer) USING KEY (kmer) AS (SELECT 0, kmer FROM v WHERE kmer % 1000 = 0 UNION
+sd AS (SELECT DISTINCT arg_min(kmer, pos) AS kmer FROM (SELECT comp_no, pos, min(kmer) AS kmer FROM component_kmers
+  WHERE kmer IS NOT NULL AND comp_no IS NOT NULL AND pos IS NOT NULL GROUP BY comp_no, pos) q GROUP BY comp_no),
+b(depth, kmer) USING KEY (kmer) AS (SELECT 0, kmer FROM sd UNION
   SELECT min(b.depth) + 1, v.kmer FROM b JOIN v ON (v.kmer & ((1::BIGINT << 60) - 1)) = (b.kmer >> 2)
   LEFT JOIN recurring.b AS r ON r.kmer = v.kmer WHERE r.kmer IS NULL AND b.depth < 12 GROUP BY v.kmer)
 SELECT depth, count(*) AS n_kmers, count(*) AS freq FROM b GROUP BY depth"""
 )
 def bfs_depth_stats(spark: SparkSession, d: str) -> DataFrame:
-    """K-mers reached by 0 to 12 steps to the left of those whose code is a multiple of 1000."""
+    """K-mers reached by 0 to 12 steps to the left of the first k-mers of all components."""
     v = materialize(_vertices(spark, d).withColumn("freq", F.lit(1)))
-    return G.leftward_levels(v, v.where("kmer % 1000 = 0").select("kmer"), 31, 12)
+    rows = table(spark, d, "component_kmers").where("kmer IS NOT NULL AND comp_no IS NOT NULL AND pos IS NOT NULL")
+    rows = rows.groupBy("comp_no", "pos").agg(F.min("kmer").alias("kmer"))
+    seeds = rows.groupBy("comp_no").agg(F.min_by("kmer", "pos").alias("kmer")).select("kmer").distinct()
+    return G.leftward_levels(v, seeds, 31, 12)
 
 
 # Walks, pipelines, exports, streams.
 
 
+def _pivots(spark: SparkSession, d: str) -> DataFrame:
+    """The k-mers that several components hold, and the first of each component."""
+    rows = table(spark, d, "component_kmers").where("kmer IS NOT NULL AND comp_no IS NOT NULL")
+    several = rows.groupBy("kmer").agg(F.count_distinct("comp_no").alias("n")).where("n > 1").select("kmer")
+    return several.unionByName(rows.groupBy("comp_no").agg(F.min_by("kmer", "pos").alias("kmer")).select("kmer")).distinct()
+
+
 @query()
 def pivot_components(spark: SparkSession, d: str) -> DataFrame:
-    """Components grown around every hundredth code of the component k-mers: size and pivots."""
+    """Components grown around the k-mers of several components and the first of each: size and pivots."""
     v = _vertices(spark, d).withColumn("freq", F.lit(1))
-    rows = walks.pivot_components(v, v.where("kmer % 100 = 0"), 31)
+    rows = walks.pivot_components(v, _pivots(spark, d), 31)
     return rows.groupBy("comp_no").agg(F.count("*").alias("size"), F.max("n_pivot").alias("n_pivot"))
 
 
@@ -686,7 +788,7 @@ def pivot_components(spark: SparkSession, d: str) -> DataFrame:
 def pivot_components_deep(spark: SparkSession, d: str) -> DataFrame:
     """The same with probes past two forks."""
     v = _vertices(spark, d).withColumn("freq", F.lit(1))
-    rows = walks.pivot_components(v, v.where("kmer % 100 = 0"), 31, 3)
+    rows = walks.pivot_components(v, _pivots(spark, d), 31, 3)
     return rows.groupBy("comp_no").agg(F.count("*").alias("size"), F.max("n_pivot").alias("n_pivot"))
 
 
@@ -698,10 +800,20 @@ def linear_components(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("color", "label").agg(F.count("*").alias("size"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SQL_READ_COUNTS}, k1 AS MATERIALIZED (SELECT * FROM kc WHERE f > 1), {_sql_unitigs(K, 'k1', 'sample')},
+sk AS (SELECT substr(seq, i, {K}) AS w FROM u, unnest(range(1, length - {K - 2})) t(i) WHERE length >= 30),
+fk AS (SELECT least(w, {_rc('w')}) AS km, count(*) AS freq FROM sk GROUP BY 1), fr AS MATERIALIZED (SELECT {_code('km', K)} AS kmer, freq FROM fk),
+{_sql_neighbourhood('fr', K)}, {_sql_cut('fr', 8, 20, 2000)},
+ft AS MATERIALIZED (SELECT sample, t, label, sum(f) AS v FROM k1 JOIN (SELECT t, label, {_decoded(K)} AS km FROM cutk) q ON q.km = k1.km GROUP BY 1, 2, 3),
+tt AS (SELECT sample, sum(v) AS total FROM ft GROUP BY sample),
+cm AS (SELECT a.sample AS i, b.sample AS j, sum(least(a.v, b.v)) AS common FROM ft a JOIN ft b ON a.t = b.t AND a.label = b.label AND a.sample < b.sample GROUP BY 1, 2)
+SELECT x.sample AS sample_i, y.sample AS sample_j, round(CAST(x.total + y.total - 2 * coalesce(common, 0) AS DOUBLE) / CAST(x.total + y.total AS DOUBLE), 9) AS dist
+FROM tt x JOIN tt y ON x.sample < y.sample LEFT JOIN cm ON cm.i = x.sample AND cm.j = y.sample"""
+)
 def matrix_builder(spark: SparkSession, d: str) -> DataFrame:
     """Reads to distances of the samples: counts, sequences, components of 20 to 2000 k-mers, features, distances."""
-    return P.distance_matrix(_reads(spark, d), K, 1, 30, 20, 2000).distances
+    return P.distance_matrix(_reads(spark, d), K, 1, 30, 20, 2000).distances.withColumn("dist", F.round("dist", 9))
 
 
 @query()
@@ -723,27 +835,46 @@ def specific_features(spark: SparkSession, d: str) -> DataFrame:
     return P.specific_features(_counts(spark, d, 1), _classes(spark, d), 1, 2)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SQL_COLOR_PARTS},
+no AS (SELECT color, label, CAST(row_number() OVER (PARTITION BY color ORDER BY label) AS INT) AS comp_no FROM keep),
+sz AS (SELECT color, label, count(*) AS size FROM part GROUP BY color, label)
+SELECT kc.sample, part.color, comp_no, CAST(sum(freq) AS BIGINT) AS value, round(count(*) / any_value(size), 9) AS breadth
+FROM kc JOIN part ON part.kmer = kc.kmer JOIN no ON no.color = part.color AND no.label = part.label
+JOIN sz ON sz.color = part.color AND sz.label = part.label GROUP BY kc.sample, part.color, comp_no"""
+)
 def colored_features(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of the components around each class's k-mers."""
-    return P.colored_features(_counts(spark, d, 1), _classes(spark, d))
+    return P.colored_features(_counts(spark, d, 1), _classes(spark, d)).withColumn("breadth", F.round("breadth", 9))
 
 
-@query()
+@query(
+    f"""WITH {SQL_READ_COUNTS}, sup AS MATERIALIZED (SELECT km, count(*) AS f FROM kc GROUP BY km),
+so AS MATERIALIZED (SELECT km, km AS x FROM sup UNION SELECT km, {_rc('km')} FROM sup),
+fork AS (SELECT DISTINCT x.km FROM so x JOIN so y ON substr(x.x, 2) = substr(y.x, 1, {K - 1}) GROUP BY x.km, x.x HAVING count(*) > 1),
+pl AS MATERIALIZED (SELECT 1 AS one, km, f FROM sup WHERE km NOT IN (SELECT km FROM fork)), {_sql_unitigs(K, 'pl', 'one')}
+SELECT seq, length, sum_weight, min_weight, max_weight, kmers FROM u WHERE length >= 100"""
+)
 def supergraph(spark: SparkSession, d: str) -> DataFrame:
     """Sequences of the joint graph of all samples' reads without branching k-mers."""
     rows = P.supergraph(_read_counts(spark, d), K, 0)
-    return rows.where("length >= 100").select("length", "av_weight", "kmers")
+    return rows.where("length >= 100").select("seq", "length", "sum_weight", "min_weight", "max_weight", "kmers")
 
 
 def _units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "component_kmers").where("kmer IS NOT NULL").select("comp_no", "kmer").distinct()
+    rows = table(spark, d, "component_kmers").where("kmer IS NOT NULL AND comp_no IS NOT NULL").select("comp_no", "kmer").distinct()
     counts = materialize(rows.withColumn("freq", F.lit(1)))
     units = numbered(G.unitigs(counts, 31, 31, "comp_no"), ["comp_no", "seq"], "id", 1)
     return materialize(units), materialize(rows.select("kmer").distinct().withColumn("freq", F.lit(1)))
 
 
-@query()
+SQL_COMP_KMERS = f"ck AS MATERIALIZED (SELECT DISTINCT comp_no, {_decoded(31)} AS km, 1 AS f FROM component_kmers WHERE kmer IS NOT NULL AND comp_no IS NOT NULL)"
+
+
+@query(
+    f"""WITH {SQL_COMP_KMERS}, {_sql_unitigs(31, 'ck', 'comp_no')}
+SELECT comp_no, CAST(row_number() OVER (ORDER BY comp_no, seq) AS BIGINT) AS id, seq, length FROM u"""
+)
 def comp2seq(spark: SparkSession, d: str) -> DataFrame:
     """Sequences of every component."""
     return _units(spark, d)[0].select("comp_no", "id", "seq", "length")
@@ -756,20 +887,39 @@ def _read_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return materialize(units), counts
 
 
-@query()
+SQL_READ_GRAPH = f"""{_sql_windows(13, 'true')}, rk AS MATERIALIZED (SELECT 1 AS one, kmer AS km, least(count(*), 32767) AS f FROM k GROUP BY kmer HAVING count(*) > 5),
+{_sql_unitigs(13, 'rk', 'one')}, seg AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY seq) AS BIGINT) AS id, seq, length FROM u)"""
+
+
+def _sql_links(k: int, segments: str, key: str) -> str:
+    """SQL for the links of segments (key, id, seq), the smaller of the two readings of each."""
+    return f"""ends AS (SELECT {key}, id, '+' AS strand, substr(seq, 1, {k - 1}) AS head, right(seq, {k - 1}) AS tail FROM {segments}
+  UNION ALL SELECT {key}, id, '-', substr({_rc('seq')}, 1, {k - 1}), right({_rc('seq')}, {k - 1}) FROM {segments}),
+met AS (SELECT x.{key} AS {key}, x.id AS a, x.strand AS sa, y.id AS b, y.strand AS sb FROM ends x JOIN ends y ON x.{key} = y.{key} AND x.tail = y.head),
+lk AS (SELECT DISTINCT {key}, CASE WHEN turn THEN b ELSE a END AS a, CASE WHEN turn THEN fb ELSE sa END AS a_strand,
+  CASE WHEN turn THEN a ELSE b END AS b, CASE WHEN turn THEN fa ELSE sb END AS b_strand FROM
+  (SELECT *, b < a OR (b = a AND (fb < sa OR (fb = sa AND fa < sb))) AS turn FROM
+   (SELECT *, translate(sa, '+-', '-+') AS fa, translate(sb, '+-', '-+') AS fb FROM met) p) q)"""
+
+
+@query(
+    f"""WITH {SQL_READ_GRAPH}, x AS (SELECT id, i, length, substr(seq, i, 13) AS w FROM seg, unnest(range(1, length - 11)) t(i))
+SELECT seg.id, seq, seg.length, cov AS coverage FROM seg JOIN (SELECT id, CAST(sum(coalesce(f, 0) * CASE WHEN i = length - 12 THEN 13 ELSE 1 END) AS BIGINT) AS cov
+  FROM x LEFT JOIN rk ON rk.km = least(w, {_rc('w')}) GROUP BY id) c ON c.id = seg.id"""
+)
 def gfa_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments of a graph of the reads with their coverage."""
     units, counts = _read_graph(spark, d)
     return X.gfa_segments(units.select("id", "seq"), counts, 13)
 
 
-@query()
+@query(f"WITH {SQL_READ_GRAPH}, sg AS (SELECT 1 AS one, * FROM seg), {_sql_links(13, 'sg', 'one')} SELECT a, a_strand, b, b_strand FROM lk")
 def gfa_links(spark: SparkSession, d: str) -> DataFrame:
     """Links between its segments."""
     return G.links(_read_graph(spark, d)[0], 13)
 
 
-@query(f"SELECT concat({_decoded(31)}, chr(9), CAST(sum(freq) AS VARCHAR)) AS value FROM (SELECT DISTINCT sample, kmer, freq, run_at FROM kmer_counts WHERE kmer IS NOT NULL AND freq >= 1 AND sample IS NOT NULL) q GROUP BY kmer HAVING sum(freq) < 30000")
+@query(f"WITH {_sql_counts(0)} SELECT concat({_decoded(31)}, chr(9), CAST(sum(freq) AS VARCHAR)) AS value FROM kc GROUP BY kmer")
 def kmer_view(spark: SparkSession, d: str) -> DataFrame:
     """The pooled count table as lines of letters and count."""
     rows = _counts(spark, d).groupBy("kmer").agg(F.sum("freq").alias("freq"))
@@ -830,3 +980,102 @@ SELECT sample, CAST(min(v) AS INT) AS threshold FROM x WHERE stop GROUP BY sampl
 def threshold_first_minimum(spark: SparkSession, d: str) -> DataFrame:
     """The first minimum of each sample's histogram of frequency mass."""
     return C.first_minimum(_counts(spark, d), "sample")
+
+
+# Graphs of components, comparison of reads and components, the walk from a constant fragment.
+
+
+def _sql_component_graph() -> str:
+    return f"""{SQL_COMP_KMERS}, {_sql_unitigs(31, 'ck', 'comp_no')},
+sg AS MATERIALIZED (SELECT comp_no, concat(CAST(row_number() OVER (PARTITION BY comp_no ORDER BY seq) AS VARCHAR), '_i', CAST(comp_no AS VARCHAR)) AS id, seq, length FROM u)"""
+
+
+@query(
+    f"""WITH {_sql_counts(0)}, {_sql_component_graph()},
+dep AS (SELECT {_decoded(31)} AS km, count(*) AS samples, CAST(least(sum(freq), 32767) AS BIGINT) AS freq FROM kc GROUP BY kmer),
+x AS (SELECT comp_no, id, CASE WHEN i = length - 30 THEN 31 ELSE 1 END AS times, substr(seq, i, 31) AS w FROM sg, unnest(range(1, length - 29)) t(i)),
+cv AS (SELECT comp_no, id, CAST(sum(times) AS BIGINT) AS one, CAST(sum(times * coalesce(samples, 0)) AS BIGINT) AS samples,
+  CAST(sum(times * coalesce(freq, 0)) AS BIGINT) AS freq FROM x LEFT JOIN dep ON dep.km = least(w, {_rc('w')}) GROUP BY comp_no, id)
+SELECT sg.comp_no, sg.id, seq, length, samples, freq, one FROM sg JOIN cv ON cv.comp_no = sg.comp_no AND cv.id = sg.id"""
+)
+def component_graph_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of every component's graph with all three kinds of coverage."""
+    kmers, counts = table(spark, d, "component_kmers"), _counts(spark, d)
+    out = None
+    for mode in ("samples", "freq", "one"):
+        rows = G.component_graph(kmers, 31, counts, mode)[0].withColumnRenamed("coverage", mode)
+        out = rows if out is None else out.join(rows.select("comp_no", "id", mode), ["comp_no", "id"])
+    return out
+
+
+@query(f"WITH {_sql_component_graph()}, {_sql_links(31, 'sg', 'comp_no')} SELECT comp_no, a, a_strand, b, b_strand FROM lk")
+def component_graph_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between the segments of every component's graph."""
+    return G.component_graph(table(spark, d, "component_kmers"), 31, mode="one")[1]
+
+
+# Reads stand for contigs, two stretches of each for alignments, the 21-mers that occur more than once for components.
+SQL_COMPARED = f"""{_sql_windows(K, 'true')}, hk AS (SELECT kmer, CAST(1 + ({_code('kmer', K)}) % 50 AS INT) AS comp_no FROM k GROUP BY kmer HAVING count(*) > 1),
+cmp AS MATERIALIZED (SELECT k.read_no, CAST(k.i - 1 AS INT) AS pos, coalesce(comp_no, 0) AS comp_no,
+  CAST(CASE WHEN k.i + {K - 1} <= length(seq) // 2 THEN 1 ELSE 0 END + CASE WHEN k.i + {K - 1} BETWEEN length(seq) // 3 AND length(seq) - 5 THEN 1 ELSE 0 END AS BIGINT) AS depth
+  FROM k JOIN (SELECT DISTINCT read_no, seq FROM r) r ON r.read_no = k.read_no LEFT JOIN hk ON hk.kmer = k.kmer)"""
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    reads = good_reads(table(spark, d, "seq_reads")).select("read_no", "seq").distinct()
+    again = C.kmer_counts(reads, K, 1, ()).select((1 + F.col("kmer") % 50).cast("int").alias("comp_no"), "kmer")
+    long = reads.where(F.length("seq") >= K)
+    spans = long.select("read_no", F.lit(1).alias("start"), F.expr("cast(length(seq) DIV 2 AS INT)").alias("end"))
+    spans = spans.unionByName(long.select("read_no", F.expr("cast(length(seq) DIV 3 AS INT)").alias("start"), F.expr("length(seq) - 5").alias("end")))
+    return G.compared(reads, again, spans.where("end >= start"), K, "read_no")
+
+
+@query(f"WITH {SQL_COMPARED} SELECT DISTINCT read_no, pos, comp_no, depth FROM cmp")
+def reads_and_components(spark: SparkSession, d: str) -> DataFrame:
+    """Component and covering alignments of every place of the reads."""
+    return _compared(spark, d).withColumn("depth", F.col("depth").cast("long"))
+
+
+@query(f"WITH {SQL_COMPARED}, q AS (SELECT DISTINCT read_no, pos, comp_no, depth FROM cmp) SELECT comp_no, count(*) AS hits, count(*) FILTER (WHERE depth > 0) AS covered FROM q GROUP BY comp_no")
+def component_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the reads in each component (0: none), and how many of them alignments cover."""
+    return _compared(spark, d).groupBy("comp_no").agg(F.count("*").alias("hits"), F.count_if(F.col("depth") > 0).alias("covered"))
+
+
+@query(
+    f"""WITH {SQL_COMPARED}, q AS (SELECT DISTINCT read_no, pos, comp_no, depth FROM cmp)
+SELECT count(*) FILTER (WHERE comp_no > 0 AND depth > 0) AS both, count(*) FILTER (WHERE comp_no = 0 AND depth > 0) AS only_reads,
+count(*) FILTER (WHERE comp_no > 0 AND depth = 0) AS only_components FROM q"""
+)
+def reads_or_components(spark: SparkSession, d: str) -> DataFrame:
+    """Places that reads and components have, only reads, only components."""
+    return G.comparison(_compared(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {_sql_windows(K, 'true')}, fs AS (SELECT arg_min(seq, read_no) AS seq FROM r WHERE length(seq) >= 60),
+fw AS (SELECT i, substr(seq, i + 1, {K}) AS w FROM fs, unnest(range(0, length(seq) - {K - 1})) t(i)),
+ct AS (SELECT kmer, least(count(*), 32767) AS f FROM k GROUP BY kmer),
+al AS MATERIALIZED (SELECT kmer, least(sum(f), 32767) AS f FROM (SELECT kmer, f FROM ct UNION ALL
+  SELECT DISTINCT least(w, {_rc('w')}), 2 FROM fw WHERE i > 0) q GROUP BY kmer),
+sd AS (SELECT w AS x, coalesce(f, 0) AS f FROM fw LEFT JOIN al ON al.kmer = least(w, {_rc('w')}) WHERE i = 5),
+go AS MATERIALIZED (SELECT x, f FROM (SELECT kmer AS x, f FROM al WHERE f > 1 UNION SELECT {_rc('kmer')}, f FROM al WHERE f > 1) q WHERE x NOT IN (SELECT x FROM sd) UNION ALL SELECT x, f FROM sd),
+b(depth, x) USING KEY (x) AS (SELECT 1, x FROM sd UNION
+  SELECT min(b.depth) + 1, go.x FROM b JOIN go ON substr(go.x, 2) = substr(b.x, 1, {K - 1}) LEFT JOIN recurring.b AS o ON o.x = go.x WHERE o.x IS NULL AND b.depth < 45 GROUP BY go.x)
+SELECT depth, count(*) AS n_kmers, CAST(sum(f) AS BIGINT) AS freq FROM b JOIN go ON go.x = b.x GROUP BY depth"""
+)
+def fragment_walk(spark: SparkSession, d: str) -> DataFrame:
+    """The leftward walk from the first read of at least 60 letters as the constant fragment, 5 letters into it."""
+    reads = good_reads(table(spark, d, "seq_reads"))
+    first = reads.where(F.length("seq") >= 60).agg(F.min_by("seq", "read_no").alias("seq")).first().seq
+    return G.leftward_walk(C.kmer_counts(reads, K, 0, ()), first, K, 1, 5, 40)
+
+
+@query(
+    f"""WITH {_sql_stats((0, 1, 2), single=True)} SELECT kmer, n_0, n_1, n_2, chi2 FROM p WHERE n > ceil(0.05 * total) AND n < total"""
+)
+def chi2_single_precision(spark: SparkSession, d: str) -> DataFrame:
+    """The statistic of three classes with percentages in single precision."""
+    classed = C.with_class(_counts(spark, d), _classes(spark, d))
+    sizes = S.group_sizes(classed, (0, 1, 2))
+    return S.informative(S.presence(classed, (0, 1, 2), sizes, single=True), sum(sizes.values())).select("kmer", "n_0", "n_1", "n_2", "chi2")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import dna
 from strandlake.functions.windows import window_rows
-from strandlake.runtime import materialize, numbered
+from strandlake.runtime import join_small, materialize, numbered
 
 
 def oriented(vertices: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -446,7 +446,7 @@ def chains(parts: DataFrame, *keys: str) -> DataFrame:
 
 
 def unitigs(counts: DataFrame, k: int, min_length: int = 0, *keys: str) -> DataFrame:
-    """(`keys`, `seq`, `length`, `av_weight`, `min_weight`, `max_weight`, `kmers`) of the maximal unbranched paths.
+    """(`keys`, `seq`, `length`, `av_weight`, `min_weight`, `max_weight`, `kmers`, `sum_weight`) of the maximal unbranched paths.
 
     `counts` has (`keys`, `kmer`, `freq`), each k-mer once per key. One strand of each: that which starts at the smaller
     of the canonical end k-mers, or, if these are the same, the smaller sequence. Weights are of the k-mers' frequencies,
@@ -465,7 +465,7 @@ def unitigs(counts: DataFrame, k: int, min_length: int = 0, *keys: str) -> DataF
     found = found.withColumns({"two": F.least("end", dna.code_revcomp("end", k)), "seq": F.concat(dna.decode("start", k), F.expr("substring(letters, 2)"))})
     found = found.where((F.col("one") < F.col("two")) | ((F.col("one") == F.col("two")) & (F.col("seq") <= dna.revcomp("seq"))))
     mean = F.expr("mass DIV kmers").alias("av_weight")
-    out = found.select(*keys, "seq", F.length("seq").alias("length"), mean, "min_weight", "max_weight", "kmers")
+    out = found.select(*keys, "seq", F.length("seq").alias("length"), mean, "min_weight", "max_weight", "kmers", F.col("mass").alias("sum_weight"))
     return out.where(F.col("length") >= min_length).distinct()
 
 
@@ -555,6 +555,92 @@ def position_coverage(positions: DataFrame, alignments: DataFrame, *keys: str) -
 STRETCH = 1 << 16
 
 
+def sequence_stats(sequences: DataFrame, *keys: str) -> DataFrame:
+    """(`keys`, `n`, `letters`, `longest`, `kmers`, `sum_weight`, `n50`) of unitigs."""
+    rows = sequences.groupBy(*keys, "length").agg(
+        F.count("*").alias("c"), F.sum("length").alias("mass"), F.sum("kmers").alias("k"), F.sum("sum_weight").alias("w")
+    )
+    from pyspark.sql import Window as W
+
+    own = W.partitionBy(*(keys or [F.lit(0)]))
+    rows = rows.withColumns({"upto": F.sum("mass").over(own.orderBy(F.desc("length"))), "every": F.sum("mass").over(own)})
+    return rows.groupBy(*keys).agg(
+        F.sum("c").alias("n"),
+        F.sum("mass").alias("letters"),
+        F.max("length").cast("long").alias("longest"),
+        F.sum("k").alias("kmers"),
+        F.sum("w").alias("sum_weight"),
+        F.max(F.when(2 * F.col("upto") >= F.col("every"), F.col("length"))).cast("long").alias("n50"),
+    )
+
+
+def component_graph(component_kmers: DataFrame, k: int, counts: DataFrame | None = None, mode: str = "samples") -> tuple[DataFrame, DataFrame]:
+    """The compacted graph of each component: segments (`comp_no`, `id`, `seq`, `length`, `coverage`) and links (`comp_no`,
+    `a`, `a_strand`, `b`, `b_strand`).
+
+    Ids are `n_i<comp_no>`, n counting the component's sequences in their order. `mode`: what a k-mer's coverage is: the
+    number of `samples` of `counts` that have it, its summed `freq`, or `one`, which needs no counts. A sequence's coverage
+    is that of its k-mers, the last one counting k times. Pure cycles give no segment.
+    """
+    rows = component_kmers.where("comp_no IS NOT NULL AND kmer IS NOT NULL").select("comp_no", "kmer").distinct()
+    if mode == "one" or counts is None:
+        depth = rows.select("kmer").distinct().withColumn("freq", F.lit(1).cast("long"))
+    else:
+        amount = {"samples": F.count_distinct("sample"), "freq": F.least(F.sum("freq"), F.lit(dna.FREQ_MAX)).cast("long")}[mode]
+        depth = counts.groupBy("kmer").agg(amount.alias("freq"))
+    units = unitigs(rows.withColumn("freq", F.lit(1)), k, k, "comp_no")
+    units = materialize(numbered(units.select("comp_no", "seq"), ["comp_no", "seq"], "no", 1))
+    first = units.groupBy("comp_no").agg(F.min("no").alias("first"))
+    name = F.concat((F.col("no") - F.col("first") + 1).cast("string"), F.lit("_i"), F.col("comp_no").cast("string"))
+    units = materialize(join_small(units, first, "comp_no").select("comp_no", name.alias("id"), "seq"))
+    places = window_rows(units, k, "comp_no", "id").join(depth, "kmer", "left").fillna(0, ["freq"])
+    size = units.select("comp_no", "id", "seq", F.length("seq").alias("length"))
+    total = F.sum(F.col("freq") * F.when(F.col("place") == F.col("length") - k, k).otherwise(1)).cast("long").alias("coverage")
+    sums = places.join(size.select("comp_no", "id", "length"), ["comp_no", "id"]).groupBy("comp_no", "id").agg(total)
+    return size.join(sums, ["comp_no", "id"]).select("comp_no", "id", "seq", "length", "coverage"), links(units, k, "comp_no")
+
+
+def compared(contigs: DataFrame, component_kmers: DataFrame, alignments: DataFrame, k: int, key: str) -> DataFrame:
+    """(`key`, `pos`, `comp_no`, `depth`): for every k-mer of contigs (`key`, `seq`) its place from 0, the component that
+    holds it (0: none; of several the smallest) and how many alignments (`key`, `start`, `end`, places from 1) cover its last
+    letter."""
+    rows = window_rows(contigs, k, key)
+    own = component_kmers.where("kmer IS NOT NULL").groupBy("kmer").agg(F.min("comp_no").alias("comp_no"))
+    rows = rows.join(own, "kmer", "left").select(key, (F.col("place") + k).alias("pos"), F.coalesce("comp_no", F.lit(0)).alias("comp_no"))
+    rows = materialize(rows)
+    depth = position_coverage(rows, alignments, key)
+    return rows.join(depth, [key, "pos"]).select(key, (F.col("pos") - k).alias("pos"), "comp_no", "depth")
+
+
+def comparison(rows: DataFrame) -> DataFrame:
+    """One row of what `compared` gives: `both`, `only_reads`, `only_components`."""
+    there, read = F.col("comp_no") > 0, F.col("depth") > 0
+    return rows.agg(F.count_if(there & read).alias("both"), F.count_if(~there & read).alias("only_reads"), F.count_if(there & ~read).alias("only_components"))
+
+
+def leftward_walk(counts: DataFrame, fragment: str, k: int, bound: int, shift: int = 0, distance: int = 50) -> DataFrame:
+    """(`depth`, `n_kmers`, `freq`): k-mers found leftwards of a constant fragment, by depth, the start being depth 1.
+
+    `counts` (`kmer`, `freq`) has canonical codes. The fragment's k-mers but the first gain bound + 1, so that they pass;
+    the walk starts at the k-mer `shift` letters into the fragment and takes forward k-mers whose count is above `bound`,
+    down to depth `distance` + `shift`.
+    """
+    spark = counts.sparkSession
+    if len(fragment) < shift + k:
+        raise ValueError("the fragment is shorter than its start")
+    own = spark.createDataFrame([(fragment, i) for i in range(len(fragment) - k + 1)], "seq string, i int")
+    own = own.select("i", F.expr(f"substring(seq, i + 1, {k})").alias("w")).select("i", dna.encode("w").alias("fw"), dna.encode(dna.canonical("w")).alias("kmer"))
+    gain = own.where("i > 0").groupBy("kmer").agg(F.lit(bound + 1).cast("long").alias("freq"))
+    all_counts = counts.select("kmer", F.col("freq").cast("long").alias("freq")).unionByName(gain).groupBy("kmer").agg(F.least(F.sum("freq"), F.lit(dna.FREQ_MAX)).alias("freq"))
+    start = own.where(F.col("i") == shift).select(F.col("fw").alias("kmer"), F.col("kmer").alias("own"))
+    first = start.join(all_counts.withColumnRenamed("kmer", "own"), "own", "left").select("kmer", F.coalesce("freq", F.lit(0)).cast("long").alias("freq"))
+    have = all_counts.where(F.col("freq") > bound)
+    both = have.unionByName(have.select(dna.code_revcomp("kmer", k).alias("kmer"), "freq")).distinct()
+    both = both.join(first.select("kmer"), "kmer", "left_anti").unionByName(first)
+    rows = leftward_levels(both, first, k, distance + shift - 1)
+    return rows.select((F.col("depth") + 1).alias("depth"), "n_kmers", "freq")
+
+
 def leftward_levels(counts: DataFrame, seeds: DataFrame, k: int, depth: int) -> DataFrame:
     """(`depth`, `n_kmers`, `freq`): k-mers first reached by so many steps to the left of the seeds, and their frequencies.
 

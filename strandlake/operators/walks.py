@@ -15,36 +15,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import dna
-from strandlake.operators.graph import edges, labelled
+from strandlake.operators.graph import edges, flipped, labelled
 from strandlake.runtime import materialize, numbered
 
 
 class Strands:
-    """The k-mers of one component as an oriented graph over forward codes."""
+    """The k-mers of one component as an oriented graph over forward codes, worked out for all k-mers together."""
 
     def __init__(self, kmers, k: int):
-        self.k, self.mask, self.have = k, (1 << (2 * k)) - 1, set(kmers)
+        own = np.unique(np.array(list(kmers), np.int64))
+        other = flipped(own, k)
+        fw = np.concatenate([own, other])
+        self.have = set(own.tolist())
+        self.rc = dict(zip(fw.tolist(), np.concatenate([other, own]).tolist()))
+        self.low = dict(zip(fw.tolist(), np.concatenate([own, own]).tolist()))
+        self.ahead: dict[int, list[int]] = {x: [] for x in self.rc}
+        fw = np.unique(fw)
+        for letter in range(4):
+            after = ((fw << 2) & ((1 << (2 * k)) - 1)) | letter
+            there = np.isin(np.minimum(after, flipped(after, k)), own)
+            for x, y in zip(fw[there].tolist(), after[there].tolist()):
+                self.ahead[x].append(y)
 
     def flip(self, fw: int) -> int:
-        out = 0
-        for _ in range(self.k):
-            out, fw = (out << 2) | (3 - (fw & 3)), fw >> 2
-        return out
+        return self.rc[fw]
 
     def canonical(self, fw: int) -> int:
-        return min(fw, self.flip(fw))
+        return self.low[fw]
 
     def after(self, fw: int) -> list[int]:
         """Forward codes of the k-mers that follow on the right, by letter."""
-        every = (((fw << 2) & self.mask) | n for n in range(4))
-        return [x for x in every if self.canonical(x) in self.have]
+        return self.ahead[fw]
 
-    def run(self, fw: int, taken: set[int]) -> list[int]:
-        """The unbranched path from fw on (fw included), up to a fork, an end or a taken k-mer."""
+    def run(self, fw: int, taken: set[int], here: set[int] = frozenset()) -> list[int]:
+        """The unbranched path from fw on (fw included), up to a fork, an end or a k-mer that is taken or `here`."""
         path, own = [fw], {self.canonical(fw)}
         while len(ahead := self.after(path[-1])) == 1:
             c = self.canonical(ahead[0])
-            if c in taken or c in own:
+            if c in taken or c in own or c in here:
                 break
             own.add(c)
             path.append(ahead[0])
@@ -110,26 +118,32 @@ def grow(graph: Strands, pivots: list[int], depth: int) -> list[tuple[list[int],
 
 
 def linear(graph: Strands, own: list[int]) -> list[list[int]]:
-    """Unbranching components around a colour's k-mers: at a fork the branch whose run holds most of them goes on.
+    """Unbranching components around a colour's k-mers: at a fork the branch whose run holds most of them goes on; the walk
+    ends there if no branch holds any.
 
-    A k-mer joins one component only, so a cycle ends where it closes.
+    A k-mer of the colour joins one component only; others may join several, but each only once, so a cycle ends where it
+    closes.
     """
     special, taken, out = set(own), set(), []
     for start in sorted(special & graph.have):
         if start in taken:
             continue
-        members = [start]
+        members, here = [start], {start}
         taken.add(start)
         for end in (start, graph.flip(start)):
             while True:
-                ahead = [x for x in graph.after(end) if graph.canonical(x) not in taken]
+                ahead = [x for x in graph.after(end) if graph.canonical(x) not in taken and graph.canonical(x) not in here]
                 if not ahead:
                     break
-                runs = [graph.run(x, taken) for x in ahead]
-                path = max(runs, key=lambda p: sum(graph.canonical(x) in special for x in p))
+                runs = [graph.run(x, taken, here) for x in ahead]
+                held = [sum(graph.canonical(x) in special for x in p) for p in runs]
+                if len(runs) > 1 and not max(held):
+                    break
+                path = runs[held.index(max(held))]
                 fresh = [graph.canonical(x) for x in path]
                 members += fresh
-                taken.update(fresh)
+                here.update(fresh)
+                taken.update(special.intersection(fresh))
                 end = path[-1]
         out.append(members)
     return out

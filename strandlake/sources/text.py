@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +30,15 @@ def vector(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(sample.alias("sample"), F.posexplode(lines).alias("i", "v")).select("sample", (F.col("i") + 1).alias("comp_no"), F.col("v").cast("double").alias("value"))
 
 
-def write_vectors(features: DataFrame, folder: str, value: str = "value") -> None:
-    """One folder a sample with its values in the order of `comp_no`, a number a line."""
+def write_vectors(features: DataFrame, folder: str, value: str = "value", components: DataFrame | None = None) -> None:
+    """One folder a sample with its values in the order of `comp_no`, a number a line.
+
+    With `components` (`comp_no`) a sample has a line for each of them, 0 where it has no row; without, line i is component
+    i only if the features are dense.
+    """
+    if components is not None:
+        every = features.select("sample").distinct().crossJoin(components.select("comp_no").distinct())  # the dense table is the result
+        features = every.join(features.select("sample", "comp_no", value), ["sample", "comp_no"], "left").fillna(0, [value])
     rows = features.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("comp_no", F.col(value).alias("v")))).alias("v"))
     text = F.array_join(F.transform("v", lambda x: x["v"].cast("string")), "\n")
     rows.select("sample", text.alias("value")).write.partitionBy("sample").text(folder)
@@ -103,6 +113,26 @@ def heatmap_svg(names: list[str], dist: list[list[float]], merges=()) -> str:
     return "\n".join([*out, "</svg>"])
 
 
+def heatmap_png(dist: list[list[float]]) -> bytes:
+    """The cells of a heat map in the matrix's order as a PNG picture, without names."""
+    rgb = [[bytes.fromhex(shade(x)[1:]) for x in row] for row in dist]
+    lines = b"".join((b"\0" + b"".join(c * CELL for c in row)) * CELL for row in rgb)
+    size = struct.pack(">II", CELL * len(dist[0]) if dist else 0, CELL * len(dist))
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = chunk(b"IHDR", size + bytes([8, 2, 0, 0, 0]))
+    return b"\x89PNG\r\n\x1a\n" + head + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def ranks(spark: SparkSession, path: str) -> DataFrame:
+    """(`kmer`, `rank`) of a rank file: letters of a k-mer and a number a line, apart by blanks; other lines don't count."""
+    f = F.split(F.trim(F.col("value")), r"\s+")
+    rows = spark.read.text(path).where(F.size(f) >= 2).select(f[0].alias("w"), f[1].cast("double").alias("rank"))
+    return rows.where("w RLIKE '^[ACGT]+$' AND rank IS NOT NULL").select(dna.encode("w").alias("kmer"), "rank")
+
+
 def fasta_lines(sequences: DataFrame) -> DataFrame:
     """(`value`): header and sequence of unitigs, numbered in the order of their sequences."""
     rows = numbered(sequences, ["seq"], "no", 1)
