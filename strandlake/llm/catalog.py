@@ -187,19 +187,40 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p6(spark, sf_dir).select("origin", "kmer", F.col("count").alias("n"), "total")
 
 
-#: Documents of which the posterior says less are looked at by the exact check of p9_found only if their long runs vote.
-P9_LEAST = 0.01
+P9_ROWS = f"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+') AS tk FROM documents),
+t AS MATERIALIZED (SELECT doc_id, unnest(tk) AS tok, generate_subscripts(tk, 1) AS i FROM d),
+w AS (SELECT doc_id, i, concat_ws(' ', tok, {", ".join(f"lead(tok, {n}) OVER o" for n in range(1, 10))}) AS k, lead(tok, 9) OVER o AS last
+      FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+a AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS rn FROM w WHERE last IS NOT NULL),
+c AS (SELECT doc_id, count(DISTINCT p) AS repeated FROM a, unnest(range(i, i + 10)) y(p) WHERE rn > 1 GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_tokens, count(DISTINCT tok) AS n_types FROM t GROUP BY doc_id),
+m AS (SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(repeated, 0) AS repeated, coalesce(n_types, 0) AS n_types
+      FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id)
+"""
+#: Posterior from which on a document counts as repetitive, and the definition that an exact check goes by.
+P9_LEAST, P9_TRUE = 0.5, "n_tokens >= 50 AND 10 * repeated >= 3 * n_tokens"
 
 
-@query()
+@query(P9_ROWS + f"SELECT doc_id FROM m WHERE {P9_TRUE}")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of at least 50 tokens of which at least 0.3 lie in repeated runs of 10.
+    """Documents of at least 50 tokens of which at least 0.3 lie in repeated runs of 10: those that the rules' posterior
+    calls repetitive, then checked exactly."""
+    df = repetition.scored(table(spark, sf_dir, "documents"))
+    return df.where(F.col("p_repetitive") >= P9_LEAST).where(P9_TRUE).select("doc_id")
+
 
-    Those that the rules' posterior leaves possible or whose long runs vote for it, whatever the other rules say, then
-    checked exactly.
-    """
+@query(P9_ROWS + "SELECT * FROM m")
+def p9_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, repeated tokens and distinct tokens of every document."""
+    return repetition.measured(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "repeated", "n_types")
+
+
+@query()
+def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the posterior alone does against the definition: precision and recall."""
     df = repetition.scored(table(spark, sf_dir, "documents"))
-    return df.where(f"(vote_run10 = 2 OR p_repetitive >= {P9_LEAST}) AND n_tokens >= 50 AND 10 * repeated >= 3 * n_tokens").select("doc_id")
+    return repetition.quality(df, F.col("p_repetitive") >= P9_LEAST, F.expr(P9_TRUE))
 
 
 @query()
@@ -299,7 +320,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clusters(_p4(spark, sf_dir)).select("cluster_key", "sample")
 
 
-@query()
+@query(
+    P4_ROWS
+    + """, w AS (SELECT l.sample, cluster_key, 1 + count(DISTINCT bo.b) FILTER (WHERE bo.b <> bo.a) AS density FROM l JOIN bo ON bo.a = l.sample GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY density DESC, sample) AS rank FROM w)
+SELECT t.cluster_key, size, string_agg(sample, ',' ORDER BY rank) AS typical FROM t JOIN z ON z.cluster_key = t.cluster_key WHERE rank <= 3 GROUP BY 1, 2"""
+)
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same clusters with their sizes and most typical samples."""
     return clusters.described(_p4(spark, sf_dir))
@@ -317,24 +343,37 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_pack(spark, sf_dir))
 
 
-def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _p8(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     documents = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "source")
     targets = table(spark, sf_dir, "mix_targets")
-    return mixing.mixed(documents, targets), targets
+    total = documents.agg(F.sum("n_tokens")).first()[0] if whole else None
+    return mixing.mixed(documents, targets, total), targets, documents
 
 
 @query()
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents drawn, in the order of the schedule's slots."""
+    """The documents drawn, in the order of the schedule's slots; as many tokens as the scarcest source allows at its share."""
     return _p8(spark, sf_dir)[0]
 
 
 @query()
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached share of each source."""
+    """Target and reached share of each source, and what it has, sources without a target or documents included."""
     return mixing.shares(*_p8(spark, sf_dir))
 
 
+@query()
+def p8_mix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix as large as the whole corpus: scarce sources are repeated as often as they may be and then end."""
+    return _p8(spark, sf_dir, True)[0]
+
+
+@query()
+def p8_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that mix reaches."""
+    return mixing.shares(*_p8(spark, sf_dir, True))
+
+
 @query(
     P5_READS
     + """, d AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),

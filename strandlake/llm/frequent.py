@@ -128,7 +128,8 @@ def _recount(read: Reader, wanted: np.ndarray):
             at = np.minimum(np.searchsorted(wanted, items), len(wanted) - 1)
             hit = wanted[at] == items
             counts += np.bincount(at[hit], None if weights is None else weights[hit], len(wanted)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted), pa.array(counts)], ["item", "count"])
+        seen = counts > 0
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[seen]), pa.array(counts[seen])], ["item", "count"])
 
     return work
 

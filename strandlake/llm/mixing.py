@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlake.runtime import materialize
+
 #: Tokens of a block, the unit in which sources take turns.
 BLOCK = 4096
 #: Fraction of the golden ratio: multiples of it, modulo 1, spread as evenly as points can.
@@ -58,13 +60,32 @@ def slots(spark, sources: list[Source], count: int) -> DataFrame:
     )
 
 
+def upto(rows: DataFrame, limit: str, bits: int) -> DataFrame:
+    """`rows` in shuffled order, round by round, as long as a source's tokens stay within its `limit`: with `end`, the tokens
+    up to and with a document.
+
+    Order is that of a hash, so its top bits split a source into parts whose sums give each part's offset: no task sorts or
+    sums a whole source.
+    """
+    rows = rows.withColumn("part", F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long"))
+    keys = ["index", "round", "part"]
+    sums = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(W.partitionBy("index").orderBy("round", "part").rowsBetween(W.unboundedPreceding, -1))
+    firsts = sums.select(*keys, F.coalesce(before, F.lit(0)).alias("first"))
+    local = F.sum("n_tokens").over(W.partitionBy(*keys).orderBy("hash", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("local", local).join(firsts, keys).withColumn("end", F.col("local") + F.col("first"))
+    return rows.where(F.col("end") <= F.col(limit)).drop("part", "local", "first")
+
+
+#: How often what is missing is filled with documents that still fit.
+FILLED = 3
+
+
 def stream(documents: DataFrame, sources: list[Source], wanted: list[float], seed: int) -> DataFrame:
     """Every source's documents in shuffled order, again for each further round, until `wanted` tokens: with `block`.
 
-    A document belongs to the block in which its middle falls, and comes in if its middle lies below `wanted`. Order is
-    that of a hash, so its top bits split a source into parts whose sums give each part's offset: no task sorts or sums
-    a whole source. A document longer than a fiftieth of its source's `wanted` comes after the round's others, so that
-    the last document drawn misses the mark by a hundredth at most where others suffice.
+    The order breaks off before the first document that doesn't fit; what is missing then is filled FILLED times with the
+    next ones that do. A document belongs to the block in which its middle falls. Long documents stand anywhere in the order.
     """
     spark = documents.sparkSession
     plan = [(s.name, i, s.tokens, min(s.repeats, int(-(-w // s.tokens))), float(w)) for i, (s, w) in enumerate(zip(sources, wanted))]
@@ -73,16 +94,17 @@ def stream(documents: DataFrame, sources: list[Source], wanted: list[float], see
     rows = documents.where("n_tokens > 0").join(F.broadcast(goal), "source").where("rounds > 0")
     rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
     rows = rows.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "round"))
-    rows = rows.withColumn("part", F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long"))
-    rows = rows.withColumn("late", F.col("n_tokens") * 50 > F.col("wanted"))
-    keys = ["index", "round", "late", "part"]
-    sums = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(W.partitionBy("index").orderBy("round", "late", "part").rowsBetween(W.unboundedPreceding, -1))
-    firsts = sums.select(*keys, F.coalesce(before, F.lit(0)).alias("first"))
-    local = F.sum("n_tokens").over(W.partitionBy(*keys).orderBy("hash", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = rows.withColumn("end", local).join(firsts, keys)
-    middle = F.col("first") + F.col("end") - F.col("n_tokens") / 2
-    return rows.withColumn("middle", middle).where("middle < wanted").withColumn("block", F.floor(F.col("middle") / BLOCK))
+    rows = materialize(rows.select("source", "index", "doc_id", "n_tokens", "round", "hash", "wanted").withColumn("used", F.lit(0.0)))
+    drawn = None
+    for _ in range(1 + FILLED):
+        fit = rows.where(F.col("n_tokens") <= F.col("wanted") - F.col("used")).withColumn("left", F.col("wanted") - F.col("used"))
+        now = materialize(upto(fit, "left", bits).withColumn("middle", F.col("used") + F.col("end") - F.col("n_tokens") / 2))
+        drawn = now if drawn is None else drawn.unionByName(now)
+        # One row a source.
+        more = now.groupBy("index").agg(F.sum("n_tokens").alias("more"))
+        rows = rows.join(now.select("doc_id", "round", "index"), ["doc_id", "round", "index"], "left_anti")
+        rows = materialize(rows.join(F.broadcast(more), "index", "left").withColumn("used", F.col("used") + F.coalesce("more", F.lit(0))).drop("more"))
+    return drawn.withColumn("block", F.floor(F.col("middle") / BLOCK))
 
 
 def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 1) -> DataFrame:
@@ -102,23 +124,39 @@ def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, se
     # The points' discrepancy is logarithmic: so many slots more give every source a slot for each of its blocks.
     blocks = [int(-(-w // BLOCK)) for w in wanted]
     count = max(int((b + 8 + 2 * sum(blocks).bit_length()) / s.share) + 1 for s, b in zip(sources, blocks))
-    docs = stream(documents, sources, wanted, seed)
-    plan = slots(spark, sources, count)
+    docs = materialize(stream(documents, sources, wanted, seed).select("index", "block", "source", "doc_id", "round", "n_tokens"))
+    need = {r["index"]: r.n for r in docs.groupBy("index").agg((F.max("block") + 1).alias("n")).collect()}  # one row a source
+    while True:
+        plan = materialize(slots(spark, sources, count))
+        have = {r["index"]: r.n for r in plan.groupBy("index").agg(F.count("*").alias("n")).collect()}
+        if all(have.get(i, 0) >= n for i, n in need.items()):
+            break
+        count += count // 8 + 1  # else a document would fall between block and slot
     return docs.join(plan, ["index", "block"]).select("slot", "source", "doc_id", "round", "n_tokens")
 
 
-def shares(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source of the targets: its target, tokens, reached share and how often its most used document came."""
+def shares(rows: DataFrame, targets: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per source of the targets or documents: its target, the share wanted of it among the sources that can contribute, its
+    tokens (`available` once, `tokens` drawn), the reached share and how often its most used document came.
+
+    A source without a target, documents or repeats has no wanted share and isn't drawn.
+    """
     uses = rows.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("n"))
     used = uses.groupBy("source").agg(F.sum("n").alias("tokens"), F.max("uses").alias("most_uses"))
     total = used.agg(F.sum("tokens").alias("total"))
-    goal = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    out = goal.join(used, "source", "left").join(F.broadcast(total))
+    goal = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    have = documents.where("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens").alias("available"))
+    can = [(s.name, s.share) for s in sources_of(documents, targets)]
+    wanted = rows.sparkSession.createDataFrame(can, "source string, wanted_share double")
+    out = goal.join(have, "source", "full").join(wanted, "source", "left").join(used, "source", "left").join(F.broadcast(total))
+    zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         "source",
         "target_share",
+        F.round("wanted_share", 6).alias("wanted_share"),
         "max_repeats",
-        F.coalesce("tokens", F.lit(0)).alias("tokens"),
-        F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
+        zero("available").alias("available"),
+        zero("tokens").alias("tokens"),
+        zero("most_uses").alias("most_uses"),
         F.round(F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)), 6).alias("reached_share"),
     )

@@ -10,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.repetition import mix
+
 #: Identifiers that one range is to hold, counted over all sets.
 RANGE_ROWS = 1_000_000
+#: Tasks that merge ranges, unless the session asks for more.
+MOST_TASKS = 8192
 #: Input rows that are sorted into runs together.
 RUN_ROWS = 1 << 20
 #: Elements of a run that enter the merge at a time.
@@ -22,15 +26,6 @@ CHUNK, CODES = 1 << 16, 1 << 21
 HELD = 1 << 20
 
 
-def range_bounds(ids: DataFrame, ranges: int) -> list[int]:
-    """Upper bounds (exclusive) of `ranges` - 1 ranges of about equal row counts; fewer if identifiers repeat much."""
-    if ranges < 2:
-        return []
-    at = [i / ranges for i in range(1, ranges)]
-    row = ids.agg(F.percentile_approx("__id", [float(x) for x in at], 10 * ranges).alias("q")).first()
-    return sorted(set(row.q or []))
-
-
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at least `rows`, but for the last."""
     held: list[pa.RecordBatch] = []
@@ -45,25 +40,30 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _runs(bounds: np.ndarray):
-    """Of each million input rows: per range and set one sorted run of distinct identifiers."""
+def _runs(bits: int):
+    """Of each million input rows: per range and set one sorted run of distinct identifiers.
+
+    Identifiers are mixed first, which is one to one, so ranges of equal width hold about equally many, whatever the
+    identifiers are; a range is named by its top bits.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, RUN_ROWS):
             names = batch.column(0).dictionary_encode()
             sets = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
+            ids = mix(batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64))
             order = np.lexsort((ids, sets))
             sets, ids = sets[order], ids[order]
             new = np.ones(len(ids), bool)
             new[1:] = (sets[1:] != sets[:-1]) | (ids[1:] != ids[:-1])
             sets, ids = sets[new], ids[new]
-            part = np.searchsorted(bounds, ids, side="right")
+            part = (ids >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(ids), np.int64)
+            ids = (ids ^ np.uint64(1 << 63)).view(np.int64)  # in the same order with a sign
             cut = np.flatnonzero(np.r_[True, (sets[1:] != sets[:-1]) | (part[1:] != part[:-1])])
             ends = np.r_[cut[1:], len(ids)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(part[cut], pa.int32()),
+                    pa.array(part[cut], pa.int64()),
                     names.dictionary.take(pa.array(sets[cut])).cast(pa.string()),
                     pa.array([ids[a:b].astype("<i8").tobytes() for a, b in zip(cut, ends)], pa.binary()),
                 ],
@@ -136,8 +136,9 @@ class PairCounters:
         self.counts = np.bincount(back, counts, len(self.codes)).astype(np.int64)
         self.waiting, self.held = [], 0
 
-    def count(self, ids: np.ndarray, sets: np.ndarray) -> None:
-        """Add all pairs of sets, a set with itself included, of each identifier in a merged chunk."""
+    def count(self, ids: np.ndarray, sets: np.ndarray) -> Iterator[None]:
+        """Add all pairs of sets, a set with itself included, of each identifier in a merged chunk. Stops whenever HELD
+        counters have come together, so that the caller takes them out."""
         if not len(ids):
             return
         start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
@@ -154,6 +155,8 @@ class PairCounters:
                 for i in range(g - 1):
                     codes = part[:, i : i + 1] * self.sets + part[:, i + 1 :]
                     self.add(codes.ravel(), np.repeat(weight, codes.shape[1]))
+                    if len(self.codes) >= HELD:
+                        yield
 
     def rows(self, names: list[str]) -> pa.RecordBatch:
         self.settle()
@@ -177,8 +180,7 @@ def _count_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         place = {n: i for i, n in enumerate(names)}
         counters = PairCounters(len(names))
         for ids, sets in merged([(place[n], np.frombuffer(r, "<i8")) for n, r in found]):
-            counters.count(ids, sets)
-            if len(counters.codes) >= HELD:
+            for _ in counters.count(ids, sets):
                 yield counters.rows(names)
         yield counters.rows(names)
 
@@ -206,10 +208,12 @@ def overlap_counters(sets: DataFrame, name: str, identifier: str) -> DataFrame:
     rows = sets.select(F.col(name).alias("__name"), F.col(identifier).cast("long").alias("__id")).where(
         "__name IS NOT NULL AND __id IS NOT NULL"
     )
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
-    bounds = np.array(range_bounds(rows, ranges), np.int64)
-    runs = rows.mapInArrow(_runs(bounds), "part int, name string, run binary")
-    parts = runs.repartition(ranges, "part").sortWithinPartitions("part")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = (max(least, -(-rows.count() // RANGE_ROWS)) - 1).bit_length()
+    # Many ranges go through one task, one after another, where there are more than tasks may be.
+    tasks = min(1 << bits, max(least, MOST_TASKS))
+    runs = rows.mapInArrow(_runs(bits), "part long, name string, run binary")
+    parts = runs.repartitionById(tasks, F.expr(f"cast(part * {tasks} DIV {1 << bits} AS INT)")).sortWithinPartitions("part")
     return parts.mapInArrow(_count_ranges, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 

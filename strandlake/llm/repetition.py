@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.windows import flat
@@ -166,12 +166,18 @@ def votes(df: DataFrame) -> DataFrame:
     return df.withColumns(said)
 
 
-def posterior(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
+#: Log-odds that a vote of the trusted rule has at least, and any other rule's vote at most.
+TRUST, DOUBT = 25.0, 2.0
+
+
+def posterior(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, trusted: int | None = None) -> np.ndarray:
     """Probability that a document with each vote pattern is repetitive.
 
     Expectation-maximisation over two hidden kinds of document: each rule has its own probabilities of voting 2, 1 or 0
     for either kind, estimated from how the rules agree, with one pseudo-document for each vote. Starts at the
-    majority; a pattern in which all abstain keeps the prior.
+    majority; a pattern in which all abstain keeps the prior. With a `trusted` rule (its number), one that states what is
+    looked for, the model knows its accuracy beforehand: its votes have log-odds of TRUST at least, the others' of DOUBT at
+    most, so that no corpus makes the others outweigh it.
     """
     if not len(patterns):
         return np.empty(0)
@@ -188,6 +194,8 @@ def posterior(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np
                 w = np.array([weight[patterns[:, j] == v].sum() + 1 for v in (1, 2)])
                 share.append(w / w.sum())
             ratio = np.log(share[0] / share[1])
+            if trusted is not None:
+                ratio = np.array([min(ratio[0], -TRUST), max(ratio[1], TRUST)]) if j == trusted else np.clip(ratio, -DOUBT, DOUBT)
             score += np.where(patterns[:, j] == 2, ratio[1], np.where(patterns[:, j] == 1, ratio[0], 0))
         new = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
         if np.abs(new - p).max() < 1e-9:
@@ -206,7 +214,14 @@ def scored(documents: DataFrame) -> DataFrame:
     names = [f"vote_{r}" for r in RULES]
     seen = df.groupBy(*names).count().collect()
     patterns = np.array([r[:-1] for r in seen], np.int64).reshape(-1, len(names))
-    p = posterior(patterns, np.array([r[-1] for r in seen], np.int64))
+    p = posterior(patterns, np.array([r[-1] for r in seen], np.int64), trusted=list(RULES).index("run10"))
     rows = [(*map(int, pattern), float(x)) for pattern, x in zip(patterns, p)]
     known = df.sparkSession.createDataFrame(rows, ", ".join(f"{n} int" for n in names) + ", p_repetitive double")
     return df.join(F.broadcast(known), names)
+
+
+def quality(rows: DataFrame, found: Column, true: Column) -> DataFrame:
+    """One row: how many rows are `found` and `true`, both, precision and recall (null where nothing is found or true)."""
+    out = rows.agg(F.count_if(found).alias("n_found"), F.count_if(true).alias("n_true"), F.count_if(found & true).alias("n_both"))
+    share = lambda n: F.when(F.col(n) > 0, F.col("n_both") / F.col(n))
+    return out.withColumns({"precision": share("n_found"), "recall": share("n_true")})

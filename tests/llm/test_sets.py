@@ -39,7 +39,8 @@ def test_merge_and_counters_in_small_blocks(monkeypatch):
     counters, seen = overlap.PairCounters(len(sets)), []
     for ids, own in overlap.merged(runs):
         seen += list(zip(ids.tolist(), own.tolist()))
-        counters.count(ids, own)
+        for _ in counters.count(ids, own):
+            pass
     assert seen == sorted({(x, i) for i, s in enumerate(sets) for x in s})
     counters.settle()
     got = dict(zip(counters.codes.tolist(), counters.counts.tolist()))
@@ -137,3 +138,29 @@ def test_summaries_keep_their_promise():
         assert c - e <= true[x] <= c
     have = set(out.items.tolist())
     assert all(n <= out.floor for x, n in true.items() if x not in have)
+
+
+def test_counters_are_handed_on_inside_a_chunk(monkeypatch):
+    """Identifiers that very many sets have: counters leave as soon as so many have come together."""
+    monkeypatch.setattr(overlap, "CODES", 1000)
+    monkeypatch.setattr(overlap, "HELD", 500)
+    sets = np.tile(np.arange(80), 3)
+    ids = np.repeat(np.arange(3), 80)
+    ids[80:] = np.repeat([1, 2], 80)
+    counters, total, most = overlap.PairCounters(80), {}, 0
+    names = [f"s{i:02d}" for i in range(80)]
+    for _ in counters.count(ids, sets):
+        most = max(most, len(counters.codes))
+        for r in counters.rows(names).to_pylist():
+            total[r["a"], r["b"]] = total.get((r["a"], r["b"]), 0) + r["n"]
+    for r in counters.rows(names).to_pylist():
+        total[r["a"], r["b"]] = total.get((r["a"], r["b"]), 0) + r["n"]
+    assert 500 <= most < 3000 and set(total.values()) == {3} and len(total) == 80 * 81 // 2
+
+
+def test_groups_are_a_parameter(spark):
+    df = spark.createDataFrame([("d", g, i) for g in ("x", "y") for i in range(10 if g == "x" else 5)], "day string, color string, id long")
+    got = {r.colors: (r.n_ids, r.n_rows) for r in distinct.counts(distinct.state(df, "day", "color", ["id"], groups=("x", "y")), groups=("x", "y")).collect()}
+    assert got == {"x": (10, 10), "y": (5, 5), "x+y": (10, 15)}
+    with pytest.raises(Exception, match="a group that is not counted"):
+        distinct.state(df, "day", "color", ["id"], groups=("x",)).collect()

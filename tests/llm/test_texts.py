@@ -262,8 +262,18 @@ def test_true_cases_are_found_whatever_the_other_rules_say(spark, tmp_path):
     rows = [(i, plain if i % 2 else same) for i in range(4000)] + [(9999, case)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     score = {r.doc_id: r for r in catalog.p9_scores(spark, str(tmp_path)).where("doc_id IN (0, 1, 9999)").collect()}
-    assert score[9999].p_repetitive < catalog.P9_LEAST and repeated(case, 10)[1] >= 0.3 * repeated(case, 10)[0]
+    assert score[9999].p_repetitive >= catalog.P9_LEAST and repeated(case, 10)[1] >= 0.3 * repeated(case, 10)[0]
     assert {r.doc_id for r in catalog.p9_found(spark, str(tmp_path)).collect()} == {9999, *range(0, 4000, 2)}
+    quality = catalog.p9_quality(spark, str(tmp_path)).first()
+    assert quality.recall == 1 and quality.precision == 1 and quality.n_true == 2001
+
+
+def test_the_trusted_rule_is_never_outweighed():
+    rng = np.random.default_rng(1)
+    patterns = np.array([[2, 1, 1, 1, 1, 1], [1, 2, 2, 2, 2, 2], [0, 2, 2, 2, 2, 2], [0, 1, 1, 1, 1, 1], [1, 1, 1, 1, 1, 1], [2, 2, 2, 2, 2, 2]])
+    for _ in range(50):
+        p = repetition.posterior(patterns, rng.integers(1, 10**rng.integers(1, 9), 6), trusted=0)
+        assert p[0] > 0.5 and p[1] < 0.5 and p[5] > 0.5 and p[4] < 0.5
 
 
 def documents(spark, sizes, sources=("a",)):
@@ -326,9 +336,9 @@ def test_mixing(spark, monkeypatch):
     rows = [("a", 0.4, 1), ("b", 0.3, 3), ("c", 0.2, 2), ("e", 0.1, 2), ("b", 0.3, 3), ("d", 0.0, 5), (None, 0.1, 1)]
     targets = spark.createDataFrame(rows, "source string, target_share double, max_repeats int")
     mix = mixing.mixed(docs, targets)
-    got = {r.source: r for r in mixing.shares(mix, targets.where("source IS NOT NULL")).collect()}
+    got = {r.source: r for r in mixing.shares(mix, targets, docs).collect()}
     for s, want in (("a", 4 / 9), ("b", 3 / 9), ("c", 2 / 9)):
-        assert abs(got[s].reached_share - want) < 0.01 and 0 < got[s].most_uses <= got[s].max_repeats
+        assert abs(got[s].reached_share - want) < 0.001 and 0 < got[s].most_uses <= got[s].max_repeats
     assert got["e"].tokens == got["d"].tokens == 0
     drawn = mix.collect()
     assert len({(r.doc_id, r.round) for r in drawn}) == len(drawn) and all(r.n_tokens == sizes[r.doc_id] for r in drawn)
@@ -338,9 +348,10 @@ def test_mixing(spark, monkeypatch):
     for i in range(10):
         assert {r.source for r in drawn if i * last <= 10 * r.slot < (i + 1) * last} == {"a", "b", "c"}
     more = mixing.mixed(docs, targets, total=10**9)
-    full = {r.source: r for r in mixing.shares(more, targets.where("source IS NOT NULL")).collect()}
+    full = {r.source: r for r in mixing.shares(more, targets, docs).collect()}
     assert {s: full[s].most_uses for s in "abc"} == {"a": 1, "b": 3, "c": 2}
     assert full["b"].tokens == 3 * sum(n for i, n in enumerate(sizes) if i % 8 == 1)
+    assert got["e"].wanted_share is None and got["d"].available > 0 and got["d"].tokens == 0
     assert mixing.mixed(docs.limit(0), targets).isEmpty() and mixing.mixed(docs, targets.limit(0)).isEmpty()
 
 
