@@ -79,3 +79,22 @@ def test_ward_linkage_adds_least_variance():
         assert {m.left, m.right} == set(pair) and m.height == pytest.approx(costs[pair])
         members[12 + step] = members.pop(m.left) + members.pop(m.right)
     assert sorted(order) == list(range(12))
+
+
+def test_distances_in_blocks(spark, monkeypatch):
+    """The same distances whatever the blocks; each pair once, in the order of the names."""
+    import random
+
+    random.seed(3)
+    vecs = {f"s{i:02d}": {c: random.randint(1, 50) for c in random.sample(range(30), 12)} for i in range(23)}
+    rows = [(s, c, v) for s, own in vecs.items() for c, v in own.items()]
+    df = spark.createDataFrame(rows, "sample string, comp_no int, value long")
+    for block in (4, 256):
+        monkeypatch.setattr(V, "BLOCK", block)
+        got = {(r.sample_i, r.sample_j): r.dist for r in V.bray_curtis(df).collect()}
+        assert len(got) == 23 * 22 // 2
+        for (i, j), d in got.items():
+            a, b = vecs[i], vecs[j]
+            both = sum(a.values()) + sum(b.values())
+            assert i < j and abs(d - (both - 2 * sum(min(v, b[c]) for c, v in a.items() if c in b)) / both) < 1e-12
+    assert V.bray_curtis(df.limit(0)).isEmpty()

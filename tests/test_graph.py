@@ -168,3 +168,95 @@ def test_sequence_components(spark):
     assert [(x.name, x.size, x.weight) for x in r] == [("a", len(set(M.kmers("ACACACA", 3))), 5)]
     assert r[0].kmers == sorted(M.encode(x) for x in set(M.kmers("ACACACA", 3)))
     assert dna.FREQ_MAX == 32767
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, limit):
+    """Star rounds (no edge is few enough for one task) give the same labels as one task."""
+    monkeypatch.setattr(G, "ONE_TASK", limit)
+    random.seed(4)
+    pairs = [(i, i + 1) for i in range(0, 300)] + [(1000 + random.randrange(200), 1000 + random.randrange(200)) for _ in range(150)] + [(7, 7)]
+    own = {}
+    def find(x):
+        while own.setdefault(x, x) != x:
+            x = own[x]
+        return x
+    for a, b in pairs:
+        if a != b:
+            x, y = find(a), find(b)
+            own[max(x, y)] = min(x, y)
+    got = {r.node: r.label for r in G.connected(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {x: find(x) for x in list(own)}
+
+
+def test_unitigs_with_hot_words_and_small_chunks(spark, monkeypatch):
+    """Joints of words that very many share have places of their own; chunks end between places."""
+    monkeypatch.setattr(G, "HOT_SAMPLE", 0.999)
+    monkeypatch.setattr(G, "HOT_SEEN", 3)
+    counts = mixed(11)
+    rows = G.unitigs(table(spark, counts), 11).collect()
+    assert {(min(r.seq, M.rc(r.seq)), r.av_weight, r.min_weight, r.max_weight) for r in rows} == M.unitigs(counts)
+    assert all(r.sum_weight // r.kmers == r.av_weight for r in rows)
+
+
+def test_linear_walks_stop_where_no_branch_has_the_colour():
+    k, text = 15, genome(60, 21)
+    other = text[:20] + genome(20, 22)
+    have = {M.encode(x) for t in (text, other) for x in M.kmers(t, k)}
+    graph = walks.Strands(have, k)
+    own = [M.encode(M.canon(text[i : i + k])) for i in (0, 2)]
+    (found,) = walks.linear(graph, own)
+    assert set(own) <= set(found) and not set(found) & {M.encode(x) for x in M.kmers(text[20:], k)}
+    # With the colour behind the fork the walk goes on that way, and neutral k-mers may be used by other walks.
+    more = own + [M.encode(M.canon(text[30 : 30 + k]))]
+    (found,) = walks.linear(graph, more)
+    assert set(more) <= set(found)
+
+
+def test_component_graph_and_comparison(spark):
+    k, g = 5, genome(60, 31)
+    comps = {1: M.kmers(g[:30], k), 2: M.kmers(g[30:], k)}
+    rows = [(c, i, M.encode(x)) for c, own in comps.items() for i, x in enumerate(own)] + [(1, 99, None), (None, 1, 5)]
+    kmers = spark.createDataFrame(rows, "comp_no int, pos int, kmer long")
+    counts = spark.createDataFrame([(s, M.encode(x), n) for s, n in (("a", 2), ("b", 3)) for x in set(comps[1])], "sample string, kmer long, freq int")
+    by = {}
+    for mode in ("samples", "freq", "one"):
+        segments, links = G.component_graph(kmers, k, counts, mode)
+        by[mode] = {r.id: (r.seq, r.coverage) for r in segments.collect()}
+    assert by["samples"].keys() == by["one"].keys() and all(x.endswith(("_i1", "_i2")) for x in by["one"])
+    for name, (seq, cover) in by["one"].items():
+        assert cover == len(seq)
+        assert by["samples"][name][1] >= (2 * len(seq) if name.endswith("_i1") else 0)
+        assert by["freq"][name][1] >= (5 * len(seq) if name.endswith("_i1") else 0)
+    contigs = spark.createDataFrame([("c", g)], "contig string, seq string")
+    al = spark.createDataFrame([("c", 1, 20), ("c", 10, 40)], "contig string, start int, end int")
+    out = G.compared(contigs, kmers, al, k, "contig")
+    got = {r.pos: (r.comp_no, r.depth) for r in out.collect()}
+    for p in range(len(g) - k + 1):
+        x = M.canon(g[p : p + k])
+        held = [c for c, own in comps.items() if x in own]
+        assert got[p] == (min(held, default=0), sum(a <= p + k <= b for a, b in ((1, 20), (10, 40))))
+    r = G.comparison(out).first()
+    assert r.both + r.only_reads + r.only_components == sum(c > 0 or d > 0 for c, d in got.values())
+
+
+def test_walk_from_a_fragment(spark):
+    k, g = 5, genome(50, 41)
+    fragment = g[20:40]
+    counts = {}
+    for x in M.kmers(g, k):
+        counts[x] = counts.get(x, 0) + 2
+    df = spark.createDataFrame([(M.encode(x), n) for x, n in counts.items()], "kmer long, freq long")
+    got = {r.depth: (r.n_kmers, r.freq) for r in G.leftward_walk(df, fragment, k, 1, 3, 10).collect()}
+    have = dict(counts)
+    for x in {M.canon(fragment[i : i + k]) for i in range(1, len(fragment) - k + 1)}:
+        have[x] = have.get(x, 0) + 2
+    level, seen, want, depth = {fragment[3 : 3 + k]}, {fragment[3 : 3 + k]}, {}, 1
+    while level and depth <= 13:
+        want[depth] = (len(level), sum(have.get(M.canon(x), 0) for x in level))
+        level = {c + x[:-1] for x in level for c in "ACGT" if have.get(M.canon(c + x[:-1]), 0) > 1} - seen
+        seen |= level
+        depth += 1
+    assert got == want
+    with pytest.raises(ValueError):
+        G.leftward_walk(df, "ACGT", k, 1)

@@ -111,3 +111,21 @@ def test_kmer_view_keeps_the_most_abundant(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/kmer_counts.parquet")
     got = sorted(int(r.value.split("\t")[1]) for r in catalog.kmer_view(spark, str(tmp_path)).collect())
     assert got == [3, 32_767, 35_000]
+
+
+def test_png_ranks_and_dense_vectors(spark, tmp_path):
+    import struct
+    import zlib
+
+    png = text.heatmap_png([[0.0, 1.0], [0.5, 0.0]])
+    assert png[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", png[16:24]) == (2 * text.CELL, 2 * text.CELL)
+    at = png.index(b"IDAT")
+    raw = zlib.decompress(png[at + 4 : at + 4 + struct.unpack(">I", png[at - 4 : at])[0]])
+    assert len(raw) == 2 * text.CELL * (1 + 6 * text.CELL) and raw[1:4] == b"\xff\xff\xff" and raw[1 + 3 * text.CELL :][:3] == bytes(text.DARK)
+    (tmp_path / "ranks").write_text("ACGT 3\n\nTTTT\t0\nxx 1\n")
+    assert sorted(tuple(r) for r in text.ranks(spark, str(tmp_path / "ranks")).collect()) == [(27, 3.0), (255, 0.0)]
+    df = spark.createDataFrame([("a", 3, 7), ("b", 1, 5)], "sample string, comp_no int, value long")
+    comps = spark.createDataFrame([(1,), (2,), (3,)], "comp_no int")
+    text.write_vectors(df, str(tmp_path / "v"), components=comps)
+    read = lambda s: [x for p in (tmp_path / "v" / f"sample={s}").glob("*.txt") for x in p.read_text().split()]
+    assert (read("a"), read("b")) == (["0", "0", "7"], ["5", "0", "0"])
