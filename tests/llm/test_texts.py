@@ -281,50 +281,59 @@ def documents(spark, sizes, sources=("a",)):
     return spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
 
 
-@pytest.mark.parametrize("seed,capacity,ranked", [(1, 100, 5), (2, 7, 100_000), (3, 2048, 50)])
-def test_packing(spark, monkeypatch, seed, capacity, ranked):
-    monkeypatch.setattr(packing, "RANKED", ranked)
+@pytest.mark.parametrize("seed,capacity,part", [(1, 100, 170), (2, 7, 1 << 20), (3, 2048, 1 << 20), (4, 1 << 20, 1 << 20)])
+def test_packing(spark, monkeypatch, seed, capacity, part):
+    """In rounds over many parts, and in one: nothing lost, cut or overfull, and few places left."""
+    monkeypatch.setattr(packing, "PART_ROWS", part)
     random.seed(seed)
-    sizes = [random.choice([0, 1, 1, 2, random.randint(1, capacity), random.randint(1, 3 * capacity), capacity]) for _ in range(400)]
-    rows = packing.packed(documents(spark, sizes), capacity).collect()
-    parts, load = {}, Counter()
-    for r in rows:
-        parts.setdefault(r.doc_id, []).append((r.piece, r.start, r.n_tokens))
-        load[r.container] += r.n_tokens
+    sizes = [random.choice([0, capacity, 3 * capacity + 1, random.randint(1, max(2, capacity // 3)), random.randint(1, capacity)]) for _ in range(400)]
+    sizes += [capacity // 3 + 1] * 60 + [1] * 80
+    rows = packing.packed(documents(spark, sizes), capacity)
+    got = rows.collect()
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.n_tokens))
     for i, n in enumerate(sizes):
-        own = sorted(parts.get(i, []))
-        assert sum(x[2] for x in own) == n and [x[1] for x in own] == [capacity * p for p in range(len(own))]
-        assert len(own) == max(1, -(-n // capacity)) if n else not own
-    assert max(load.values()) <= capacity and sorted(load) == list(range(len(load)))
-    assert len(load) <= 1.03 * -(-sum(sizes) // capacity) + 1
+        want = [(k, k * capacity, min(capacity, n - k * capacity)) for k in range(-(-n // capacity))]
+        assert sorted(pieces.get(i, [])) == want
+    used = Counter()
+    for r in got:
+        used[r.container] += r.n_tokens
+    assert max(used.values()) <= capacity and sorted(used) == list(range(len(used)))
+    info = packing.fill(rows, capacity).first()
+    assert (info.containers, info.tokens, info.fullest) == (len(used), sum(sizes), max(used.values()))
+    assert info.containers <= 1.02 * info.least_containers + 2
     assert packing.packed(documents(spark, [0, 0]), capacity).isEmpty()
 
 
-def plain_best_fit(sizes, capacity):
-    gaps = []
-    for s in sorted(sizes, reverse=True):
-        fit = [g for g in gaps if g >= s]
-        if fit:
-            gaps.remove(min(fit))
-            gaps.append(min(fit) - s)
-        else:
-            gaps.append(capacity - s)
-    return len(gaps)
-
-
-@pytest.mark.parametrize("seed", range(6))
-def test_bulk_best_fit_equals_best_fit_decreasing(seed):
-    random.seed(seed)
-    capacity = random.choice([10, 50, 97])
-    sizes = [random.randint(1, capacity) for _ in range(random.randint(0, 300))]
-    placed, used = packing.best_fit(Counter(sizes), capacity)
-    load, items = Counter(), Counter()
-    for size, first, n, start in placed.tolist():
-        for i in range(n):
-            load[start + i] += size
-            items[size, first + i] += 1
-    assert set(items) == {(s, r) for s, n in Counter(sizes).items() for r in range(n)} and set(items.values()) <= {1}
-    assert used == len(load) == plain_best_fit(sizes, capacity) and max(load.values(), default=0) <= capacity
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_sweeps_of_parts_equal_one_sweep(parts):
+    """Brackets matched part by part with carries are those of a stack."""
+    rng = np.random.default_rng(parts)
+    for _ in range(50):
+        n = int(rng.integers(1, 60))
+        value, kind, ident = rng.integers(1, 30, n), rng.integers(0, 2, n), rng.permutation(n)
+        order = np.lexsort((ident, kind, -value))
+        stack, want = [], set()
+        for i in order:
+            if kind[i] == 0:
+                stack.append(i)
+            elif stack:
+                want.add((int(stack.pop()), int(i)))
+        got, left, rest = set(), [], {}
+        for p, own in enumerate(np.array_split(order, parts)):
+            _, g, i = packing.sweep(value[own], kind[own], ident[own])
+            got |= set(zip(own[g].tolist(), own[i].tolist()))
+            free = [x for x in own.tolist() if x not in set(own[g].tolist()) | set(own[i].tolist())]
+            rest[p] = {k: [x for x in free if kind[x] == k] for k in (0, 1)}
+            left.append((p, len(rest[p][1]), len(rest[p][0])))
+        named = {}
+        for p, k, lo, hi, number, way in packing.carried(left):
+            for r in range(lo, hi):
+                m = number + r - lo if way == 1 else number + hi - 1 - r
+                named.setdefault(m, {})[k] = rest[p][k][r]
+        got |= {(m[0], m[1]) for m in named.values()}
+        assert got == want
 
 
 def test_mixing(spark, monkeypatch):
