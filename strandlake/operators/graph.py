@@ -414,14 +414,58 @@ def pieces(counts: DataFrame, k: int, *keys: str) -> DataFrame:
     return rows.mapInArrow(_pieces(list(keys), k), named + "head long, open boolean, next long, tail long, letters string, mass long, least long, most long")
 
 
+def _ranked(keys: list[str]):
+    """Of all pieces (keys, piece, next): the first piece of each one's path and how many lie before it; none for cycles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        n, group = table.num_rows, np.zeros(table.num_rows, np.int64)
+        for c in keys:
+            code = table[c].combine_chunks().dictionary_encode()
+            group = group * (len(code.dictionary) + 1) + code.indices.fill_null(len(code.dictionary)).to_numpy(zero_copy_only=False)
+        piece, to = table["piece"].to_numpy(), table["next"].combine_chunks()
+        source = np.flatnonzero(to.is_valid().to_numpy(zero_copy_only=False))
+        wanted = to.drop_null().to_numpy() * 2 + 1
+        # The pieces that are wanted, found by sorting both kinds together.
+        owner, name = np.r_[group, group[source]], np.r_[piece, wanted]
+        kind, row = np.r_[np.zeros(n, np.int8), np.ones(len(source), np.int8)], np.r_[np.arange(n), source]
+        sort = np.lexsort((kind, name, owner))
+        owner, name, kind, row = owner[sort], name[sort], kind[sort], row[sort]
+        hit = np.flatnonzero((kind[1:] == 1) & (kind[:-1] == 0) & (name[1:] == name[:-1]) & (owner[1:] == owner[:-1]))
+        before = np.full(n, -1, np.int64)
+        before[row[hit]] = row[hit + 1]
+        at, place = np.where(before < 0, np.arange(n), before), (before >= 0).astype(np.int64)
+        while True:
+            ahead = at[at]
+            moved = ahead != at
+            if not moved.any() or place.max() > 2 * n:
+                break
+            place = place + np.where(moved, place[at], 0)
+            at = ahead
+        fine = np.flatnonzero(before[at] < 0)
+        columns = [table[c].combine_chunks().take(pa.array(fine)) for c in keys]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(piece[fine]), pa.array(piece[at[fine]]), pa.array(place[fine])], [*keys, "piece", "first", "place"])
+
+    return work
+
+
 def chains(parts: DataFrame, *keys: str) -> DataFrame:
     """`parts` with `start` (the head of the first piece of its path) and `place` (pieces before it).
 
     Pointer doubling on predecessors: each round joins only the pieces whose pointer doesn't end at a start yet, the
-    logarithm of the longest path in rounds. Pieces of pure cycles, which no start leads to, are left out.
+    logarithm of the longest path in rounds. Up to ONE_TASK pieces are ranked by one task, which sees no letters. Pieces of
+    pure cycles, which no start leads to, are left out.
     """
     # A start and an open piece may have the same first k-mer.
     parts = parts.withColumn("piece", F.col("head") * 2 + F.col("open").cast("long"))
+    if parts.count() <= ONE_TASK:
+        kinds = dict(parts.dtypes)
+        schema = "".join(f"`{c}` {kinds[c]}, " for c in keys) + "piece long, first long, place long"
+        ends = materialize(parts.select(*keys, "piece", "next").coalesce(1).mapInArrow(_ranked(list(keys)), schema))
+        return _placed_pieces(parts, ends, keys)
     links = parts.where("next IS NOT NULL").select(*keys, (F.col("next") * 2 + 1).alias("piece"), F.col("piece").alias("before"))
     now = materialize(
         parts.select(*keys, "piece", "open").join(links, [*keys, "piece"], "left").select(
@@ -441,8 +485,18 @@ def chains(parts: DataFrame, *keys: str) -> DataFrame:
         open_before, left = left, now.where("NOT done").count()
         if left == open_before:
             break
-    ends = now.where("done").select(*keys, "piece", F.col("at").alias("first"), "place")
-    return parts.join(ends, [*keys, "piece"]).withColumn("start", F.shiftright("first", 1))
+    return _placed_pieces(parts, now.where("done").select(*keys, "piece", F.col("at").alias("first"), "place"), keys)
+
+
+def _placed_pieces(parts: DataFrame, ends: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Null keys are groups of their own, so they meet as equal."""
+    if not keys:
+        return parts.join(ends, "piece").withColumn("start", F.shiftright("first", 1))
+    one, two = parts.alias("p"), ends.alias("e")
+    same = F.col("p.piece") == F.col("e.piece")
+    for c in keys:
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}"))
+    return one.join(two, same).select("p.*", "e.first", "e.place").withColumn("start", F.shiftright("first", 1))
 
 
 def unitigs(counts: DataFrame, k: int, min_length: int = 0, *keys: str) -> DataFrame:

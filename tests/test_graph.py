@@ -44,8 +44,10 @@ def test_edges_and_components(spark, k):
     assert all(M.decode(label, k) == min(own) for label, own in got.items())
 
 
-@pytest.mark.parametrize("k", [7, 8, 11, 21])
-def test_unitigs(spark, k):
+@pytest.mark.parametrize("k,limit", [(7, 1 << 20), (8, 0), (11, 1 << 20), (21, 0)])
+def test_unitigs(spark, monkeypatch, k, limit):
+    """With pieces ranked by one task, and by rounds of joins."""
+    monkeypatch.setattr(G, "ONE_TASK", limit)
     counts = mixed(k)
     rows = G.unitigs(table(spark, counts), k).collect()
     got = {(min(r.seq, M.rc(r.seq)), r.av_weight, r.min_weight, r.max_weight) for r in rows}
