@@ -68,6 +68,27 @@ class Symbols:
     high: np.ndarray
 
 
+def _runs(values: np.ndarray, part: np.ndarray, name: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Runs of symbols of one name: name, first token, dependence, number of symbols."""
+    n = len(name)
+    own = part[at]
+    edge = np.ones(n + 1, bool)  # between the parts
+    edge[1:-1] = own[1:] != own[:-1]
+    head = edge[:-1].copy()
+    head[1:] |= name[1:] != name[:-1]
+    start = np.flatnonzero(head)
+    tail = np.r_[start[1:], n] - 1
+    end = np.r_[at[1:], len(values)]
+    # A run ends where another name follows. That it is another shows in the first token if this differs from the
+    # run's, else only in all on which that name depends; likewise before the run.
+    last, first = np.minimum(tail + 1, n - 1), np.maximum(start - 1, 0)
+    seen = np.where(values[at[last]] != values[at[start]], end[tail] + 1, high[last])
+    new_high = np.maximum(high[tail], np.where(edge[tail + 1], end[tail] + 1, seen))
+    seen = np.where(values[end[first] - 1] != values[end[tail] - 1], at[start] - 1, low[first])
+    new_low = np.minimum(low[start], np.where(edge[start], at[start] - 1, seen))
+    return name[start], at[start], new_low, new_high, tail - start + 1
+
+
 def recompress(values: np.ndarray, part: np.ndarray, rounds: int, frozen: int) -> Symbols:
     """The symbols of all parts after `rounds` rounds.
 
@@ -80,25 +101,16 @@ def recompress(values: np.ndarray, part: np.ndarray, rounds: int, frozen: int) -
         n = len(name)
         if not n:
             break
-        own = part[at]
-        edge = np.ones(n + 1, bool)  # between the parts
-        edge[1:-1] = own[1:] != own[:-1]
-        head = edge[:-1].copy()
-        head[1:] |= name[1:] != name[:-1]
-        start = np.flatnonzero(head)
-        tail = np.r_[start[1:], n] - 1
-        end = np.r_[at[1:], len(values)]
-        # A run ends where another name follows. That it is another shows in the first token if this differs from the
-        # run's, else only in all on which that name depends; likewise before the run.
-        last, first = np.minimum(tail + 1, n - 1), np.maximum(start - 1, 0)
-        seen = np.where(values[at[last]] != values[at[start]], end[tail] + 1, high[last])
-        new_high = np.maximum(high[tail], np.where(edge[tail + 1], end[tail] + 1, seen))
-        seen = np.where(values[end[first] - 1] != values[end[tail] - 1], at[start] - 1, low[first])
-        new_low = np.minimum(low[start], np.where(edge[start], at[start] - 1, seen))
-        run = tail - start + 1
-        name, at, low, high = name[start], at[start], new_low, new_high
+        if level == 0:
+            # A run of tokens depends on the two next to it.
+            head = np.ones(n, bool)
+            head[1:] = (values[1:] != values[:-1]) | (part[1:] != part[:-1])
+            at = np.flatnonzero(head)
+            end = np.r_[at[1:], n]
+            name, run, low, high = values[at], end - at, at - 1, end + 1
+        else:
+            name, at, low, high, run = _runs(values, part, name, at, low, high)
         many = run > 1
-        name = name.copy()
         name[many] = mix(name[many] ^ (run[many].astype(np.uint64) * ROUND))
         n, own = len(name), part[at]
         size = np.diff(np.r_[at, len(values)])
@@ -134,7 +146,8 @@ def anchors(values: np.ndarray, part: np.ndarray, shape: Shape) -> tuple[np.ndar
     records with a window in common always have a key in common.
     """
     side, rivals, least = shape.side, shape.rivals, shape.least
-    window, whole = windows(values, part, least)
+    window = np.arange(max(0, len(values) - least + 1))
+    window = window[part[window] == part[window + least - 1]]
     if not len(window):
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
     s = recompress(values, part, shape.rounds, 2 * side)
@@ -160,15 +173,15 @@ def anchors(values: np.ndarray, part: np.ndarray, shape: Shape) -> tuple[np.ndar
         ok = there[best] & (high - low <= least) & (border[rivals - 1 :] - border[:m] == rivals - 1)
         found = np.unique(best[ok])
         # Windows [i, i + least) of which the dependence is a part.
-        np.add.at(cover, np.maximum(high[ok] - least, 0), 1)
-        np.add.at(cover, low[ok] + 1, -1)
-    bare = np.cumsum(cover)[window] <= 0
+        cover += np.bincount(np.maximum(high[ok] - least, 0), minlength=len(cover))
+        cover -= np.bincount(low[ok] + 1, minlength=len(cover))
+    bare = window[np.cumsum(cover)[window] <= 0]
     first, end = at[l[found]], np.r_[at, len(values)][r[found]]
     key = spans(prefix(s.name), l[found], r[found])
     return (
-        np.concatenate([first, window[bare]]),
-        np.concatenate([end, window[bare] + least]),
-        np.concatenate([key, whole[bare]]),
+        np.concatenate([first, bare]),
+        np.concatenate([end, bare + least]),
+        np.concatenate([key, spans(prefix(values), bare, bare + least) if len(bare) else np.empty(0, np.uint64)]),
     )
 
 
