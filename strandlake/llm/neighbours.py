@@ -6,7 +6,8 @@ probability (1 - d) / (1 + d), whatever their totals. An array holds the vectors
 query's window in it are the vectors with the same first winners. Windows are widened from one radius to the next by
 comparing fewer winners in more arrays (virtual rehashing), only for queries that lack neighbours; pairs that lie in each
 other's windows often enough are verified exactly. The more vectors, the more winners are compared, so that windows hold
-about as many unrelated vectors whatever their number.
+about as many unrelated vectors whatever their number. Windows may miss a pair, so what they find of a query only bounds how
+far its neighbours can be; an exact search in blocks within that reach gives them.
 """
 
 from __future__ import annotations
@@ -193,10 +194,11 @@ class Block:
 
     def listed(self) -> None:
         """Lists of the rows of each component, for a block that is searched."""
-        self.known, local = np.unique(self.comps, return_inverse=True)
-        order = np.argsort(local, kind="stable")
+        self.known, self.local = np.unique(self.comps, return_inverse=True)
+        local, order = self.local, np.argsort(self.local, kind="stable")
         self.row = np.repeat(np.arange(len(self.total)), np.diff(self.start))[order]
         self.edge, self.value = np.searchsorted(local[order], np.arange(len(self.known) + 1)), self.values[order]
+        self.wanted = np.zeros(len(self.known))
 
     def distances(self, queries: Block, q: int) -> np.ndarray:
         """Bray-Curtis distances of all rows to a row of `queries`, over the lists of its components."""
@@ -209,6 +211,46 @@ class Block:
         both = queries.total[q] + self.total
         return (both - 2 * shared) / both
 
+    def within(self, queries: Block, q: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """All rows within `reach` of a row of `queries`, perhaps with some beyond it, and their distances.
+
+        Within it two vectors share at least (1 - reach) / (1 + reach) of the larger total. Lists of the query's components
+        are added up, the shortest first, until what is left is half of that: the other half must be in these.
+        """
+        part = slice(queries.start[q], queries.start[q + 1])
+        comps, weights, total = queries.comps[part], queries.values[part], queries.total[q]
+        at = np.minimum(np.searchsorted(self.known, comps), len(self.known) - 1)
+        there = self.known[at] == comps
+        at, weights = at[there], weights[there]
+        least = (1 - reach) / (1 + reach) * (1 - 1e-9)
+        size = self.edge[at + 1] - self.edge[at]
+        order = np.argsort(size, kind="stable")
+        left = np.cumsum(weights[order][::-1])[::-1]
+        ahead = order[left >= least * total / 2]
+        rest = left[len(ahead)] if len(ahead) < len(left) else 0.0
+        if not len(ahead):
+            return np.empty(0, np.int64), np.empty(0)
+        lists = [slice(self.edge[a], self.edge[a + 1]) for a in at[ahead]]
+        row = np.concatenate([self.row[x] for x in lists])
+        both = np.minimum(np.concatenate([self.value[x] for x in lists]), np.repeat(weights[ahead], size[ahead]))
+        if 8 * len(row) < len(self.total):
+            near, place = np.unique(row, return_inverse=True)
+            shared = np.bincount(place, both, len(near))
+        else:
+            shared = np.bincount(row, both, len(self.total))
+            near = np.flatnonzero(shared)
+            shared = shared[near]
+        near = near[shared + rest >= least * np.maximum(self.total[near], total)]
+        # Exactly, in the order of the components, over the rows that are left.
+        n = self.start[near + 1] - self.start[near]
+        own = np.repeat(np.arange(len(near)), n)
+        entry = np.arange(len(own)) + np.repeat(self.start[near] - (np.cumsum(n) - n), n)
+        self.wanted[at] = weights
+        shared = np.bincount(own, np.minimum(self.values[entry], self.wanted[self.local[entry]]), len(near))
+        self.wanted[at] = 0
+        both = total + self.total[near]
+        return near, (both - 2 * shared) / both
+
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, rep, n, total, rank, v) sorted by block and name: one row per block with its Block."""
@@ -250,7 +292,8 @@ def blocks(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _search(kind: str, k: int, radius: float | None):
-    """What a task makes of a pair of blocks: `nearest` (k per query), `density` or `denser` (the nearest denser row)."""
+    """What a task makes of a pair of blocks: `nearest` (k per query), `density` or `denser` (the nearest denser row), or
+    `reached` (k per query, whose rank says how far they can be)."""
     schema = pa.schema([("rep", pa.string()), ("other", pa.string()), ("d", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +305,13 @@ def _search(kind: str, k: int, radius: float | None):
 
     def found(queries: Block, data: Block) -> Iterator[dict]:
         for q, name in enumerate(queries.names):
+            if kind == "reached":
+                near, far = data.within(queries, q, queries.rank[q])
+                fit = (far <= radius) & (data.names[near] != name)
+                near, far = near[fit], far[fit]
+                for i in np.lexsort((near, far))[:k]:
+                    yield {"rep": name, "other": data.names[near[i]], "d": float(far[i])}
+                continue
             far = data.distances(queries, q)
             if kind == "density":
                 yield {"rep": name, "other": None, "d": float(data.n[(far <= radius) & (data.names != name)].sum())}
@@ -284,8 +334,8 @@ def _search(kind: str, k: int, radius: float | None):
 def search(queries: DataFrame, data: DataFrame, kind: str, k: int = 1, radius: float | None = None) -> DataFrame:
     """(`rep`, `other`, `d`): exact search of vectors among vectors, in pairs of blocks whose totals allow the radius.
 
-    For what windows can't give: the members of crowded windows among each other, and queries without enough neighbours
-    within the last radius against everything. The work grows with queries times data, rows out only with the queries.
+    For what windows can't give: the members of crowded windows among each other, queries without enough neighbours within
+    the last radius against everything, and pairs that no windows hold. The work grows with queries times data, rows out only with the queries.
     """
     q, d = blocks(queries, QUERY_BLOCK), blocks(data, DATA_BLOCK)
     spark = data.sparkSession
@@ -310,36 +360,32 @@ def top(pairs: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def class_neighbours(classes: DataFrame, k: int) -> DataFrame:
-    """(`rep`, `other`, `d`): the k nearest other vectors of each vector within the outer radius.
+    """(`rep`, `other`, `d`): the k nearest other vectors of each vector within the outer radius, exactly.
 
-    Windows are widened for the queries that have fewer than k neighbours within the inner radius.
+    Windows are widened for the queries that have fewer than k neighbours within the inner radius. The k-th neighbour found
+    bounds the reach of a query, the outer radius that of one with fewer; all rows are searched within it.
     """
     count = classes.count()
-    name = classes.select(F.col("id").alias("b"), F.col("rep").alias("other"))
     inner, outer = (level(count, *x) for x in LEVELS)
     first, _ = near_pairs(classes, inner)
     have = both_ways(first).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("c"))
     have = classes.select("id", "n").join(have, "id", "left")
     lack = materialize(have.where(F.coalesce("c", F.lit(0)) + F.least(F.col("n"), F.lit(k + 1)) - 1 < k).select("id"))
-    rows = both_ways(first).join(lack.select(F.col("id").alias("a")), "a", "left_anti")
-    more = []
+    rows = both_ways(first)
     if not lack.isEmpty():
-        wide, crowd = near_pairs(classes, outer, lack)
-        rows = rows.unionByName(both_ways(wide).join(lack.select(F.col("id").alias("a")), "a", "left_semi"))
-        if not crowd.isEmpty():
-            held = classes.join(crowd, "id").withColumn("rank", F.lit(0.0))
-            more.append(search(held.join(lack, "id", "left_semi"), held, "nearest", k, outer.radius))
-    rows = rows.join(name, "b").join(classes.select(F.col("id").alias("a"), "rep"), "a").select("rep", "other", "d")
-    for m in more:
-        rows = rows.unionByName(m)
-    return materialize(top(rows, "rep", k).select("rep", "other", "d"))
+        wide, _ = near_pairs(classes, outer, lack)
+        rows = rows.unionByName(both_ways(wide)).groupBy("a", "b").agg(F.max("d").alias("d"))
+    last = top(rows.select(F.col("a").alias("id"), F.col("b").alias("other"), "d"), "id", k).where(F.col("rank") == k)
+    reach = F.coalesce("d", F.lit(outer.radius)).alias("rank")
+    queries = classes.join(last.select("id", "d"), "id", "left").select(*classes.columns, reach)
+    found = search(materialize(queries), classes.withColumn("rank", F.lit(0.0)), "reached", k, outer.radius)
+    return materialize(top(found, "rep", k).select("rep", "other", "d"))
 
 
 def nearest(features: DataFrame, k: int = 5, complete: bool = True) -> DataFrame:
     """(`sample`, `other`, `d`, `rank`): the k nearest samples of every sample, ties by the smaller name.
 
-    Vectors that are equal are searched once. A sample with k found within the outer radius has its nearest from
-    collision counting alone. If `complete`, the last widening takes in everything for the others: an exact pass in
+    Vectors that are equal are searched once. A sample with k found within the outer radius has its nearest from there. If `complete`, the last widening takes in everything for the others: an exact pass in
     blocks of these queries against all rows. Otherwise only neighbours within the outer radius are given.
     """
     if k < 1:

@@ -225,3 +225,32 @@ def test_winners_collide_as_often_as_the_distance_says():
 def test_levels_grow_with_the_logarithm():
     few, many = neighbours.level(2_000, *neighbours.LEVELS[-1]), neighbours.level(200_000_000, *neighbours.LEVELS[-1])
     assert few.winners == 2 and many.winners <= 6 and many.arrays < 30 * few.arrays
+
+
+def test_no_pair_near_the_radius_is_missed(spark):
+    """Pairs alone at 0.348: windows hold about 99 % of them."""
+    rows = []
+    for i in range(2000):
+        rows += [(f"a{i:04d}", 6 * i + c, 1000) for c in range(5)] + [(f"b{i:04d}", 6 * i + c, 652) for c in range(5)] + [(f"b{i:04d}", 6 * i + 5, 1740)]
+    df = spark.createDataFrame(rows, "sample string, comp_no int, value long")
+    got = {(r.sample, r.other, r.d) for r in neighbours.nearest(df, complete=False).collect()}
+    pairs = [(f"a{i:04d}", f"b{i:04d}") for i in range(2000)]
+    assert got == {(x, y, 0.348) for a, b in pairs for x, y in ((a, b), (b, a))}
+
+
+@pytest.mark.parametrize("block", [50, 32_768])
+def test_nearest_of_crowded_windows_come_before_others(spark, monkeypatch, block):
+    """A query with k neighbours found still gets nearer ones of a window that was too full for pairs."""
+    monkeypatch.setattr(neighbours, "GROUP", 3)
+    monkeypatch.setattr(neighbours, "DATA_BLOCK", block)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", block)
+    random.seed(7)
+    vecs = {}
+    for g in range(60):
+        base = {c: random.randint(20, 900) for c in random.sample(range(1, 400), 25)}
+        for i in range(8):
+            spread = (0.01, 0.01, 0.05, 0.05, 0.1, 0.1, 0.15, 0.3)[i]
+            vecs[f"g{g:02d}_{i}"] = {c: max(1, int(v * random.uniform(1 - spread, 1 + spread))) for c, v in base.items()}
+    for k in (1, 2):
+        near = {(r.sample, r.other, r.d, r.rank) for r in neighbours.nearest(table(spark, vecs), k, complete=False).collect()}
+        assert near == {(s, o, d, i + 1) for s, own in brute(vecs, k).items() for i, (d, o) in enumerate(own) if d <= 0.35}
