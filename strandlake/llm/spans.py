@@ -28,6 +28,8 @@ from strandlake.runtime import join_small, materialize
 
 #: Tokens of a record that are parsed as one piece; neighbours overlap by the least span, so no span falls between.
 PIECE, PIECE_BITS = 1 << 16, 20
+#: Tokens that are worked on at once, so few that their arrays stay in the cache.
+CHUNK = 1 << 16
 #: Records that may share an anchor before their windows decide instead of the anchor.
 GROUP = 16
 ROUND = np.uint64(0xA24BAED4963EE407)
@@ -72,21 +74,23 @@ def _runs(values: np.ndarray, part: np.ndarray, name: np.ndarray, at: np.ndarray
     """Runs of symbols of one name: name, first token, dependence, number of symbols."""
     n = len(name)
     own = part[at]
-    edge = np.ones(n + 1, bool)  # between the parts
-    edge[1:-1] = own[1:] != own[:-1]
-    head = edge[:-1].copy()
+    edge = np.ones(n, bool)  # a part begins here
+    edge[1:] = own[1:] != own[:-1]
+    head = edge.copy()
     head[1:] |= name[1:] != name[:-1]
     start = np.flatnonzero(head)
-    tail = np.r_[start[1:], n] - 1
-    end = np.r_[at[1:], len(values)]
+    tail = np.append(start[1:], n) - 1
+    edge, place = edge[start], at[start]
+    after, end = np.append(edge[1:], True), np.append(place[1:], len(values))
     # A run ends where another name follows. That it is another shows in the first token if this differs from the
     # run's, else only in all on which that name depends; likewise before the run.
-    last, first = np.minimum(tail + 1, n - 1), np.maximum(start - 1, 0)
-    seen = np.where(values[at[last]] != values[at[start]], end[tail] + 1, high[last])
-    new_high = np.maximum(high[tail], np.where(edge[tail + 1], end[tail] + 1, seen))
-    seen = np.where(values[end[first] - 1] != values[end[tail] - 1], at[start] - 1, low[first])
-    new_low = np.minimum(low[start], np.where(edge[start], at[start] - 1, seen))
-    return name[start], at[start], new_low, new_high, tail - start + 1
+    token, bound = values[place], high[start]
+    seen = np.where(after | (np.append(token[1:], token[:1]) != token), end + 1, np.append(bound[1:], bound[:1]))
+    new_high = np.maximum(high[tail], seen)
+    token, bound = values[end - 1], low[tail]
+    seen = np.where(edge | (np.append(token[-1:], token[:-1]) != token), place - 1, np.append(bound[-1:], bound[:-1]))
+    new_low = np.minimum(low[start], seen)
+    return name[start], place, new_low, new_high, tail - start + 1
 
 
 def recompress(values: np.ndarray, part: np.ndarray, rounds: int, frozen: int) -> Symbols:
@@ -110,29 +114,30 @@ def recompress(values: np.ndarray, part: np.ndarray, rounds: int, frozen: int) -
             name, run, low, high = values[at], end - at, at - 1, end + 1
         else:
             name, at, low, high, run = _runs(values, part, name, at, low, high)
-        many = run > 1
+        many = np.flatnonzero(run > 1)
         name[many] = mix(name[many] ^ (run[many].astype(np.uint64) * ROUND))
         n, own = len(name), part[at]
-        size = np.diff(np.r_[at, len(values)])
+        end = np.append(at[1:], len(values))
         salt = np.uint64((level + 1) * int(ROUND) % (1 << 64))
         right = (mix(name + salt) & np.uint64(1)).astype(bool)
-        fit = size < frozen
-        same = np.zeros(n + 1, bool)
-        same[1:-1] = own[1:] == own[:-1]
-        pair = np.zeros(n, bool)
-        pair[:-1] = ~right[:-1] & right[1:] & fit[:-1] & fit[1:] & same[1:-1]
+        fit = end - at < frozen
+        left, right = fit & ~right, fit & right
+        edge = np.flatnonzero(own[1:] != own[:-1])
+        pair = left[:-1] & right[1:]
+        pair[edge] = False
         # A symbol that may be the left one of a pair depends on the next, one that may be the right one on the one before.
-        end = at + size
-        new_high = np.where(fit & ~right, np.where(same[1:], np.r_[high[1:], 0], end + 1), high)
-        new_low = np.where(fit & right, np.where(same[:-1], np.r_[0, low[:-1]], at - 1), low)
+        beside = np.append(high[1:], len(values) + 1)
+        beside[edge] = end[edge] + 1
+        new_high = np.where(left, np.maximum(high, beside), high)
+        beside = np.append(-1, low[:-1])
+        beside[edge + 1] = at[edge + 1] - 1
+        new_low = np.where(right, np.minimum(low, beside), low)
         first = np.flatnonzero(pair)
-        new_low[first] = low[first]
-        new_high[first] = high[first + 1]
-        joined = mix(name[first] * ROUND + name[first + 1] * NEXT + np.uint64(level))
+        name[first] = mix(name[first] * ROUND + name[first + 1] * NEXT + np.uint64(level))
         keep = np.ones(n, bool)
         keep[first + 1] = False
-        name[first] = joined
-        name, at, low, high = name[keep], at[keep], np.minimum(new_low, low)[keep], np.maximum(new_high, high)[keep]
+        keep = np.flatnonzero(keep)
+        name, at, low, high = name[keep], at[keep], new_low[keep], new_high[keep]
     return Symbols(name, at, low, high)
 
 
@@ -146,36 +151,43 @@ def anchors(values: np.ndarray, part: np.ndarray, shape: Shape) -> tuple[np.ndar
     records with a window in common always have a key in common.
     """
     side, rivals, least = shape.side, shape.rivals, shape.least
-    window = np.arange(max(0, len(values) - least + 1))
-    window = window[part[window] == part[window + least - 1]]
-    if not len(window):
+    window = part[: max(0, len(values) - least + 1)] == part[least - 1 :]
+    if not window.any():
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
     s = recompress(values, part, shape.rounds, 2 * side)
     at, n = s.at, len(s.at)
     own = part[at]
     border = np.flatnonzero(own[1:] == own[:-1]) + 1
     place = at[border]
-    l = np.searchsorted(at, place - side, side="right") - 1
-    r = np.searchsorted(at, place + side, side="left")
+    low, high = np.maximum(place - side, 0), np.minimum(place + side, len(values)) - 1
+    began = np.zeros(len(values), np.int64)
+    began[at] = 1
+    began = np.cumsum(began)
+    l, r = began[low] - 1, began[high]
     there = (place >= side) & (place + side <= len(values))
-    there &= (part[np.maximum(place - side, 0)] == part[place]) & (part[np.minimum(place + side, len(values)) - 1] == part[place])
+    there &= (part[low] == own[border]) & (part[high] == own[border])
     l, r = np.where(there, l, border - 1), np.where(there, r, border + 1)
     m = len(border) - rivals + 1
     found = np.empty(0, np.int64)
     cover = np.zeros(len(values) + 2, np.int64)
     if m > 0:
         rank = mix(s.name[border - 1] * ROUND + s.name[border] * NEXT)
-        best = np.arange(m)
-        for d in range(1, rivals):
-            best = np.where(rank[d : d + m] < rank[best], np.arange(d, d + m), best)
+        # The first of the least ranks of so many borders in a row; twice as many each time.
+        best, many = np.arange(len(rank)), 1
+        while many < rivals:
+            step = min(many, rivals - many)
+            less = rank[step:] < rank[:-step]
+            rank, best = np.where(less, rank[step:], rank[:-step]), np.where(less, best[step:], best[:-step])
+            many += step
         low = s.low[np.minimum(border[:m] - 1, l[best])]
         high = s.high[np.maximum(border[rivals - 1 :], r[best] - 1)]
         ok = there[best] & (high - low <= least) & (border[rivals - 1 :] - border[:m] == rivals - 1)
-        found = np.unique(best[ok])
+        found = best[ok]
+        found = found[np.append(True, found[1:] != found[:-1])] if len(found) else found
         # Windows [i, i + least) of which the dependence is a part.
         cover += np.bincount(np.maximum(high[ok] - least, 0), minlength=len(cover))
         cover -= np.bincount(low[ok] + 1, minlength=len(cover))
-    bare = window[np.cumsum(cover)[window] <= 0]
+    bare = np.flatnonzero(window & (np.cumsum(cover)[: len(window)] <= 0))
     first, end = at[l[found]], np.r_[at, len(values)][r[found]]
     key = spans(prefix(s.name), l[found], r[found])
     return (
@@ -190,7 +202,7 @@ def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     column = batch.column(1)
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
         raw, offsets = flat(column)
-        for a, b in chunks(offsets, 1 << 20):
+        for a, b in chunks(offsets, CHUNK):
             row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
             yield VALUE[raw[offsets[a] : offsets[b]]], row, row, a
     else:
@@ -198,7 +210,7 @@ def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         items = column.values
         place = items.field(0).to_numpy(zero_copy_only=False)
         value = items.field(1).to_numpy(zero_copy_only=False).astype(np.uint64)
-        for a, b in chunks(offsets, 1 << 20):
+        for a, b in chunks(offsets, CHUNK):
             part = slice(offsets[a], offsets[b])
             row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
             cut = np.r_[0, (np.diff(place[part]) != 1) | (np.diff(row) != 0)] if len(row) else row
@@ -235,7 +247,10 @@ def _held_windows(shape: Shape):
             wanted = np.sort(mix(keys[edge[0] : edge[-1]].astype(np.uint64) ^ (owner.astype(np.uint64) * NEXT)))
             for values, part, row, first in _tokens(batch):
                 at, end, key = anchors(values, part, shape)
-                hit = np.isin(mix(key ^ ((first + row[at]).astype(np.uint64) * NEXT)), wanted)
+                own = mix(key ^ ((first + row[at]).astype(np.uint64) * NEXT))
+                hit = np.zeros(len(own), bool)
+                if len(wanted):
+                    hit = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
                 cover = np.zeros(len(values) + 2, np.int64)
                 np.add.at(cover, np.maximum(end[hit] - shape.least, 0), 1)
                 np.add.at(cover, at[hit] + 1, -1)
@@ -251,6 +266,21 @@ def _held_windows(shape: Shape):
     return work
 
 
+def in_both(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys of either side the other has too, by sorting them once."""
+    key = np.concatenate([a, b])
+    if not len(a) or not len(b):
+        return np.zeros(len(a), bool), np.zeros(len(b), bool)
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(start, len(key)))
+    of_b = np.add.reduceat((order >= len(a)).astype(np.int64), start)
+    hit = np.empty(len(key), bool)
+    hit[order] = np.repeat((of_b > 0) & (of_b < size), size)
+    return hit[: len(a)], hit[len(a) :]
+
+
 def _verify(least: int):
     """Of candidate pairs with both token sequences: the merged stretches of either side that occur in the other."""
 
@@ -271,10 +301,8 @@ def _verify(least: int):
                 got[2].append(mix(window ^ ((row[at] + first + 1).astype(np.uint64) * NEXT)))
             sides.append([np.concatenate(x) if x else np.empty(0, np.int64) for x in got])
         columns = [[], [], [], []]
-        for own, other, k in ((0, 1, 0), (1, 0, 1)):
-            row, at, key = sides[own]
-            hit = np.isin(key, sides[other][2])
-            row, at = row[hit], at[hit]
+        for k, hit in enumerate(in_both(sides[0][2], sides[1][2])):
+            row, at = (x[hit] for x in sides[k][:2])
             if not len(row):
                 continue
             head = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(at) > least)])

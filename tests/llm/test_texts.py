@@ -409,3 +409,29 @@ def test_shared_components_beside_sql(spark, monkeypatch, tmp_path):
     want = con.sql(catalog.SQL["p5_shared_components"]).fetchall()
     got = [tuple(r) for r in catalog.p5_shared_components(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) == [(0, 84, 45), (1, 48, 45)]
+
+
+def test_keys_do_not_depend_on_chunks(monkeypatch):
+    """A chunk of texts is as large as the cache likes; keys and verified stretches are the same."""
+    texts = [t for t in sequences(9) if len(t) >= 50]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["unit", "tokens"])
+    pairs = [(i, j) for i in range(0, len(texts), 3) for j in range(i + 1, min(i + 4, len(texts)))]
+    a, b = (pa.array(x, pa.int64()) for x in zip(*pairs))
+    both = pa.RecordBatch.from_arrays([a, b, pa.array(texts).take(a), pa.array(texts).take(b)], ["a", "b", "tokens_a", "tokens_b"])
+    seen = []
+    for size in (100, spans.CHUNK, 1 << 20):
+        monkeypatch.setattr(spans, "CHUNK", size)
+        keys = spans._keys(spans.Shape(50), np.empty(0, np.int64))(iter([batch]))
+        rows = spans._verify(50)(iter([both]))
+        seen.append([sorted(tuple(r.values()) for x in y for r in x.to_pylist()) for y in (keys, rows)])
+    assert seen[0] == seen[1] == seen[2] and all(seen[0])
+    assert {r[:2] for r in seen[0][1]} == {(i, j) for i, j in pairs if shared(texts[i], texts[j], 50)}
+
+
+def test_keys_of_both_sides():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 0), (0, 5), (5, 0), (40, 60), (500, 300)):
+        x, y = (rng.integers(0, 100, k).astype(np.uint64) for k in (n, m))
+        of_x, of_y = spans.in_both(x, y)
+        assert of_x.tolist() == [v in set(y.tolist()) for v in x.tolist()]
+        assert of_y.tolist() == [v in set(x.tolist()) for v in y.tolist()]
