@@ -99,7 +99,7 @@ def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return join_small(rows, known, "sample")
 
 
-def _p3(spark: SparkSession, sf_dir: str, kept: int = 1 << distinct.BITS) -> DataFrame:
+def _p3(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = table(spark, sf_dir, "classes")
     day = F.date_format("run_at", "yyyy-MM-dd").alias("day")
     kmers = members(table(spark, sf_dir, "kmer_counts").where("sample IS NOT NULL"), "sample", "kmer", "freq", "run_at")
@@ -116,8 +116,8 @@ def _p3(spark: SparkSession, sf_dir: str, kept: int = 1 << distinct.BITS) -> Dat
     )
     reads = _with_class(reads.distinct(), classes).select(day, "color", "h1", "h2")
     out = [
-        distinct.counts(distinct.state(kmers, "day", "color", ["kmer"], kept), kept).withColumn("origin", F.lit("kmer_counts")),
-        distinct.counts(distinct.state(reads, "day", "color", ["h1", "h2"], kept), kept).withColumn("origin", F.lit("seq_reads")),
+        distinct.counts(distinct.state(kmers, "day", "color", ["kmer"])).withColumn("origin", F.lit("kmer_counts")),
+        distinct.counts(distinct.state(reads, "day", "color", ["h1", "h2"])).withColumn("origin", F.lit("seq_reads")),
     ]
     return out[0].unionByName(out[1]).withColumnRenamed("day", "run_day")
 
@@ -136,8 +136,8 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p3_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As p3_counts from a state of a quarter of all hash ranges, with the error bound that this gives."""
-    return _p3(spark, sf_dir, 256).select("origin", "run_day", "colors", "n_ids", "n_rows", "error_bound")
+    """As p3_counts: all hash ranges are counted, so the error bound is 0."""
+    return _p3(spark, sf_dir).select("origin", "run_day", "colors", "n_ids", "n_rows", "error_bound")
 
 
 P6_ROWS = """

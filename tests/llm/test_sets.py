@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import distinct, frequent, overlap
+from strandlake.llm import catalog, distinct, frequent, overlap
 
 
 def sets_of(seed, n=14):
@@ -164,3 +164,23 @@ def test_groups_are_a_parameter(spark):
     assert got == {"x": (10, 10), "y": (5, 5), "x+y": (10, 15)}
     with pytest.raises(Exception, match="a group that is not counted"):
         distinct.state(df, "day", "color", ["id"], groups=("x",)).collect()
+
+
+def test_p3_estimates_count_all_identifiers(spark, tmp_path):
+    """A few days with few identifiers, some of very many rows: nothing is scaled up from a part of them."""
+    random.seed(8)
+    kmers = [(f"s{i % 3}", x, 1 + j, f"2024-01-0{1 + i % 4} 00:00:00") for i in range(60) for x in [random.getrandbits(40)] for j in range(50 if i % 9 == 0 else 1)]
+    reads = [(i, f"s{i % 3}", f"r{i}", "".join(random.choice("ACGT") for _ in range(30)), f"2024-01-0{1 + i % 4} 00:00:00") for i in range(40)]
+    time = F.to_timestamp("run_at").alias("run_at")
+    spark.createDataFrame(kmers, "sample string, kmer long, freq int, run_at string").select("sample", "kmer", "freq", time).write.parquet(f"{tmp_path}/kmer_counts.parquet")
+    spark.createDataFrame(reads, "read_no long, sample string, read_id string, seq string, run_at string").select("read_no", "sample", "read_id", "seq", time).write.parquet(f"{tmp_path}/seq_reads.parquet")
+    spark.createDataFrame([(f"s{i}", i) for i in range(3)], "sample string, color int").write.parquet(f"{tmp_path}/classes.parquet")
+    want = {}
+    for origin, rows in (("kmer_counts", [(s, x, day) for s, x, _, day in kmers]), ("seq_reads", [(s, seq, day) for _, s, _, seq, day in reads])):
+        for day in sorted({d for _, _, d in rows}):
+            for colors in ("0", "1", "2", "0+1", "0+2", "1+2", "0+1+2"):
+                own = [(s, x) for s, x, d in rows if d == day and s[1] in colors]
+                if {s[1] for s, _ in own} == set(colors.split("+")):
+                    want[origin, day[:10], colors] = len({x for _, x in own}), len(own), 0.0
+    got = {(r.origin, r.run_day, r.colors): (r.n_ids, r.n_rows, r.error_bound) for r in catalog.p3_estimates(spark, str(tmp_path)).collect()}
+    assert got == want
