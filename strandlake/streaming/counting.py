@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strandlake.functions import dna
-from strandlake.functions.windows import window_codes
+from strandlake.functions.windows import group_counts, window_codes
 from strandlake.runtime import own_dir
 from strandlake.tables import sample_name
 
@@ -47,27 +47,47 @@ def stream_days(reads: DataFrame) -> DataFrame:
     return rows.select(F.date_format("w1.start", "yyyy-MM-dd").alias("day"), "sample", "n_reads", "letters")
 
 
+def kmers_by_day(reads: DataFrame, k: int, above: int = 0) -> DataFrame:
+    """(`day`, `sample`, `kmer`, `freq`): what `stream_kmers` counts more than `above` times in all that is there.
+
+    The stream's state is the numbers of the reads, not a row for every k-mer: reads that it lets pass are written as they
+    come and counted by day and sample when they are asked for.
+    """
+    rows = arrived(reads.select(F.date_format("run_at", "yyyy-MM-dd").alias("day"), "sample", "seq"))
+    return group_counts(rows, k, above, "day", "sample").select("day", "sample", dna.decode("kmer", k).alias("kmer"), "freq")
+
+
+def arrived(stream: DataFrame) -> DataFrame:
+    """Run a stream in append mode over all that is there; its rows, from a table in the shared folder."""
+    return _run(stream, "append").drop("__batch")
+
+
 def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Run a stream in update mode over all that is there; the last row of each key, from a table in the shared folder.
+    """Run a stream in update mode over all that is there; the last row of each key, from a table in the shared folder."""
+    rows = _run(stream, "update")
+    rest = [c for c in rows.columns if c not in (*keys, "__batch")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "__batch").alias(c) for c in rest])
+
+
+def _run(stream: DataFrame, mode: str) -> DataFrame:
+    """The rows of all batches with `__batch`.
 
     Each batch writes to a folder of its own number, so a batch that is run again after a failure overwrites itself.
     """
     spark = stream.sparkSession
     base = os.path.join(own_dir(spark), "streams", uuid.uuid4().hex)
-    schema = stream.schema
+    schema = StructType([*stream.schema.fields, StructField("__batch", IntegerType())])
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch-{number}")
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/out/batch-{number}")
 
     query = (
-        stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
     try:
-        rows = spark.read.schema(StructType([*schema.fields, StructField("__batch", IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{base}/out")
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
     except Exception as e:  # no batch wrote anything
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
-    rest = [c for c in rows.columns if c not in (*keys, "__batch")]
-    return rows.groupBy(*keys).agg(*[F.max_by(c, "__batch").alias(c) for c in rest])

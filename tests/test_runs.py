@@ -1,10 +1,12 @@
 """Runs of windows against plain models, and what the queries that are made of them shuffle."""
 
+import datetime as dt
 import random
 
 import pytest
 
-from strandlake.functions import dna, runs
+from strandlake.functions import dna, runs, windows
+from strandlake.streaming import counting
 from tests import models as M
 
 
@@ -57,3 +59,44 @@ def test_branching_kmers_shuffles_little(spark):
     n = __spark_entry__.queries()["branching_kmers"](spark, "/root/testdata/sf0.001").count()
     letters = sum(len(r[0]) for r in spark.read.parquet("/root/testdata/sf0.001/seq_reads.parquet").where("seq IS NOT NULL").select("seq").collect())
     assert n and shuffled(spark) - before < 2 * letters
+
+
+@pytest.mark.parametrize("chunk", [1 << 21, 300])
+def test_group_counts(spark, monkeypatch, chunk):
+    """Whole groups, null keys too; a group larger than some chunks goes by parts."""
+    monkeypatch.setattr(windows, "GATHERED", chunk)
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), s) for s in texts() for _ in range(2)] + [("big", 1, s) for s in texts(4)]
+    want = {}
+    for a, b, s in rows:
+        for x in M.kmers(s or "", 11):
+            want[a, b, x] = want.get((a, b, x), 0) + 1
+    out = windows.group_counts(spark.createDataFrame(rows, "a string, b int, seq string"), 11, 2, "a", "b")
+    got = out.select("a", "b", dna.decode("kmer", 11).alias("kmer"), "freq").collect()
+    assert {tuple(r)[:3]: r.freq for r in got} == {key: n for key, n in want.items() if n > 2} and len(got) == sum(n > 2 for n in want.values())
+
+
+def test_stream_kmers_shuffles_reads(spark, tmp_path):
+    """The same as the running counts in state, with several batches; k-mers are not shuffled."""
+    day = dt.datetime(2020, 1, 1, 5)
+    rows = [(i, "s_r1" if i % 2 else None, s, day + dt.timedelta(hours=i)) for i, s in enumerate(texts())]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "read_no long, sample string, seq string, run_at timestamp")
+    df.repartitionByRange(3, "read_no").write.parquet(str(tmp_path / "in"))
+    stream = lambda: counting.good_stream(counting.read_stream(spark, str(tmp_path / "in"), df.schema, 1))
+    want = counting.drained(counting.stream_kmers(stream(), 21), ["day", "sample", "kmer"]).where("freq > 1")
+    want = sorted(want.collect(), key=str)
+    got = sorted(counting.kmers_by_day(stream(), 21, 1).collect(), key=str)
+    assert got == want and len(got) > 50
+    before = shuffled(spark)
+    import __spark_entry__
+
+    __spark_entry__.queries()["stream_kmers"](spark, "/root/testdata/sf0.001").count()
+    letters = sum(len(r[0]) for r in spark.read.parquet("/root/testdata/sf0.001/seq_reads.parquet").where("seq IS NOT NULL").select("seq").collect())
+    assert shuffled(spark) - before < 4 * letters
+
+
+def test_stream_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(1, "s", None, None)], "read_no long, sample string, seq string, run_at timestamp")
+    df.write.parquet(str(tmp_path / "in"))
+    assert counting.kmers_by_day(counting.good_stream(counting.read_stream(spark, str(tmp_path / "in"), df.schema)), 21).isEmpty()
