@@ -6,6 +6,8 @@ import random
 import pytest
 
 from strandlake.functions import dna, runs, windows
+from strandlake.operators import counts as counts_of
+from strandlake.operators import graph
 from strandlake.streaming import counting
 from tests import models as M
 
@@ -100,3 +102,19 @@ def test_stream_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([(1, "s", None, None)], "read_no long, sample string, seq string, run_at timestamp")
     df.write.parquet(str(tmp_path / "in"))
     assert counting.kmers_by_day(counting.good_stream(counting.read_stream(spark, str(tmp_path / "in"), df.schema)), 21).isEmpty()
+
+
+@pytest.mark.parametrize("k, chunk, gathered, one_task", [(11, 1 << 17, 1 << 21, 4_000_000), (12, 8, 2000, 0), (21, 8, 1 << 21, 4_000_000), (21, 1 << 17, 3000, 0)])
+def test_plain_unitigs(spark, monkeypatch, k, chunk, gathered, one_task):
+    """As unitigs of all k-mers without those at forks, though most k-mers stay in their reads."""
+    monkeypatch.setattr(runs, "CHUNK", chunk)
+    monkeypatch.setattr(runs, "GATHERED", gathered)
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    rows = [(f"s{i % 3}", s) for seed in (3, 8) for i, s in enumerate(texts(seed))]
+    rows += [("s1", s) for s in ("".join(random.Random(i).choice("ACGT") for _ in range(120)) for i in range(40))] + rows[:20]
+    reads = spark.createDataFrame(rows, "sample string, seq string").repartition(3)
+    counts = counts_of.kmer_counts(reads, k, 0)
+    support = counts.groupBy("kmer").agg({"sample": "count"}).toDF("kmer", "freq")
+    want = graph.unitigs(support.join(graph.branching(support, k), "kmer", "left_anti"), k, k + 2)
+    out = graph.plain_unitigs(reads, k, k + 2).select(*want.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and not out.isEmpty()
